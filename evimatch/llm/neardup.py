@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimatch.llm import wordgrams as wg
@@ -125,25 +125,29 @@ def _confirmed(percent: int):
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            grams = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.int64)
-            node = pa.array(np.full(len(grams), batch.column(0)[i].as_py(), dtype=np.int64))
-            size = pa.array(np.full(len(grams), len(grams), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([node, size, pa.array(grams)], names=["node", "size", "gram"])
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            grams = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
+            n = np.array([len(x) for x in grams])
+            node = np.repeat(part.column(0).to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(n, n)), pa.array(np.concatenate(grams))], names=["node", "size", "gram"])
 
 
-def _star_candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """nodes (node, n, a, b) -> (u, v, members): v is the smallest node of a bucket that holds u."""
+def _star_candidates(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """nodes (node, n, a, b) -> (u, v, members): v is the smallest node of a bucket that holds u.
+
+    members is the size of the largest such bucket, or -1 where the sizes of the two sets rule out a link.
+    """
     first = nodes.select("node", "n", F.posexplode("a").alias("i", "ka"), "b")
     slim = first.select("i", "ka")
     shared = slim.groupBy("i", "ka").agg(F.count("*").alias("c")).where("c > 1").select("i", "ka")
     rows = first.join(shared, ["i", "ka"], "left_semi")
     keys = scratch.table(rows.select("node", "n", F.xxhash64("i", "ka").alias("ka"), F.posexplode("b").alias("j", "kb")), "keys")
     buckets = keys.groupBy("ka", "j", "kb").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    pairs = keys.join(buckets, ["ka", "j", "kb"]).where("node <> least.node and 100 * least(n, least.n) >= 80 * greatest(n, least.n)")
-    close = pairs.groupBy(F.col("node").alias("u"), F.col("least.node").alias("v")).agg(F.max("members").alias("members"))
-    far = keys.join(buckets, ["ka", "j", "kb"]).where("members > 2 and node <> least.node and 100 * least(n, least.n) < 80 * greatest(n, least.n)")
-    return close.union(far.groupBy(F.col("node").alias("u"), F.col("least.node").alias("v")).agg(F.lit(-1).cast("long").alias("members")))
+    near = f"100 * least(n, least.n) >= {percent} * greatest(n, least.n)"
+    pairs = keys.join(buckets, ["ka", "j", "kb"]).where("node <> least.node").where(f"members > 2 or {near}")
+    members = F.when(F.expr(near), F.col("members")).otherwise(-1)
+    return pairs.groupBy(F.col("node").alias("u"), F.col("least.node").alias("v")).agg(F.max(members).alias("members"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,26 +156,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirmed(percent), "u long, v long")
 
 
-def _prefix_candidates(unresolved: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of an unresolved node and any node of another component that can reach 80 %: exact, by rare shingles first."""
+def _prefix_candidates(unresolved: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of an unresolved node and any node of another component that can reach the threshold: exact, by rare shingles first."""
     grams = sets.mapInArrow(_exploded, "node long, size long, gram long")
     counts = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
     common = grams.join(counts, "gram")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("node").orderBy("c", "gram")
     whole = Window.partitionBy("node")
     ranked = common.withColumn("k", F.row_number().over(order)).withColumn("all", F.count("*").over(whole))
     # shingles that no other set has come first, so they take the first places
-    prefix = ranked.withColumn("at", F.col("size") - F.col("all") + F.col("k")).where("at <= size - ceil(size * 0.8) + 1").select("node", "size", "gram", "at")
+    prefix = ranked.withColumn("at", F.col("size") - F.col("all") + F.col("k")).where(f"at <= size - ({percent} * size + 99) div 100 + 1").select("node", "size", "gram", "at")
     prefix = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mine = prefix.join(unresolved, "node", "left_semi")
     x, y = mine.alias("x"), prefix.alias("y")
     hit = x.join(
         y,
         F.expr(
-            "x.gram = y.gram and x.label <> y.label and 100 * least(x.size, y.size) >= 80 * greatest(x.size, y.size)"
-            " and 9 * (1 + least(x.size - x.at, y.size - y.at)) >= 4 * (x.size + y.size)"
+            f"x.gram = y.gram and x.label <> y.label and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+            f" and {100 + percent} * (1 + least(x.size - x.at, y.size - y.at)) >= {percent} * (x.size + y.size)"
         ),
     )
     return hit.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
@@ -200,7 +202,7 @@ def near_duplicates(
         full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("x"), F.count("*").alias("n_exact")).select("f1", "f2", "n_exact", F.col("x.doc_id").alias("node"), "x.n", "x.a", "x.b"),
         "classes",
     )
-    pairs = scratch.table(_star_candidates(classes.select("node", "n", "a", "b"), scratch), "pairs")
+    pairs = scratch.table(_star_candidates(classes.select("node", "n", "a", "b"), scratch, percent), "pairs")
     result = classes.select("f1", "f2", "n_exact", "node")
     labelled = None
     if has_rows(pairs):
@@ -220,7 +222,9 @@ def near_duplicates(
         )
         unresolved = scratch.table(apart, "unresolved")
         if has_rows(unresolved):
-            more = scratch.table(_prefix_candidates(unresolved, sets, labelled), "pairs2")
+            crowded = pairs.where("members > 2 or members < 0")
+            members = crowded.select(F.col("u").alias("node")).union(crowded.select(F.col("v").alias("node"))).distinct()
+            more = scratch.table(_prefix_candidates(unresolved, sets.join(members, "node", "left_semi"), labelled, percent), "pairs2")
             if has_rows(more):
                 links2 = scratch.table(_confirm(more, sets, percent), "links2")
                 labelled = components(links.union(links2), scratch, "second")
