@@ -148,6 +148,24 @@ def _locate(size: int):
     return run
 
 
+_HELD = "anchor long, under long, holders array<long>"
+
+
+def _held_by_window(said: DataFrame, scratch: Scratch, size: int, shard_segments: int) -> DataFrame:
+    """The same answer for anchors with more segments than a shard takes: their windows are dealt out by their own words."""
+    split = said.withColumn("w", F.split(F.col("words").cast("string"), " "))
+    each = F.expr(f"transform(sequence(0, size(w) - {size}), i -> array_join(slice(w, i + 1, {size}), ' '))")
+    windows = scratch.table(split.select("anchor", "under", "lo", "hi", F.posexplode(each).alias("i", "words")), "hot-windows")
+    distinct = scratch.table(windows.groupBy("words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"), "hot-distinct")
+    shards = max(1, -(-distinct.count() // shard_segments))
+    keyed = distinct.select(F.xxhash64("words").alias("anchor"), F.crc32(F.col("words").cast("binary")).alias("under"), "lo", "hi", F.col("words").cast("binary").alias("words"))
+    found = keyed.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_locate(size), _HELD)
+    found = found.select(F.col("anchor").alias("h1"), F.col("under").alias("h2"), F.col("holders")[0].alias("holder"))
+    back = windows.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.crc32(F.col("words").cast("binary"))).join(found, ["h1", "h2"], "left")
+    grouped = back.groupBy("anchor", "under").agg(F.array_sort(F.collect_list(F.struct("i", "holder"))).alias("x"))
+    return scratch.table(grouped.select("anchor", "under", F.expr("transform(x, y -> y.holder)").alias("holders")).where("exists(holders, h -> h is not null)"), "hot-held")
+
+
 def _kept_words(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +222,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n = said.count()
     if n:
         shards = max(1, -(-n // shard_segments))
-        placed = said.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        held = placed.groupBy("shard").applyInArrow(_locate(size), "anchor long, under long, holders array<long>")
-        held = scratch.table(held, "held")
+        hot = scratch.table(said.groupBy("anchor").count().where(F.col("count") > shard_segments).select("anchor"), "hot")
+        crowded = has_rows(hot)
+        placed = (said.join(hot, "anchor", "left_anti") if crowded else said).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        held = scratch.table(placed.groupBy("shard").applyInArrow(_locate(size), _HELD), "held")
+        if crowded:
+            held = held.union(_held_by_window(said.join(hot, "anchor", "left_semi"), scratch, size, shard_segments))
         if has_rows(held):
             gone = "filter(transform(holders, (x, i) -> if(x < doc_id, cast(first + i as int), null)), x -> x is not null)"
             spans = runs.join(held, ["anchor", "under"]).select("doc_id", F.expr(gone).alias("at")).where("size(at) > 0")
