@@ -17,6 +17,11 @@ _TITLE = r"(?i)^(?:mr|dr|jr)\.?$"
 _SHORT = r"(?i)^(?:mew|muk|ho-oh)$"
 
 
+def let(c: Column, use) -> Column:
+    """use(c) with c worked out once, however often use() names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def missing(c: Column) -> Column:
     """'' and null are one and the same."""
     return F.nullif(c.cast("string"), F.lit(""))
@@ -47,17 +52,20 @@ def similarity_folded(s: Column, t: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return similarity_folded(fold(a), fold(b))
+    return let(F.struct(fold(a).alias("a"), fold(b).alias("b")), lambda x: similarity_folded(x["a"], x["b"]))
 
 
 def contains_fuzzy(haystack: Column, needle: Column) -> Column:
     """How well the needle appears inside the haystack: 1 if contained, else the best window one shorter to one longer."""
-    h, n = fold(haystack), fold(needle)
+    return let(F.struct(fold(haystack).alias("h"), fold(needle).alias("n")), lambda x: _contains_folded(x["h"], x["n"]))
+
+
+def _contains_folded(h: Column, n: Column) -> Column:
     size = F.length(n)
 
     def windows(k: Column) -> Column:
         starts = F.when(F.length(h) >= k, F.sequence(F.lit(1), F.length(h) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: similarity_folded(F.trim(F.substring(h, i, k)), n))
+        return F.transform(starts, lambda i: let(F.trim(F.substring(h, i, k)), lambda w: similarity_folded(w, n)))
 
     best = F.array_max(F.concat(windows(size - 1), windows(size), windows(size + 1)))
     return F.when((h == "") | (n == ""), 0.0).when(h.contains(n), 1.0).when(size < 4, 0.0).otherwise(F.coalesce(best, F.lit(0.0)))
@@ -108,7 +116,10 @@ def copyright_holder(c: Column) -> Column:
 
 def variant_terms(c: Column) -> Column:
     """Canonical variant terms that the text says; a reverse holo is not also a holo."""
-    f = fold(c)
+    return let(fold(c), _variants_folded)
+
+
+def _variants_folded(f: Column) -> Column:
     hits = []
     for name, aliases in v.VARIANTS:
         said = f.contains(aliases[0])
@@ -120,8 +131,11 @@ def variant_terms(c: Column) -> Column:
 
 
 def language(c: Column) -> Column:
-    f = fold(c)
-    out = F.when(F.coalesce(c, F.lit("")).rlike("[぀-ヿ一-龯]"), F.lit("ja"))
+    return F.when(F.coalesce(c, F.lit("")).rlike("[぀-ヿ一-龯]"), F.lit("ja")).otherwise(let(fold(c), _language_folded))
+
+
+def _language_folded(f: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
     for code, hints in v.LANGUAGE_HINTS:
         said = f.contains(hints[0])
         for h in hints[1:]:
@@ -179,10 +193,13 @@ def number_parts(c: Column) -> dict[str, Column]:
 
 def compare_numbers(a: Column, b: Column) -> Column:
     """1 same printing, 0.6 same place in another set size, 0.85 if a size is missing, 0 otherwise."""
-    x, y = number_parts(a), number_parts(b)
+    return compare_parts(number_parts(a), number_parts(b), fold(a) == fold(b))
+
+
+def compare_parts(x: dict[str, Column], y: dict[str, Column], same_text: Column) -> Column:
     unparsed = x["num"].isNull() | y["num"].isNull()
     sizes = F.when(x["den"].isNull() | (x["den"] == 0) | y["den"].isNull() | (y["den"] == 0), 0.85).when(x["den"] == y["den"], 1.0).otherwise(0.6)
-    return F.when(unparsed, F.when(fold(a) == fold(b), 1.0).otherwise(0.0)).when((x["num"] == y["num"]) & (x["prefix"] == y["prefix"]), sizes).otherwise(0.0)
+    return F.when(unparsed, F.when(same_text, 1.0).otherwise(0.0)).when((x["num"] == y["num"]) & (x["prefix"] == y["prefix"]), sizes).otherwise(0.0)
 
 
 def letters(c: Column) -> Column:

@@ -1,0 +1,44 @@
+"""A keyed store on Parquet: each version of the table is a folder of its own, written whole before it counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Store:
+    """put, get, all, remove on rows with a key; the partition column keeps one project's rows together."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", partition: str | None = None) -> None:
+        self.spark, self.path, self.key, self.partition = spark, path.rstrip("/"), key, partition
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        root = self._fs_path(self.path)
+        if not self._fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._fs_path(f"{self.path}/{n}/_SUCCESS")))
+
+    def all(self) -> DataFrame | None:
+        found = self._versions()
+        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+
+    def _write(self, rows: DataFrame) -> None:
+        found = self._versions()
+        writer = rows.write.mode("overwrite")
+        if self.partition:
+            writer = writer.partitionBy(self.partition)
+        writer.parquet(f"{self.path}/v{found[-1] + 1 if found else 0}")
+
+    def put(self, rows: DataFrame) -> None:
+        """Insert, or replace by key."""
+        now = self.all()
+        self._write(rows if now is None else now.join(rows.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(rows))
+
+    def get(self, key) -> DataFrame:
+        return self.all().where(F.col(self.key) == key)
+
+    def remove(self, keys: DataFrame) -> None:
+        self._write(self.all().join(keys.select(self.key), self.key, "left_anti"))
