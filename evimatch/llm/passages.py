@@ -109,13 +109,21 @@ def _segment_texts(size: int):
 def _locate(size: int):
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("anchor", "under", "lo", "hi", "words")), strict=True))
+        code: dict[str, str] = {}  # a character for each word of the shard, so a window is a string of ``size`` characters
         first: dict[str, list] = {}
         said = []
         for _, _, lo, hi, words in rows:
-            own = words.decode("utf-8", "surrogateescape").split(" ")
-            said.append(own)
-            for i in range(len(own) - size + 1):
-                key = " ".join(own[i : i + size])
+            own = []
+            for w in words.split(b" "):
+                c = code.get(w)
+                if c is None:
+                    n = len(code)
+                    c = code[w] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are not characters
+                own.append(c)
+            line = "".join(own)
+            said.append(line)
+            for i in range(len(line) - size + 1):
+                key = line[i : i + size]
                 seen = first.get(key)
                 if seen is None:
                     first[key] = [lo, hi]
@@ -124,22 +132,18 @@ def _locate(size: int):
         automaton = ahocorasick.Automaton()
         for key, (lo, hi) in first.items():
             if lo < hi:  # confirmed: the very words are in two texts at least
-                automaton.add_word(f" {key} ", lo)
-        del first
+                automaton.add_word(key, lo)
+        del first, code
         out_a, out_u, out_f = [], [], []
         if len(automaton):
             automaton.make_automaton()
-            for (anchor, under, _, _, _), own in zip(rows, said, strict=True):
-                line = f" {' '.join(own)} "
-                found: list[int | None] = [None] * (len(own) - size + 1)
-                ends = {}
-                at = 0
-                for i, word in enumerate(own):
-                    at += len(word) + 1
-                    ends[at] = i
+            for (anchor, under, _, _, _), line in zip(rows, said, strict=True):
+                found: list[int | None] = [None] * (len(line) - size + 1)
+                hit = False
                 for end, holder in automaton.iter(line):
-                    found[ends[end] - size + 1] = holder
-                if any(x is not None for x in found):
+                    found[end - size + 1] = holder
+                    hit = True
+                if hit:
                     out_a.append(anchor)
                     out_u.append(under)
                     out_f.append(found)
