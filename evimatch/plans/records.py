@@ -61,9 +61,9 @@ def cards_search_sort_page(get):
     return records.search_page(get("cards"), "17", ["name", "set_name", "variant"], "set_name", "card_id").select("card_id", "name", "set_name")
 
 
-@query("select card_id from {cards} where card_id between 20 and 320")
+@query("select card_id from {cards} where card_id between 20 and 120")
 def selection_range(get):
-    return records.range_ids(get("cards"), "card_id", "card_id", 320, 20)
+    return records.range_ids(get("cards"), "card_id", "card_id", 120, 20)
 
 
 @query("select count(*) as n, count(*) filter (where state = 'FAILED') as chosen, count(*) filter (where state = 'FAILED') > 0 as some_chosen, count(*) > 0 and count(*) = count(*) filter (where state = 'FAILED') as all_chosen from {cards}")

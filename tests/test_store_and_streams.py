@@ -1,0 +1,39 @@
+import numpy as np
+
+from evimatch.operators import images, jobs
+from evimatch.sources.store import Store
+
+
+def test_store(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/cards")
+    s.put(spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"))
+    s.put(spark.createDataFrame([(2, "c"), (3, "d")], "id int, x string"))
+    assert sorted(map(tuple, s.all().collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    s.remove(spark.createDataFrame([(1,)], "id int"))
+    assert s.get(1).count() == 0 and s.all().count() == 2
+
+
+def test_breaker_stream(spark, tmp_path):
+    from evimatch.streaming import jobs as live
+
+    rows = [(7, i, f"2024-01-01 00:00:{i:02d}", i != 3) for i in range(12)]
+    spark.createDataFrame(rows, "job_id long, event_id long, ts string, failed boolean").selectExpr("job_id", "event_id", "cast(ts as timestamp) ts", "failed").write.parquet(f"{tmp_path}/log")
+    log = spark.readStream.schema("job_id long, event_id long, ts timestamp, failed boolean").parquet(f"{tmp_path}/log")
+    q = live.breakers(log).writeStream.outputMode("update").format("memory").queryName("breakers").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in spark.sql("select * from breakers").collect()] == [(7, 8, True)]
+
+
+def test_rate_limit(spark):
+    r = spark.createDataFrame([(1, i, 0) for i in range(14)], "client long, request_id long, at_ms long")
+    waits = [x.wait_ms for x in jobs.rate_limit(r).orderBy("request_id").collect()]
+    assert waits[:12] == [0.0] * 12 and abs(waits[12] - 1000 / 3) < 1e-6 and abs(waits[13] - 2000 / 3) < 1e-6
+
+
+def test_card_is_found(spark):
+    y, x = np.mgrid[0:120, 0:90]
+    gray = np.where((abs(x - 45) < 25) & (abs(y - 60) < 35), 220.0, 90.0 + x * 0.1)
+    df = spark.createDataFrame([(1, 90, 120, gray.ravel().tolist())], "image_id long, width int, height int, gray array<double>")
+    r = images.locate(df).first()
+    assert abs(r.cx - 45) < 2 and abs(r.cy - 60) < 2 and abs(r.w - 49) < 4 and abs(r.h - 69) < 4 and abs(r.angle) < 0.03
