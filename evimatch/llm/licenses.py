@@ -54,7 +54,7 @@ def anchors(templates: dict[str, str]) -> list[str]:
         for s in open_sets:
             for w in {w for g in s for w in g}:
                 counts[w] = counts.get(w, 0) + (100 * sum(w not in g for g in s) < PERCENT * len(s))
-        best = max(sorted(counts), key=lambda w: (counts[w], len(w)))
+        best = max(sorted(set(counts) - set(chosen)), key=lambda w: (len(w) > 5, counts[w], len(w)))  # long words are rare in other texts
         chosen.append(best)
         open_sets = [s for s in open_sets if 100 * sum(not any(w in g for w in chosen) for g in s) >= PERCENT * len(s)]
     return chosen
