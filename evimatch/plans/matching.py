@@ -116,8 +116,7 @@ def route_union_dedupe(get):
 
 @query("select c.id, c.name, c.num || '/' || s.total as number, s.released as year from {ref_cards} c left join {ref_sets} s on s.set_name = c.set_name and s.total >= 60")
 def set_enrichment(get):
-    s = get("ref_sets").where("total >= 60")
-    return get("ref_cards").join(s, "set_name", "left").select("id", "name", F.concat(F.col("num").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("number"), F.col("released").alias("year"))
+    return get("ref_cards").join(get("ref_sets"), "set_name", "left").select("id", "name", F.concat(F.col("num").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("number"), F.col("released").alias("year"))
 
 
 @query("select cid, den from {captures} where den in (select total from {ref_sets})")
@@ -127,7 +126,7 @@ def known_totals_semi(get):
 
 @query("select set_name, id, language from (select *, max(case when language = 'de' and num <= 3 then 1 else 0 end) over (partition by set_name) as hit from {ref_cards} where num <= 3) where hit = 0 or language = 'de'")
 def prefer_language(get):
-    return catalog.prefer_language(get("ref_cards").where("num <= 3"), "set_name", "de").select("set_name", "id", "language")
+    return catalog.prefer_language(get("ref_cards"), "set_name", "de").select("set_name", "id", "language")
 
 
 @query(f"select doc_id, md5({fold_sql('text')}) as folded, length({fold_sql('text')}) as n from documents")
