@@ -5,7 +5,10 @@ import os
 import duckdb
 import pytest
 
+from evimatch.operators import catalog
 from evimatch.plans import catalogue
+from evimatch.plans.matching import _ROUTE1, _SATISFIED
+from evimatch.plans.registry import fold_sql, similarity_sql
 from evimatch.plans.views import BASE, expand
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -34,3 +37,28 @@ def test_prefer_language_judges_all_cards(spark, duck):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_set_enrichment_takes_all_sets(spark, duck):
     _same(spark, duck, "set_enrichment", "select c.id, c.name, c.num || '/' || s.total as number, s.released as year from {ref_cards} c left join {ref_sets} s using (set_name)")
+
+
+def test_name_search_finds_names_inside_names_and_cut_names(spark):
+    cards = spark.createDataFrame([(1, "cold plate", 4, 60), (2, "plate", 9, 60), (3, "Dialga", 7, 90), (4, "dialga ex", 8, 90), (5, "late", 1, 10)], "id long, name string, num int, hp int")
+    asked = spark.createDataFrame([(1, "old plate", 4, 60), (2, "Dialgawes", 7, None), (3, "Dialgawes", 5, None), (4, "Dialgaxy", None, None), (5, "plate", 3, 60), (6, "Dialga exqqqq", None, None)], "cid long, name string, num int, hp int")
+    got = {(r.cid, r.id, r.tier) for r in catalog.name_tiers(asked, cards).collect()}
+    assert got == {(1, 1, 1), (2, 3, 7), (4, 3, 6), (4, 4, 6), (5, 1, 3), (5, 2, 3)}
+
+
+_SEARCH = f"""p as (select q.cid, q.num as q_num, q.hp as q_hp, q.f as q, c.f as c, c.id, c.num, c.hp from (select *, {fold_sql("name")} as f from captures_) q join (select *, {fold_sql("name")} as f from {{ref_cards}}) c on contains(c.f, left(q.f, 4)) where length(regexp_replace(q.f, '[^a-z]', '', 'g')) >= 4),
+k as (select *, case when contains(c, q) then 0 when length(q) >= 6 and contains(c, left(q, length(q) - 1)) then 1 when length(q) >= 7 and contains(c, left(q, length(q) - 2)) then 2 when length(q) >= 8 and contains(c, left(q, length(q) - 3)) then 3 end as cut from p),
+hit as (select *, case when cut > 0 then case when q_num is null or num = q_num then 4 + cut end when cut = 0 then case when num = q_num and hp = q_hp then 1 when num = q_num then 2 when hp = q_hp then 3 else 4 end end as tier, left(q, length(q) - cut) as t from k),
+least as (select cid, id, tier, {similarity_sql("c", "t")} as close, min(tier) over (partition by cid) as low from hit where tier is not null),
+two as (select cid, id, tier from (select *, row_number() over (partition by cid order by close desc, id) as k from least where tier = low) where k <= 8)"""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_route_relaxation_over_whole_names(spark, duck):
+    _same(spark, duck, "route_relaxation", f"with captures_ as (select * from {{captures}}), {_SEARCH} select cid, id, tier from two")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_route_union_over_whole_names(spark, duck):
+    one = f"with {_ROUTE1}, {_SATISFIED}, captures_ as (select * from {{captures}} where cid not in (select cid from sat)), {_SEARCH}"
+    _same(spark, duck, "route_union_dedupe", f"{one} select cid, id, cast(min(route) as integer) as route from (select cid, id, 1 as route from one union all select cid, id, 2 as route from two) group by cid, id")
