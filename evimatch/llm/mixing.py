@@ -2,12 +2,17 @@
 
 Each text is taken k times, k drawn from a Poisson distribution whose mean is its source's target repetition rate: the target
 share of the bytes over the share the source has.  The draw inverts the distribution at a uniform number made from a seed and the
-text's id, so it is the same on every run and for every layout.  Copies are dealt out by a hash of seed, id and copy number and
+text's id, so it is the same on every run and for every layout.  Large rates are inverted too, from log probabilities.  Copies are dealt out by a hash of seed, id and copy number and
 sorted by it within partitions: a global shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,12 @@ from evimatch.llm.tables import Scratch, partitions
 
 #: Sources whose rates are sent to every task; with more, the rates are joined by a shuffle (which splits hot sources).
 BROADCAST_SOURCES = 10_000
+#: Steps of all sources that are sent to every task.
+BROADCAST_STEPS = 4_000_000
+#: Up to this rate exp(-rate) is a number above 0.
+SUMMED_RATE = 700
+#: Copies that a text's list of copies holds at once, where rates are large.
+COPY_BLOCK = 10_000
 _BITS = 48
 
 
@@ -52,24 +63,50 @@ def poisson_steps(rate: str = "rate") -> str:
     return f"aggregate(sequence(1, {top}), {start}, {add}, s -> s.all)"
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """source, bytes, rate -> the same with low and steps: P(low <= X <= low), P(low <= X <= low + 1), ..., 12 deviations to each side.
+
+    What is left out has a probability below 1e-30, far less than one step of the uniform number.
+    """
+    for batch in batches:
+        low, steps = [], []
+        for rate in batch.column(2).to_pylist():
+            lo, hi = (int(rate + side * (12 * math.sqrt(rate) + 20)) for side in (-1, 1))
+            first = lo * math.log(rate / lo) - (rate - lo) - math.log(2 * math.pi * lo) / 2 - 1 / (12 * lo) + 1 / (360 * lo**3)
+            logs = first + np.concatenate(([0.0], np.cumsum(np.log(rate / np.arange(lo + 1, hi + 1)))))
+            low.append(lo)
+            steps.append(np.cumsum(np.exp(logs)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64()), pa.array(steps, pa.list_(pa.float64()))], names=["source", "bytes", "rate", "low", "steps"])
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shuffle: bool = True) -> DataFrame:
     """All columns of docs, each row as often as drawn, with copy_no (from 1) and mix_key, the place in the global order.
 
     Rows with a null or empty text, or of a source without weight, have rate 0 and go.  A null id draws like any other value; rows
-    that share an id draw alike.  Rates above about 700 are refused, since exp(-rate) is then 0.
+    that share an id draw alike.  A rate may be of any size.
     """
     spark = docs.sparkSession
-    table = Scratch(spark, "mixing").table(rates(docs, weights, epochs=epochs, text_col=text_col, source_col=source_col).withColumn("steps", F.expr(poisson_steps())), "rates")
-    size = table.agg(F.count("*").alias("n"), F.max("rate").alias("top")).first()
-    if size.top is not None and size.top > 700:
-        raise ValueError(f"a source would be repeated {size.top:.0f} times; lower its weight or epochs")
-    small = table.select(F.col("source").alias("__source"), F.col("steps").alias("__steps"))
+    scratch = Scratch(spark, "mixing")
+    rated = scratch.table(rates(docs, weights, epochs=epochs, text_col=text_col, source_col=source_col), "rated")
+    table = rated.where(f"rate <= {SUMMED_RATE}").withColumn("low", F.lit(0).cast("long")).withColumn("steps", F.expr(poisson_steps()))
+    top = rated.agg(F.max("rate").alias("top")).first().top
+    large = top is not None and top > SUMMED_RATE
+    if large:
+        table = table.unionByName(rated.where(f"rate > {SUMMED_RATE}").mapInArrow(_inverted, "source string, bytes long, rate double, low long, steps array<double>"))
+    table = scratch.table(table, "rates")
+    size = table.agg(F.count("*").alias("n"), F.sum(F.size("steps")).alias("steps")).first()
+    few = size.n <= BROADCAST_SOURCES and (size.steps or 0) <= BROADCAST_STEPS
+    small = table.select(F.col("source").alias("__source"), F.col("low").alias("__low"), F.col("steps").alias("__steps"))
     keyed = docs.withColumn("__key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     keyed = keyed.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).where(F.octet_length(F.col(text_col).cast("string")) > 0)
-    drawn = keyed.join(F.broadcast(small) if size.n <= BROADCAST_SOURCES else small, F.col("__key") == F.col("__source"))
+    drawn = keyed.join(F.broadcast(small) if few else small, F.col("__key") == F.col("__source"))
     u = uniform(seed, "__id")
-    times = drawn.withColumn("__u", u).withColumn("__k", F.expr("size(filter(__steps, c -> c <= __u))")).where("__k > 0")
-    copies = times.withColumn("copy_no", F.explode(F.expr("sequence(1, __k)")))
+    times = drawn.withColumn("__u", u).withColumn("__k", F.expr("__low + size(filter(__steps, c -> c <= __u))")).where("__k > 0")
+    if large:  # no list holds all copies of a text
+        times = times.drop("__steps").withColumn("__from", F.explode(F.expr(f"sequence(1L, __k, {COPY_BLOCK}L)")))
+        copies = times.withColumn("copy_no", F.explode(F.expr(f"sequence(__from, least(__k, __from + {COPY_BLOCK - 1}L))")))
+    else:
+        copies = times.withColumn("copy_no", F.explode(F.expr("sequence(1L, __k)")))
     out = copies.withColumn("mix_key", uniform(seed + 1, "__id", "copy_no")).select(*docs.columns, "copy_no", "mix_key")
     if shuffle:
         out = out.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
