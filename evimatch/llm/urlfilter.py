@@ -2,7 +2,7 @@
 
 DataFrame operations only.  A list is a log of changes (kind, pattern, action, at).  Changes of one pattern are ordered by time and
 each holds until the next; a capture at time t is matched as of t.  A URL is turned into the keys an entry could name - its host,
-every domain above it, its host with every leading part of its path - and meets the list by equality on the key.
+every domain above it, its host with every leading part of its path as deep as the list goes - and meets the list by equality on the key.
 """
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path parts that a prefix entry can name.
-PATH_PARTS = 4
-
 
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, pattern, since, until (null: still holds): when a pattern was on the list.
@@ -36,14 +33,20 @@ def path_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All (kind, pattern) pairs that an entry matching this URL can have."""
+def deepest(held: DataFrame) -> DataFrame:
+    """One row, deepest: path parts that any prefix entry names at most."""
+    parts = F.length("pattern") - F.length(F.translate("pattern", "/", ""))
+    return held.agg(F.coalesce(F.max(F.when(F.col("kind") == "prefix", parts)), F.lit(0)).alias("deepest"))
+
+
+def keys_of(host: Column, path: Column, deepest: Column) -> Column:
+    """All (kind, pattern) pairs that an entry matching this URL can have; no prefix entry has more than deepest path parts."""
     kinds = "struct<kind:string,pattern:string>"
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
-    depth = F.least(F.size(parts), F.lit(PATH_PARTS))
+    depth = F.least(F.size(parts), deepest)
     prefixes = F.transform(F.sequence(F.lit(0), depth), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.when(i > 0, F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("pattern")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern")))
     return F.when(host != "", F.concat(own, domains, prefixes)).otherwise(F.array().cast(f"array<{kinds}>"))
@@ -59,8 +62,10 @@ def judge(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", u
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     own = captures.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(at_col).cast("timestamp").alias("at"))
     lookup = own.where("host <> ''").select("host", "path", "at").distinct()
-    keyed = lookup.select("host", "path", "at", F.explode(keys_of(F.col("host"), F.col("path"))).alias("key")).select("host", "path", "at", "key.kind", "key.pattern")
-    held = intervals(entries).withColumnsRenamed({"kind": "k", "pattern": "p"})
+    listed = intervals(entries)
+    deep = lookup.crossJoin(F.broadcast(deepest(listed)))  # one row
+    keyed = deep.select("host", "path", "at", F.explode(keys_of(F.col("host"), F.col("path"), F.col("deepest"))).alias("key")).select("host", "path", "at", "key.kind", "key.pattern")
+    held = listed.withColumnsRenamed({"kind": "k", "pattern": "p"})
     active = keyed.join(held, F.expr("kind = k and pattern = p and at >= since and (until is null or at < until)"))
     found = active.groupBy("host", "path", "at").agg(F.count("*").alias("n_entries"), F.min(F.concat_ws(":", "kind", "pattern")).alias("matched"))
     meet = own.join(found, ["host", "path", "at"], "left")

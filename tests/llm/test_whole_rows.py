@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from evimatch.llm import mixing
+from evimatch.llm import mixing, urlfilter
 from evimatch.llm.oracles import ORACLES
 
 
@@ -30,3 +30,14 @@ def test_large_rates_are_inverted_like_small_ones():
     k = np.arange(1, low + len(steps))
     whole = np.cumsum(np.exp(-650.0 + np.concatenate(([0.0], np.cumsum(np.log(650.0 / k))))))
     assert np.abs(whole[low:] - steps).max() < 1e-12 and whole[low - 1] < 1e-25 and abs(steps[-1] - 1) < 1e-12
+
+
+def test_url_lists_take_deep_prefixes(spark):
+    entries = spark.createDataFrame([("prefix", "ok.org/a/b/c/d/e/", "add", "2024-01-01"), ("prefix", "ok.org/1/2/3/4/5/6/7", "add", "2024-01-01"), ("host", "no.org", "add", "2024-01-01")], "kind string, pattern string, action string, at string")
+    urls = ["http://ok.org/a/b/c/d/e", "http://ok.org/a/b/c/d/e/f/g?x", "http://ok.org/a/b/c/d", "http://ok.org/a/b/c/d/ee", "http://ok.org/1/2/3/4/5/6/7/8/9", "http://ok.org/1/2/3/4/5/6", "http://no.org/a/b/c/d/e/f"]
+    seen = spark.createDataFrame([(i, u, "2024-05-01") for i, u in enumerate(urls)], "page_id long, url string, fetched_at string")
+    got = {r.page_id: r.matched for r in urlfilter.judge(seen, entries).collect()}
+    deep = "prefix:ok.org/a/b/c/d/e"
+    assert got == {0: deep, 1: deep, 2: "", 3: "", 4: "prefix:ok.org/1/2/3/4/5/6/7", 5: "", 6: "host:no.org"}
+    assert {r.matched for r in urlfilter.judge(seen, entries.where("kind = 'host'")).collect()} == {"", "host:no.org"}
+    assert not any(r.blocked for r in urlfilter.judge(seen, entries.limit(0)).collect())
