@@ -78,21 +78,30 @@ def _hits(words: wg.Words, block: _Block) -> tuple[np.ndarray, list[set[str]]]:
     return np.cumsum(edge[:-1]) > 0, items
 
 
-def _scan(block_of):
+_FOUND = "n_words long, hits array<int>, items array<string>"
+
+
+def _scan(block_of, again: bool, more: bool):
+    """doc_id, text and, if again, what earlier blocks found -> doc_id, the text if more blocks follow, and what is found so far."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = block_of.value
         for batch in batches:
             for words in wg.pieces(batch.column(1), wg.ALNUM, lower=True):
                 hit, items = _hits(words, block)
                 hit_at = [np.flatnonzero(hit[lo:hi]).astype(np.int32) for lo, hi in zip(words.first[:-1], words.first[1:], strict=True)]
+                own = batch.slice(words.row, words.n_texts)
+                if again:
+                    hit_at = [np.union1d(x, np.array(y, dtype=np.int32)) if y else x for x, y in zip(hit_at, own.column(3).to_pylist(), strict=True)]
+                    items = [x.union(y) for x, y in zip(items, own.column(4).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(words.row, words.n_texts),
+                        *own.columns[: 2 if more else 1],
                         pa.array(words.counts.astype(np.int64)),
                         pa.array(hit_at, pa.list_(pa.int32())),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "hits", "items"],
+                    names=["doc_id", *(["text"] if more else []), "n_words", "hits", "items"],
                 )
 
     return run
@@ -113,19 +122,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.  A window is ``window`` consecutive words of
     an item; an item of fewer words, but not none, is one window.  A null or empty text has no words and so no hits.  Repeated
-    items count once; an item with a null id still hits words but names no item.  An empty benchmark hits nothing.  More than
-    one block needs a non-null, unique doc_id to bring the blocks' hits together.
+    items count once; an item with a null id still hits words but names no item.  An empty benchmark hits nothing.  Rows go from
+    block to block as they are, with what was found so far, so null and repeated ids stay rows of their own.
     """
-    own = texts(docs, id_col, text_col)
-    parts = [own.mapInArrow(_scan(block), "doc_id long, n_words long, hits array<int>, items array<string>") for block in _blocks(docs, benchmark, item_col, item_text_col, window, block_windows)]
-    if len(parts) == 1:
-        return parts[0]
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.union(x.where("size(hits) > 0"))
-    return found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+    found = texts(docs, id_col, text_col)
+    blocks = _blocks(docs, benchmark, item_col, item_text_col, window, block_windows)
+    for i, block in enumerate(blocks):
+        more = i + 1 < len(blocks)
+        found = found.mapInArrow(_scan(block, i > 0, more), f"doc_id long, {'text string, ' if more else ''}{_FOUND}")
+    return found
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from evimatch.llm import mixing, urlfilter
+from evimatch.llm import decontaminate, mixing, urlfilter
 from evimatch.llm.oracles import ORACLES
 
 
@@ -41,3 +41,13 @@ def test_url_lists_take_deep_prefixes(spark):
     assert got == {0: deep, 1: deep, 2: "", 3: "", 4: "prefix:ok.org/1/2/3/4/5/6/7", 5: "", 6: "host:no.org"}
     assert {r.matched for r in urlfilter.judge(seen, entries.where("kind = 'host'")).collect()} == {"", "host:no.org"}
     assert not any(r.blocked for r in urlfilter.judge(seen, entries.limit(0)).collect())
+
+
+def test_contamination_is_the_same_for_any_block_size(spark):
+    said = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, said), (None, "nothing here"), (None, None), (None, f"x {said[:60]} y"), (5, said), (5, "other words"), (5, f"a {said}"), (6, ""), (7, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, said), (2, "one two"), (3, " ".join(f"p{i}" for i in range(12, 25))), (None, "other")], "item_id long, text string")
+    found = [sorted(map(repr, decontaminate.contamination(docs, bench, block_windows=n).select("doc_id", "n_words", "hits", "items").collect())) for n in (200_000, 7, 2)]
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    assert sum("items=[]" not in r for r in found[0]) == 5
