@@ -103,7 +103,7 @@ def pair_by_order(get):
 o as (select *, row_number() over (partition by conv_id, kind order by not inferred desc, confidence desc, side = 'front' desc, value desc) as k from e)
 select conv_id, kind, value, confidence, side from o where k = 1""".replace("{conversations}", "conversations"))
 def evidence_merge(get):
-    e = get("conversations").select("conv_id", F.expr("case when turn % 3 = 0 then 'name' else 'year' end").alias("kind"), F.substring("text", 1, 12).alias("value"), (F.length("text") % 100 / 100.0).cast("double").alias("confidence"), (F.col("turn") % 5 == 1).alias("inferred"), "role")
+    e = get("conversations").select("conv_id", F.expr("case when turn % 3 = 0 then 'name' else 'year' end").alias("kind"), F.col("text").alias("value"), (F.length("text") % 100 / 100.0).cast("double").alias("confidence"), (F.col("turn") % 5 == 1).alias("inferred"), "role")
     front, back = e.where("role = 'user'").drop("role"), e.where("role <> 'user'").drop("role")
     return merging.merge_evidence(front, back, ["conv_id", "kind"])
 
@@ -332,5 +332,5 @@ def rate_limiter(get):
 
 @query()
 def combine_names(get):
-    n = get("conversations").select(F.col("conv_id").alias("card_id"), F.when(F.col("role") == "user", "front").otherwise("back").alias("side"), F.col("turn").alias("pos"), F.substring("text", 1, 14).alias("text"), (F.length("text") % 100 / 100.0).cast("double").alias("confidence")).withColumn("score", F.col("confidence"))
+    n = get("conversations").select(F.col("conv_id").alias("card_id"), F.when(F.col("role") == "user", "front").otherwise("back").alias("side"), F.col("turn").alias("pos"), "text", (F.length("text") % 100 / 100.0).cast("double").alias("confidence")).withColumn("score", F.col("confidence"))
     return merging.combine_names(n)

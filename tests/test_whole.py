@@ -1,11 +1,12 @@
 """Queries over all their rows, against SQL without any row or text limit."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
-from evimatch.operators import catalog
+from evimatch.operators import catalog, merging
 from evimatch.plans import catalogue
 from evimatch.plans.matching import _ROUTE1, _SATISFIED
 from evimatch.plans.registry import fold_sql, similarity_sql
@@ -62,3 +63,33 @@ def test_route_relaxation_over_whole_names(spark, duck):
 def test_route_union_over_whole_names(spark, duck):
     one = f"with {_ROUTE1}, {_SATISFIED}, captures_ as (select * from {{captures}} where cid not in (select cid from sat)), {_SEARCH}"
     _same(spark, duck, "route_union_dedupe", f"{one} select cid, id, cast(min(route) as integer) as route from (select cid, id, 1 as route from one union all select cid, id, 2 as route from two) group by cid, id")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_evidence_merge_gives_whole_texts(spark, duck):
+    e = "select conv_id, case when turn % 3 = 0 then 'name' else 'year' end as kind, text as value, cast(length(text) % 100 as double) / 100.0::double as confidence, turn % 5 = 1 as inferred, case when role = 'user' then 'front' else 'back' end as side from conversations"
+    o = f"select *, row_number() over (partition by conv_id, kind order by not inferred desc, confidence desc, side = 'front' desc, value desc) as k from ({e})"
+    _same(spark, duck, "evidence_merge", f"select conv_id, kind, value, confidence, side from ({o}) where k = 1")
+
+
+def test_combine_names_compares_whole_texts(spark, tmp_path):
+    start = "The same long beginning of "
+    turns = [(1, 0, "user", start + "one story about rivers"), (1, 1, "assistant", start + "another tale, with quite different words"), (2, 0, "user", start + "a third story"), (2, 1, "assistant", start + "a third  story!")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.card_id, r.text, r.agreed) for r in catalogue.QUERIES["combine_names"](spark, str(tmp_path)).collect()}
+    assert {(i, agreed) for i, _, agreed in got} == {(1, False), (2, True)} and {x for i, x, _ in got if i == 1} == {turns[0][3], turns[1][3]}
+
+
+def test_edits_equal_the_table():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert merging._edits(a, b) == plain(a, b)
