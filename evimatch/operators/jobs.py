@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,24 +55,30 @@ def illegal_moves(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return moves.join(F.broadcast(edges), ["was", "state"], "left_anti")
 
 
-def _pace(rate: float, burst: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at_ms", "request_id"], kind="stable")
-        tokens, last, free, waits = float(burst), None, 0.0, []
-        for at in group["at_ms"]:
-            now = max(float(at), free)
-            if last is not None:
-                tokens = min(float(burst), tokens + (now - last) * rate / 1000)
-            wait = 0.0 if tokens >= 1 else (1 - tokens) / rate * 1000
-            tokens = tokens + wait * rate / 1000 - 1
-            last = free = now + wait
-            waits.append(free - float(at))
-        return pd.DataFrame({"client": group["client"], "request_id": group["request_id"], "wait_ms": waits})
-
-    return run
+#: Milliseconds of a block of requests in rate_limit.
+PACE_BLOCK = 60_000
 
 
 def rate_limit(requests: DataFrame, rate: float = 3.0, burst: int = 12) -> DataFrame:
-    """requests (client, request_id, at_ms) -> wait_ms under a token bucket of each client.  A bucket is a running state, so it is
-    followed in order per client."""
-    return requests.groupBy("client").applyInPandas(_pace(rate, burst), "client long, request_id long, wait_ms double")
+    """requests (client, request_id, at_ms) -> wait_ms under a token bucket of each client, served in order.
+
+    With i the place of a request from 0, the bucket is spent until V(i) = (i + 1) / rate + the largest at(j) - j / rate up to i, and
+    the wait is V(i) - burst / rate - at(i), if above 0.  Counts and largest values are taken by block of time and then carried from
+    block to block, so a client's requests are never brought together.  Requests without a time come last and have no wait.
+    """
+    at = F.col("at_ms")
+    own = requests.select(F.col("client").cast("long").alias("client"), F.col("request_id").cast("long").alias("request_id"), "at_ms", F.floor(at / PACE_BLOCK).alias("block"))
+    order = Window.partitionBy("client", "block").orderBy(at.asc_nulls_last(), "request_id")
+    placed = own.withColumn("i", (F.row_number().over(order) - 1).cast("long"))
+    # in requests times milliseconds, so whole rates give whole numbers
+    placed = placed.withColumn("lead", at * F.lit(rate) - F.col("i") * 1000)
+    sums = placed.groupBy("client", "block").agg(F.count("*").alias("n"), F.max("lead").alias("most"))
+    before = Window.partitionBy("client").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    carried = sums.withColumn("earlier", F.max(F.col("most") - F.col("start") * 1000).over(before))
+    carried = carried.select(F.col("client").alias("c"), F.col("block").alias("b"), "start", "earlier")
+    so_far = placed.withColumn("most", F.max("lead").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = so_far.join(carried, F.col("client").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
+    most = F.greatest(F.col("most") - F.col("start") * 1000, F.col("earlier"))
+    spent = (F.col("start") + F.col("i") + (1 - burst)) * 1000 + most - at * F.lit(rate)
+    return both.select("client", "request_id", F.when(at.isNotNull(), F.greatest(F.lit(0.0), spent / rate)).alias("wait_ms"))

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from evimatch.operators import catalog, merging
+from evimatch.operators import catalog, jobs, merging
 from evimatch.plans import catalogue
 from evimatch.plans.matching import _ROUTE1, _SATISFIED
 from evimatch.plans.registry import fold_sql, similarity_sql
@@ -93,3 +93,29 @@ def test_edits_equal_the_table():
     for _ in range(500):
         a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(90))) for _ in range(2))
         assert merging._edits(a, b) == plain(a, b)
+
+
+def test_rate_limit_by_blocks_equals_the_bucket(spark):
+    rng, rows = random.Random(8), []
+    for client in (1, 2, 3, None):
+        at = 0
+        for k in range(400):
+            at += rng.choice([0, 0, 1, 50, 300, 400, 1500, 90_000 if k % 50 == 0 else 10])
+            rows.append((client, 1000 - k, at))
+    rows += [(3, 5000 + k, 10_000_000) for k in range(300)] + [(4, 1, None), (4, 2, 7)]
+    want = {(4, 1): None, (4, 2): 0.0}
+    for client in (1, 2, 3, None):
+        tokens, last, free = 12.0, None, 0.0
+        for at, i in sorted((r[2], r[1]) for r in rows if r[0] == client):
+            now = max(float(at), free)
+            tokens = tokens if last is None else min(12.0, tokens + (now - last) * 3 / 1000)
+            wait = 0.0 if tokens >= 1 else (1 - tokens) / 3 * 1000
+            tokens, last = tokens + wait * 3 / 1000 - 1, now + wait
+            free = last
+            want[client, i] = free - at
+    frame = jobs.rate_limit(spark.createDataFrame(rows, "client long, request_id long, at_ms long"))
+    got = {(r.client, r.request_id): r.wait_ms for r in frame.collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(want[k] is None and got[k] is None or abs(got[k] - want[k]) < 1e-6 for k in want) and max(w or 0 for w in want.values()) > 60_000
+    plan = frame._jdf.queryExecution().toString()
+    assert "InPandas" not in plan
