@@ -51,3 +51,18 @@ def test_contamination_is_the_same_for_any_block_size(spark):
     found = [sorted(map(repr, decontaminate.contamination(docs, bench, block_windows=n).select("doc_id", "n_words", "hits", "items").collect())) for n in (200_000, 7, 2)]
     assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
     assert sum("items=[]" not in r for r in found[0]) == 5
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    def text(k):
+        return " ".join(f"t{k}w{i}" for i in range(60))
+
+    near = text(1).replace("t1w59", "changed")
+    rows = [(3, text(1)), (3, text(1)), (9, near), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(3)), (5, text(3)), (6, text(5)), (None, text(6)), (10, ""), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(3, text(1)), (None, text(2)), (7, text(4)), (5, text(3)), (6, text(5)), (None, text(6)), (10, ""), (11, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
