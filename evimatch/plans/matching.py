@@ -86,9 +86,13 @@ where abs(q.year - c.year) <= 1 and {similarity_sql(fold_sql("q.name"), fold_sql
 
 
 def _tiers(source: str) -> str:
-    return f"""hit as (select q.cid, c.id, case when c.num = q.num and c.hp = q.hp then 1 when c.num = q.num then 2 when c.hp = q.hp then 3 else 4 end as tier, {similarity_sql("c.f", "q.f")} as close
-  from (select *, {fold_sql("name")} as f from {source}) q join (select *, {fold_sql("name")} as f from {{ref_cards}}) c on contains(c.f, q.f) and left(c.f, 3) = left(q.f, 3) where length(regexp_replace(q.f, '[^a-z]', '', 'g')) >= 4),
-least as (select *, min(tier) over (partition by cid) as low from hit),
+    """The name route by plain contains, over all pairs of the two tables: whole names, then names without their last letters."""
+    cut = "case when contains(c.f, q.f) then 0 when length(q.f) >= 6 and contains(c.f, left(q.f, length(q.f) - 1)) then 1 when length(q.f) >= 7 and contains(c.f, left(q.f, length(q.f) - 2)) then 2 when length(q.f) >= 8 and contains(c.f, left(q.f, length(q.f) - 3)) then 3 end"
+    return f"""asked as (select *, {fold_sql("name")} as f from {source}), named as (select *, {fold_sql("name")} as f from {{ref_cards}}),
+met as (select q.f as qf, c.f as cf, {cut} as cut from (select distinct f from asked where length(regexp_replace(f, '[^a-z]', '', 'g')) >= 4) q, (select distinct f from named) c),
+hit as (select q.cid, c.id, {similarity_sql("c.f", "left(q.f, length(q.f) - met.cut)")} as close, case when met.cut > 0 then case when q.num is null or c.num = q.num then 4 + met.cut end
+  when c.num = q.num and c.hp = q.hp then 1 when c.num = q.num then 2 when c.hp = q.hp then 3 else 4 end as tier from met join asked q on q.f = met.qf join named c on c.f = met.cf where met.cut is not null),
+least as (select *, min(tier) over (partition by cid) as low from hit where tier is not null),
 two as (select cid, id, tier from (select *, row_number() over (partition by cid order by close desc, id) as k from least where tier = low) where k <= 8)"""
 
 
@@ -114,7 +118,7 @@ def route_union_dedupe(get):
     return catalog.search(*_catalog(get))
 
 
-@query("select c.id, c.name, c.num || '/' || s.total as number, s.released as year from {ref_cards} c left join {ref_sets} s on s.set_name = c.set_name and s.total >= 60")
+@query("select c.id, c.name, c.num || '/' || s.total as number, s.released as year from {ref_cards} c left join {ref_sets} s on s.set_name = c.set_name")
 def set_enrichment(get):
     return get("ref_cards").join(get("ref_sets"), "set_name", "left").select("id", "name", F.concat(F.col("num").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("number"), F.col("released").alias("year"))
 
@@ -124,7 +128,7 @@ def known_totals_semi(get):
     return get("captures").join(get("ref_sets").select(F.col("total").alias("den")), "den", "left_semi").select("cid", "den")
 
 
-@query("select set_name, id, language from (select *, max(case when language = 'de' and num <= 3 then 1 else 0 end) over (partition by set_name) as hit from {ref_cards} where num <= 3) where hit = 0 or language = 'de'")
+@query("select set_name, id, language from (select *, max(case when language = 'de' then 1 else 0 end) over (partition by set_name) as hit from {ref_cards}) where hit = 0 or language = 'de'")
 def prefer_language(get):
     return catalog.prefer_language(get("ref_cards"), "set_name", "de").select("set_name", "id", "language")
 

@@ -99,7 +99,7 @@ def pair_by_order(get):
     return merging.pair_by_order(get("photos"))
 
 
-@query("""with e as (select conv_id, case when turn % 3 = 0 then 'name' else 'year' end as kind, left(text, 12) as value, cast(length(text) % 100 as double) / 100.0::double as confidence, turn % 5 = 1 as inferred, case when role = 'user' then 'front' else 'back' end as side, turn from {conversations}),
+@query("""with e as (select conv_id, case when turn % 3 = 0 then 'name' else 'year' end as kind, text as value, cast(length(text) % 100 as double) / 100.0::double as confidence, turn % 5 = 1 as inferred, case when role = 'user' then 'front' else 'back' end as side, turn from {conversations}),
 o as (select *, row_number() over (partition by conv_id, kind order by not inferred desc, confidence desc, side = 'front' desc, value desc) as k from e)
 select conv_id, kind, value, confidence, side from o where k = 1""".replace("{conversations}", "conversations"))
 def evidence_merge(get):
