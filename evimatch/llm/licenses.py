@@ -6,8 +6,8 @@ Jaccard similarity of a window that holds at least 80 % of the template from bel
 0.55 or more; with BANDS bands of one minhash each such a window is retrieved with probability 1 - (1 - 0.55)**BANDS, above
 0.9999 for 12 bands (1 for short templates, where hop is 1 and an exact mention is the whole window).
 
-Before windows are formed a text has to contain one of a few anchor words.  This loses nothing: anchors are chosen so that, in every
-template, fewer than 80 % of the shingles are without one, hence whatever passes the containment test has an anchor in it.
+Windows are formed around a few anchor words only.  This loses nothing: anchors are chosen so that, in every template, fewer than 80 %
+of the shingles are without one, hence every window that passes the containment test has an anchor in it.
 """
 
 from __future__ import annotations
@@ -71,42 +71,41 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "template_id string, n_words int, hop int, grams array<string>")
 
 
-_BAND = "transform(sequence(1, {bands}), b -> array_min(transform(h, x -> xxhash64(x, b))))"
+_BANDS = "transform(sequence(1, {bands}), b -> array_min(transform(h, x -> xxhash64(x, b))))"
+#: Words of a text: its ASCII letters in lower case.  Cut out of the text as it is, so that no other letter turns into an ASCII one.
+_WORDS = r"filter(transform(split(text, '[^A-Za-z0-9.+-]+'), x -> lower(regexp_replace(x, '^[.+-]+|[.+-]+$', ''))), x -> x <> '')"
+#: Starts of the windows (every hop words, the last one reaching the end of the text) that hold one of the anchor words at ``spots``.
+_STARTS = """array_distinct(flatten(transform(spots, p -> transform(
+    sequence(greatest(0, p - span + hop) div hop, least(p div hop, (greatest(0, size(w) - span) + hop - 1) div hop)), i -> i * hop))))"""
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, template_id, n_windows (windows that hold the template), first_word (where the first of them starts, from 0).
 
     A template matches a window that has at least ``percent`` % of its distinct five-word shingles (the whole, if it has fewer words).
-    Only matches are returned; null and empty texts have none.  Rows that repeat a doc_id are scanned each and counted together;
-    a null doc_id is reported as null.
+    Only matches are returned; null and empty texts have none, nor has an empty table.  Rows that repeat a doc_id are scanned each and
+    counted together; a null doc_id is reported as null.  Other columns are ignored.
+
+    A text is read and cut into words once.  Windows are formed around its anchor words only, for all window shapes side by side.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     table = template_table(spark, templates)  # a constant of the code: a few rows
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    own = texts(docs, id_col, text_col).select("doc_id", lower.alias("text"))
-    anchored = [F.col("text").contains(w) for w in anchors(templates)]
-    if not anchored:
+    wanted_words = anchors(templates)
+    own = texts(docs, id_col, text_col)
+    if not wanted_words:
         return own.limit(0).select("doc_id", F.lit("").alias("template_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("first_word"))
-    some = anchored[0]
-    for x in anchored[1:]:
-        some = some | x
-    words = own.where(some).select("doc_id", F.expr(r"filter(transform(split(text, '[^a-z0-9.+-]+'), x -> regexp_replace(x, '^[.+-]+|[.+-]+$', '')), x -> x <> '')").alias("w")).where("size(w) > 0")
+    said = own.where(F.col("text").rlike("(?i)" + "|".join(map(re.escape, wanted_words))))
+    marked = F.array(*[F.lit(x) for x in wanted_words])
+    words = said.select("doc_id", F.expr(_WORDS).alias("w"))
+    spotted = words.withColumn("spots", F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(marked, x), i)), lambda i: i.isNotNull())).where("size(spots) > 0")
     shapes = sorted({(len(w), max(1, (len(w) - SHINGLE + 1) // 4)) for w in map(words_of, templates.values()) if w})
-    size = lambda n: min(SHINGLE, n)
-    parts = []
-    for n, hop in shapes:
-        span, k = n + hop - 1, size(n)
-        whole = words.where(f"size(w) >= {k}").select("doc_id", F.expr(f"transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), ' '))").alias("g"))
-        starts = f"sequence(0, greatest(0, size(g) - {span - k + 1} + {hop} - 1) div {hop} * {hop}, {hop})"
-        parts.append(whole.select("doc_id", F.lit(n).alias("n"), F.explode(F.expr(f"transform({starts}, s -> named_struct('at', s, 'g', slice(g, s + 1, {span - k + 1})))")).alias("x")))
-    windows = parts[0]
-    for x in parts[1:]:
-        windows = windows.union(x)
-    windows = windows.select("doc_id", "n", F.col("x.at").alias("at"), F.col("x.g").alias("g")).where("size(g) > 0").withColumn("h", F.expr("transform(g, x -> xxhash64(x))"))
-    keys = windows.select("doc_id", "n", "at", "g", F.posexplode(F.expr(_BAND.format(bands=bands))).alias("band", "key"))
-    wanted = table.withColumn("h", F.expr("transform(grams, x -> xxhash64(x))")).select("template_id", F.col("n_words").alias("n"), "grams", F.posexplode(F.expr(_BAND.format(bands=bands))).alias("band", "key"))
-    candidates = keys.join(F.broadcast(wanted), ["n", "band", "key"])
+    shape = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(hop).alias("hop"), F.lit(n + hop - 1).alias("span"), F.lit(min(SHINGLE, n)).alias("k")) for n, hop in shapes])
+    shaped = spotted.select("doc_id", "w", "spots", F.explode(shape).alias("s")).select("doc_id", "w", "spots", "s.*").where("size(w) >= k")
+    windows = shaped.select("doc_id", "n", "k", F.explode(F.expr(f"transform({_STARTS}, s -> named_struct('at', s, 'w', slice(w, s + 1, span)))")).alias("x"))
+    grams = windows.where("size(x.w) >= k").select("doc_id", "n", "x.at", F.expr("transform(sequence(0, size(x.w) - k), i -> array_join(slice(x.w, i + 1, k), ' '))").alias("g"))
+    keys = grams.withColumn("h", F.expr("transform(g, x -> xxhash64(x))")).select("doc_id", "n", "at", "g", F.posexplode(F.expr(_BANDS.format(bands=bands))).alias("band", "key"))
+    known = table.withColumn("h", F.expr("transform(grams, x -> xxhash64(x))")).select("template_id", F.col("n_words").alias("n"), "grams", F.posexplode(F.expr(_BANDS.format(bands=bands))).alias("band", "key"))
+    candidates = keys.join(F.broadcast(known), ["n", "band", "key"])  # templates x bands rows
     exact = candidates.where(f"100 * size(array_intersect(g, grams)) >= {percent} * size(grams)")
     return exact.groupBy("doc_id", "template_id").agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))

@@ -82,8 +82,7 @@ def _op7() -> str:
 with t(template_id, n, hop, k, grams) as (values {_values(rows)}),
 tt as (select template_id, n, hop, k, string_split(grams, '|') as grams, n + hop - 1 - k + 1 as span from t),
 w as (select doc_id, list_filter(list_transform(regexp_split_to_array({_LOWER}, '[^a-z0-9.+-]+'), lambda x: regexp_replace(x, '^[.+-]+|[.+-]+$', '', 'g')), lambda x: x <> '') as w from documents),
-lic as (select * from w where len(list_intersect(w, ['licensed', 'license', 'copyright', 'permission', 'redistribution', 'granted', 'source', 'rights', 'the', 'and'])) > 0 or true),
-g as (select doc_id, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) as g from lic, (select distinct k from tt) where len(w) >= k),
+g as (select doc_id, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) as g from w, (select distinct k from tt) where len(w) >= k),
 hit as (select g.doc_id, tt.template_id, tt.hop, tt.span, tt.grams, g.g from g join tt using (k) where 100 * len(list_intersect(g.g, tt.grams)) >= 80 * len(tt.grams)),
 s as (select doc_id, template_id, grams, span, g, unnest(generate_series(0, cast(floor((greatest(0, len(g) - span) + hop - 1) / hop) as bigint) * hop, hop)) as tm from hit),
 ok as (select doc_id, template_id, tm from s where 100 * len(list_intersect(g[tm + 1:tm + span], grams)) >= 80 * len(grams))
