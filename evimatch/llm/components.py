@@ -34,6 +34,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most: int =
         if i == 1 and not has_rows(now):
             break
         now = scratch.table(_small_star(_large_star(now)), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}")
         got = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == print_of:
             break

@@ -8,7 +8,8 @@ that band is formed, so most texts never reach the m*m tables.
 How the work stays whole and small:
 
 * Texts with equal shingle sets form one class (128-bit fingerprint of the full set, pre-aggregated), so a group of exact
-  copies of any size is one node.
+  copies of any size is one node.  Nodes get numbers of their own; which row stands for a class or a component is the smallest
+  (doc_id, hash of the text), null ids last, so null and repeated ids are rows like any other.
 * Within a table bucket each node is checked against the smallest node only: links grow with the bucket, not with its square.
 * Nodes that failed such a check may still be linked to another member.  They are compared by an exact prefix filter (shared
   rare shingle within the first places, size and place bounds) against all nodes of buckets, in other components only.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evimatch.llm import wordgrams as wg
 from evimatch.llm.components import components
-from evimatch.llm.tables import Scratch, has_rows, texts
+from evimatch.llm.tables import Scratch, fresh, has_rows, small, texts
 
 #: m bands of r minhashes in each of the two collections.  At a similarity of s a pair is found with probability
 #: (1 - (1 - s**r)**m)**2; 0.9999 at s = 0.8.
@@ -76,7 +77,7 @@ def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiplier = wg.multipliers(2 * bands * rows, 3)
         for batch in batches:
-            for words in wg.pieces(batch.column(1), wg.NOT_SPACE, lower=True):
+            for words in wg.pieces(batch.column(2), wg.NOT_SPACE, lower=True):
                 sets = _shingle_sets(words, size)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
@@ -89,8 +90,8 @@ def _signatures(size: int, bands: int, rows: int):
                     keys[full] = _bands(_minima(own, multiplier), rows)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())) for x in (keys[:, :bands], keys[:, bands:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.row, words.n_texts), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *lists],
-                    names=["doc_id", "n", "f1", "f2", "a", "b"],
+                    [*(batch.column(i).slice(words.row, words.n_texts) for i in (0, 1)), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *lists],
+                    names=["doc_id", "t", "n", "f1", "f2", "a", "b"],
                 )
 
     return run
@@ -179,6 +180,70 @@ def _prefix_candidates(unresolved: DataFrame, sets: DataFrame, labels: DataFrame
     return hit.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
 
 
+_MARKS = "doc_id long, t long, n long, f1 long, f2 long, a array<long>, b array<long>"
+
+
+def _keyed(own: DataFrame) -> DataFrame:
+    return own.select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+
+def _grouped(own: DataFrame, scratch: Scratch, size: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """own (doc_id, text) -> marks, one row a text (doc_id, t, n, f1, f2), and groups, one row a class (f1, f2, n_exact, rep).
+
+    t is a hash of the text.  rep (none, doc_id, t) is the row that stands for the class's whole component; none tells that it has
+    no doc_id.  Texts without shingles have no class.
+    """
+    marks = scratch.table(_keyed(own).mapInArrow(_signatures(size, bands, rows), _MARKS), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    full = marks.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(first.alias("first"), "n", "a", "b")).alias("x"), F.count("*").alias("n_exact"))
+    # numbers are given as the table is written, and stay
+    classes = scratch.table(full.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n_exact", "x.*"), "classes")
+    labels = _linked(own, classes, scratch, percent, size)
+    groups = classes.select("node", "f1", "f2", "n_exact", "first")
+    if labels is None:
+        groups = groups.withColumn("rep", F.col("first"))
+    else:
+        reps = groups.join(labels, "node").groupBy("label").agg(F.min("first").alias("rep"))
+        groups = groups.join(labels.join(reps, "label").select("node", "rep"), "node", "left").withColumn("rep", F.coalesce("rep", "first"))
+    groups = scratch.table(groups.select("f1", "f2", "n_exact", "rep"), "groups")
+    scratch.drop("classes", "sets", "links", "links2", "pairs", "pairs2", "unresolved")
+    return marks.select("doc_id", "t", "n", "f1", "f2"), groups
+
+
+def _linked(own: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, size: int) -> DataFrame | None:
+    """node, label of the classes that links hold together; None where there are no candidates."""
+    pairs = scratch.table(_star_candidates(classes.select("node", "n", "a", "b"), scratch, percent), "pairs")
+    scratch.drop("keys")
+    if not has_rows(pairs):
+        return None
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = scratch.table(classes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("d"), F.col("first.t").alias("h")), "asked")
+    met = _keyed(own).join(small(asked), F.expr("t = h and doc_id <=> d"))  # of all texts only those that are compared are shuffled
+    chosen = met.groupBy("node").agg(F.min("text").alias("text"))
+    sets = scratch.table(chosen.mapInArrow(_sets_of(size), "node long, grams binary"), "sets")
+    scratch.drop("asked")
+    links = scratch.table(_confirm(pairs.where("members > 0").select("u", "v"), sets, percent), "links")
+    labelled = components(links, scratch, "first")
+    failed = pairs.where("members > 2 or members < 0").join(links, ["u", "v"], "left_anti")
+    at = labelled.select("node", "label")
+    apart = (
+        failed.join(at.withColumnsRenamed({"node": "u", "label": "lu"}), "u", "left")
+        .join(at.withColumnsRenamed({"node": "v", "label": "lv"}), "v", "left")
+        .where("coalesce(lu, u) <> coalesce(lv, v)")
+        .select(F.col("u").alias("node"))
+        .distinct()
+    )
+    unresolved = scratch.table(apart, "unresolved")
+    if has_rows(unresolved):
+        crowded = pairs.where("members > 2 or members < 0")
+        members = crowded.select(F.col("u").alias("node")).union(crowded.select(F.col("v").alias("node"))).distinct()
+        more = scratch.table(_prefix_candidates(unresolved, sets.join(members, "node", "left_semi"), labelled, percent), "pairs2")
+        if has_rows(more):
+            links2 = scratch.table(_confirm(more, sets, percent), "links2")
+            labelled = components(links.union(links2), scratch, "second")
+    return labelled
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -189,55 +254,51 @@ def near_duplicates(
     equal set.
 
     A null or empty text has no shingles, is linked with nothing and keeps its own id.  A row with a null id takes no part in
-    linking: its component_id is null and it is kept.  Repeated rows share a component and all that carry its smallest id are
-    kept.  Other columns are ignored; an empty table gives an empty result.
+    linking: its component_id is null and it is kept.  Rows that repeat an id are linked each by its own text, and all that carry
+    the smallest id of their component are kept.  Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
     own = texts(docs, id_col, text_col)
-    marks = scratch.table(own.mapInArrow(_signatures(size, bands, rows), "doc_id long, n long, f1 long, f2 long, a array<long>, b array<long>"), "signatures")
-    full = marks.where("n > 0 and doc_id is not null")
-    # a node is the smallest doc_id of those with an equal set; should one id have two different texts, both stand for it
-    classes = scratch.table(
-        full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("x"), F.count("*").alias("n_exact")).select("f1", "f2", "n_exact", F.col("x.doc_id").alias("node"), "x.n", "x.a", "x.b"),
-        "classes",
-    )
-    pairs = scratch.table(_star_candidates(classes.select("node", "n", "a", "b"), scratch, percent), "pairs")
-    result = classes.select("f1", "f2", "n_exact", "node")
-    labelled = None
-    if has_rows(pairs):
-        wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        chosen = own.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        sets = scratch.table(chosen.mapInArrow(_sets_of(size), "node long, grams binary"), "sets")
-        links = scratch.table(_confirm(pairs.where("members > 0").select("u", "v"), sets, percent), "links")
-        labelled = components(links, scratch, "first")
-        failed = pairs.where("members > 2 or members < 0").join(links, ["u", "v"], "left_anti")
-        at = labelled.select("node", "label")
-        apart = (
-            failed.join(at.withColumnsRenamed({"node": "u", "label": "lu"}), "u", "left")
-            .join(at.withColumnsRenamed({"node": "v", "label": "lv"}), "v", "left")
-            .where("coalesce(lu, u) <> coalesce(lv, v)")
-            .select(F.col("u").alias("node"))
-            .distinct()
-        )
-        unresolved = scratch.table(apart, "unresolved")
-        if has_rows(unresolved):
-            crowded = pairs.where("members > 2 or members < 0")
-            members = crowded.select(F.col("u").alias("node")).union(crowded.select(F.col("v").alias("node"))).distinct()
-            more = scratch.table(_prefix_candidates(unresolved, sets.join(members, "node", "left_semi"), labelled, percent), "pairs2")
-            if has_rows(more):
-                links2 = scratch.table(_confirm(more, sets, percent), "links2")
-                labelled = components(links.union(links2), scratch, "second")
-        result = result.join(labelled, "node", "left")
-    else:
-        result = result.withColumn("label", F.col("node"))
-    by_set = result.select("f1", "f2", "n_exact", F.coalesce("label", "node").alias("component_id"))
-    out = marks.select("doc_id", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
-    mine = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        mine.alias("component_id"),
-        F.coalesce(F.col("doc_id") == mine, F.lit(True)).alias("kept"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n_exact")).otherwise(1).cast("long").alias("n_exact"),
-    )
+    marks, groups = _grouped(own.where("doc_id is not null"), scratch, size, percent, bands, rows)
+    by_set = groups.select("f1", "f2", F.col("rep.doc_id").alias("component_id"), "n_exact")
+    out = marks.join(by_set, ["f1", "f2"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_exact", F.lit(1)).cast("long").alias("n_exact"))
+    nameless = own.where("doc_id is null").select("text")
+    nameless = nameless.mapInArrow(_counted(size), "n long").select(F.lit(None).cast("long").alias("doc_id"), "n", F.lit(None).cast("long").alias("component_id"), F.lit(1).cast("long").alias("n_exact"))
+    return out.unionByName(nameless).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_exact")
+
+
+def _counted(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in wg.pieces(batch.column(0), wg.NOT_SPACE, lower=True):
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in _shingle_sets(words, size)], pa.int64())], names=["n"])
+
+    return run
+
+
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows of docs, all columns as they were, without near duplicates: exactly one row of each group stays.
+
+    It is the one with the smallest id, null ids last; of rows that share id and text, one.  Rows with a null or empty text belong to
+    no group and all stay.  An empty table stays empty.
+
+    Rows are told apart by id and a hash of the text, so no copy of docs is written; what goes is taken out by an anti-join whose
+    other side has no texts.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    marks, groups = _grouped(texts(docs, id_col, text_col), scratch, size, percent, bands, rows)
+    placed = marks.where("n > 0").join(groups, ["f1", "f2"]).select("doc_id", "t", F.expr("doc_id <=> rep.doc_id and t = rep.t").alias("stays"))
+    fate = placed.groupBy("doc_id", "t").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    out_of = scratch.table(fate.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "stays"), "out")
+    scratch.drop("signatures", "groups")
+    d, t = fresh(docs, "d"), fresh(docs, "t")
+    own = docs.withColumns({d: F.col(id_col).cast("long"), t: F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col(d).eqNullSafe(F.col("__id")) & (F.col(t) == F.col("__t"))
+    left = own.join(small(out_of.select("__id", "__t")), same, "left_anti").select(*docs.columns)
+    again = out_of.where("stays").select("__id", "__t")
+    if not has_rows(again):
+        return left
+    rows_of = own.join(small(again), same, "left_semi").groupBy(d, t).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(fresh(docs, "row")))
+    return left.union(rows_of.select(f"{fresh(docs, 'row')}.*"))

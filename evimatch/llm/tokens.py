@@ -31,8 +31,8 @@ from evimatch.llm.tables import Scratch, partitions, texts
 
 SEQUENCE, BATCH = 1024, 256
 END_ID = 1
-#: Distinct words, and half as many parts of words, whose ids a worker remembers: some 250 MB.
-MEMORY_WORDS = 800_000
+#: Distinct words, and half as many parts of words, whose ids a worker remembers: some 90 MB.
+MEMORY_WORDS = 300_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

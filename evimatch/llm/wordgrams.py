@@ -1,7 +1,7 @@
 """Words and word windows of a whole Arrow batch of texts, as numpy arrays.
 
 Spark decides which rows a task sees; inside the task these helpers turn the UTF-8 bytes of many texts into word spans,
-64-bit word hashes and hashes of k consecutive words without a Python loop over words.  Texts are taken in pieces of a few
+64-bit word hashes and hashes of k consecutive words without a Python loop over words.  Texts are taken in pieces of half a
 MB, so memory depends on the piece and on the longest single text, not on the batch.
 
 A null text counts as empty; an empty text has no words.
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
