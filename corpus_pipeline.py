@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evimatch.llm import decontaminate, mixing, neardup, quality, tokens
-from evimatch.llm.tables import Scratch, partitions
+from evimatch.llm.tables import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, once.
-
-    Rows are linked by their place in the order of doc_id (nulls last), so null and repeated ids are rows like any other.
-    """
-    scratch = Scratch(spark, "dedup")
-    content = F.xxhash64(*[F.col(c) for c in docs.columns])
-    order = [F.col("doc_id").asc_nulls_last(), content, F.rand(17)]  # what is equal in all columns is spread by the last
-    placed = docs.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order[:2])
-    rows = scratch.table(placed.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = neardup.near_duplicates(rows, id_col="__row", size=5)
-    gone = scratch.table(found.where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group: the one with the smallest doc_id (nulls last), once; empty texts all stay."""
+    return neardup.one_of_each(docs, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
