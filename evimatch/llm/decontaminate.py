@@ -107,14 +107,25 @@ def _scan(block_of, again: bool, more: bool):
     return run
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_windows: int) -> list:
-    """The benchmark's distinct windows, broadcast in blocks of about ``block_windows``."""
-    spark = docs.sparkSession
+def _blocks(scratch: Scratch, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_windows: int) -> tuple[int, DataFrame]:
+    """How many blocks of about ``block_windows`` there are, and the benchmark's distinct windows with their block."""
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     windows = bench.mapInArrow(_windows_of_items(window), "item string, k int, h long, words binary")
-    distinct = Scratch(spark, "decontaminate").table(windows.groupBy("k", "h", "words").agg(F.collect_set("item").alias("items")), "windows")
+    distinct = scratch.table(windows.groupBy("k", "h", "words").agg(F.collect_set("item").alias("items")), "windows")
     n_blocks = max(1, -(-distinct.count() // block_windows))
-    return [spark.sparkContext.broadcast(_Block(distinct.where(F.pmod("h", F.lit(n_blocks)) == b).collect())) for b in range(n_blocks)]
+    return n_blocks, distinct.withColumn("block", F.pmod("h", F.lit(n_blocks)))
+
+
+def _pass_by_pass(docs: DataFrame, scratch: Scratch, n: int, windows: DataFrame, step) -> DataFrame:
+    """step(rows, block, i) for each block; between two the rows are written, so that one block at a time is held and broadcast."""
+    for i in range(n):
+        block = docs.sparkSession.sparkContext.broadcast(_Block(windows.where(F.col("block") == i).collect()))
+        docs = step(docs, block, i)
+        if i + 1 < n:
+            docs = scratch.table(docs, f"after-{i}")
+            block.destroy()
+            scratch.drop(f"after-{i - 1}")
+    return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -125,12 +136,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items count once; an item with a null id still hits words but names no item.  An empty benchmark hits nothing.  Rows go from
     block to block as they are, with what was found so far, so null and repeated ids stay rows of their own.
     """
-    found = texts(docs, id_col, text_col)
-    blocks = _blocks(docs, benchmark, item_col, item_text_col, window, block_windows)
-    for i, block in enumerate(blocks):
-        more = i + 1 < len(blocks)
-        found = found.mapInArrow(_scan(block, i > 0, more), f"doc_id long, {'text string, ' if more else ''}{_FOUND}")
-    return found
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    n, windows = _blocks(scratch, benchmark, item_col, item_text_col, window, block_windows)
+
+    def step(found: DataFrame, block, i: int) -> DataFrame:
+        more = i + 1 < n
+        return found.mapInArrow(_scan(block, i > 0, more), f"doc_id long, {'text string, ' if more else ''}{_FOUND}")
+
+    return _pass_by_pass(texts(docs, id_col, text_col), scratch, n, windows, step)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -154,7 +167,11 @@ def _clean_rows(block_of, at: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of docs, all columns as they were, that hold no benchmark window; one pass for each block, no join."""
-    for block in _blocks(docs, benchmark, item_col, item_text_col, window, block_windows):
-        docs = docs.mapInArrow(_clean_rows(block, docs.columns.index(text_col)), docs.schema)
-    return docs
+    """The rows of docs, all columns as they were, that hold no benchmark window; one pass for each block, no join.
+
+    Null and empty texts hold none and stay; an empty benchmark leaves all rows.
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    n, windows = _blocks(scratch, benchmark, item_col, item_text_col, window, block_windows)
+    at = docs.columns.index(text_col)
+    return _pass_by_pass(docs, scratch, n, windows, lambda rows, block, i: rows.mapInArrow(_clean_rows(block, at), docs.schema))

@@ -1,64 +1,44 @@
 """Sharding by a k-d tree: split at distributed weighted medians along the widest metadata dimension.
 
 Every node of the tree looks for the point of its widest dimension below which its left shards' share of the bytes lies.  The
-point is found by counting bytes in equal bins and looking closer inside the one bin that holds it, for all nodes of a level at
-once; rows with one value are told apart by doc_id in the same way.  Only bins (nodes x BINS rows) come to the driver.
+point is found by summing bytes in equal bins and looking closer inside the one bin that holds it, for all nodes of a level at
+once; rows with one value are told apart by doc_id in the same way.  The nodes are a table like the rows: their bins are summed,
+chosen and joined back by Spark, so a tree may have any number of leaves and nothing of it comes to the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimatch.llm.tables import Scratch, partitions
-
-BINS = 256
-#: Bounds on how many leaves a tree may have, and so on what comes to the driver.
-MOST_SHARDS = 4096
+from evimatch.llm.tables import BROADCAST_ROWS, Scratch, has_rows, partitions
 
+BINS = 1024
+DIMS = ("d_size", "d_source", "d_lang", "d_id")
 
-@dataclass
-class _Node:
-    lo: int
-    shards: int
-    dim: str = ""
-    at: int = 0
-    tie: int = 0
-    left: _Node | None = field(default=None, repr=False)
-    right: _Node | None = field(default=None, repr=False)
 
+def _narrowed(rows: DataFrame, state: DataFrame, few, scratch: Scratch, name: str) -> DataFrame:
+    """rows (node, v, size); state (node, lo, hi, below, want) -> node, at, below.
 
-def _find(rows: DataFrame, nodes: dict[int, _Node], column: dict[int, str], want: dict[int, float], bounds: dict[int, tuple[int, int]]) -> dict[int, tuple[int, float]]:
-    """For each node the smallest value v with at least ``want`` bytes at or below it, and the bytes strictly below v."""
-    lo = {n: b[0] for n, b in bounds.items()}
-    hi = {n: b[1] for n, b in bounds.items()}
-    below = dict.fromkeys(nodes, 0.0)
-    while any(lo[n] < hi[n] for n in nodes):
-        step = {n: max(1, -(-(hi[n] - lo[n] + 1) // BINS)) for n in nodes}
-        cases = [
-            F.when((F.col("node") == n) & F.col(column[n]).between(lo[n], hi[n]), F.expr(f"({column[n]} - ({lo[n]}L)) div {step[n]}L")) for n in nodes if lo[n] < hi[n]
-        ]
-        binned = rows.select("node", F.coalesce(*cases).alias("bin"), "size").where("bin is not null")
-        got: dict[int, dict[int, int]] = {}
-        for r in binned.groupBy("node", "bin").agg(F.sum("size").alias("b")).collect():  # at most BINS rows a node
-            got.setdefault(r.node, {})[r.bin] = r.b
-        for n in nodes:
-            if lo[n] >= hi[n]:
-                continue
-            total = below[n]
-            chosen = max(got[n])
-            for b in sorted(got[n]):
-                if total + got[n][b] >= want[n]:
-                    chosen = b
-                    break
-                total += got[n][b]
-            else:
-                total -= got[n][chosen]
-            below[n] = total
-            lo[n], hi[n] = lo[n] + chosen * step[n], min(hi[n], lo[n] + (chosen + 1) * step[n] - 1)
-    return {n: (lo[n], below[n]) for n in nodes}
+    at is the smallest value of the node with ``want`` bytes at or below it, below the bytes strictly below at.  Each round cuts
+    lo..hi into BINS bins and goes on with the values met in one of them.
+    """
+    step = F.expr(f"greatest(1L, cast(ceil((cast(hi as decimal(20,0)) - cast(lo as decimal(20,0)) + 1) / {BINS}) as bigint))")
+    i, on = 0, True
+    while on:
+        met = rows.join(few(state.where("lo < hi").withColumn("step", step)), "node").where("v between lo and hi")
+        bins = met.groupBy("node", F.expr("v div step").alias("bin")).agg(F.sum("size").alias("b"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi"), F.first("below").alias("below"), F.first("want").alias("want"))
+        so_far = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.col("below") + F.sum("b").over(so_far)
+        sums = bins.withColumn("upto", upto)
+        found, enough = F.struct("bin_lo", "bin_hi", (F.col("upto") - F.col("b")).alias("before")), F.col("upto") >= F.col("want")
+        chosen = sums.groupBy("node").agg(F.coalesce(F.min_by(F.when(enough, found), F.when(enough, F.col("bin"))), F.max_by(found, F.col("bin"))).alias("x"))
+        after = state.join(chosen, "node", "left").select("node", F.coalesce("x.bin_lo", "lo").alias("lo"), F.coalesce("x.bin_hi", "hi").alias("hi"), F.coalesce("x.before", "below").alias("below"), "want")
+        i += 1
+        state = scratch.table(after, f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}")
+        on = has_rows(state.where("lo < hi"))
+    return state.select("node", F.col("lo").alias("at"), "below")
 
 
 def kd_shards(docs: DataFrame, shards: int = 8, *, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -69,69 +49,60 @@ def kd_shards(docs: DataFrame, shards: int = 8, *, target_bytes: int | None = No
     slot numbers a shard's rows from 0 without gaps, in no order that matters.
 
     Null ids, sources and languages count as the smallest value (their rows stay).  Rows that agree in the dimension and in
-    doc_id cannot be told apart and stay together.  An empty table gives an empty result.
+    doc_id cannot be told apart and stay together.  Other columns are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "kdshards")
     text = F.col(text_col).cast("string")
     code = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(-1)).cast("long")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     plain = docs.select(
+        F.lit(0).cast("long").alias("node"),
         F.col(id_col).cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        size.alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        size.alias("d_size"),
         code(source_col).alias("d_source"),
         code(lang_col).alias("d_lang"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("d_id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d_id"),
     )
-    rows = scratch.table(plain, "rows").withColumn("node", F.lit(0)).withColumn("d_size", F.col("size"))
-    dims = ["d_size", "d_source", "d_lang", "d_id"]
-    ranges = [F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")).alias(d) for d in dims]
-    whole = rows.agg(F.sum("size").alias("bytes"), *ranges).first()
-    if target_bytes and whole.bytes:
-        shards = max(1, -(-whole.bytes // target_bytes))
-    if shards > MOST_SHARDS:
-        raise ValueError(f"{shards} shards asked for; at most {MOST_SHARDS}")
-    level = {0: _Node(0, shards)} if whole.bytes else {}
-    placed = rows
-    while any(n.shards > 1 for n in level.values()):
-        stats = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *ranges).collect()}
-        open_nodes = {k: n for k, n in level.items() if n.shards > 1 and k in stats}
-        if not open_nodes:
+    ranges = [f(d).alias(f"{side}_{d}") for d in DIMS for side, f in (("lo", F.min), ("hi", F.max))]
+    width = lambda d: f"(cast(hi_{d} as double) - cast(lo_{d} as double))"
+    placed = scratch.table(plain, "placed-0")
+    whole = scratch.table(placed.agg(F.sum("size").alias("bytes"), *ranges), "whole")  # one row
+    if target_bytes:
+        shards = max(1, -(-(whole.first().bytes or 0) // target_bytes))
+    placed = placed.withColumns({"first": F.lit(0), "shards": F.lit(shards)})
+    ahead = F.broadcast(whole.select(*[F.expr(f"greatest(1D, {width(d)})").alias(f"whole_{d}") for d in DIMS]))
+    share = {d: f"{width(d)} / whole_{d}" for d in DIMS}
+    widest = F.expr("case " + " ".join(f"when {share[d]} >= greatest({', '.join(share.values())}) then {k}" for k, d in enumerate(DIMS)) + " end")
+    of_dim = lambda side="": F.expr("case dim " + " ".join(f"when {k} then {side}{d}" for k, d in enumerate(DIMS)) + " end")
+    nodes, i = 1, 0
+    while nodes < 2 * shards:
+        few = F.broadcast if nodes <= BROADCAST_ROWS else (lambda x: x)  # a level has as many nodes at most
+        stats = placed.where("shards > 1").groupBy("node", "first", "shards").agg(F.sum("size").alias("bytes"), *ranges).where(" or ".join(f"lo_{d} < hi_{d}" for d in DIMS))
+        split = stats.crossJoin(ahead).withColumn("dim", widest)  # one row
+        split = scratch.table(split.select("node", "dim", of_dim("lo_").alias("lo"), of_dim("hi_").alias("hi"), F.lit(0.0).alias("below"), F.expr("bytes * (shards div 2) / shards").alias("want")), f"split-{i}")
+        if not has_rows(split):  # what is left cannot be told apart
             break
-        wide = lambda r, d: (r[d].hi - r[d].lo) / max(1, whole[d].hi - whole[d].lo)
-        for k, n in open_nodes.items():
-            n.dim = max(dims, key=lambda d, k=k: (wide(stats[k], d), -dims.index(d)))
-        want = {k: stats[k].bytes * (n.shards // 2) / n.shards for k, n in open_nodes.items()}
-        column = {k: n.dim for k, n in open_nodes.items()}
-        found = _find(placed, open_nodes, column, want, {k: (stats[k][n.dim].lo, stats[k][n.dim].hi) for k, n in open_nodes.items()})
-        same = F.coalesce(*[F.when((F.col("node") == k) & (F.col(n.dim) == found[k][0]), F.lit(True)) for k, n in open_nodes.items()])
-        ties = placed.where(same)
-        among = {r.node: (r.lo, r.hi) for r in ties.groupBy("node").agg(F.min("d_id").alias("lo"), F.max("d_id").alias("hi")).collect()}
-        cut = _find(ties, open_nodes, dict.fromkeys(open_nodes, "d_id"), {k: want[k] - found[k][1] for k in open_nodes}, among)
-        move = F.col("node")
-        after: dict[int, _Node] = {}
-        for k, n in level.items():
-            if k not in open_nodes:
-                after[2 * k] = n
-                move = F.when(F.col("node") == k, F.lit(2 * k)).otherwise(move)
-                continue
-            n.at, n.tie = found[k][0], cut[k][0]
-            right = (F.col(n.dim) > n.at) | ((F.col(n.dim) == n.at) & (F.col("d_id") > n.tie))
-            after[2 * k], after[2 * k + 1] = _Node(n.lo, n.shards // 2), _Node(n.lo + n.shards // 2, n.shards - n.shards // 2)
-            move = F.when(F.col("node") == k, F.when(right, 2 * k + 1).otherwise(2 * k)).otherwise(move)
-        # node numbers are per level, so the old number is read once and replaced
-        placed = placed.withColumn("node", move)
-        level = after
-    shard_of = F.lit(0)
-    for k, n in level.items():
-        shard_of = F.when(F.col("node") == k, F.lit(n.lo)).otherwise(shard_of)
-    return _slots(placed.select("doc_id", "size", "text_crc32", shard_of.cast("int").alias("shard")), scratch)
+        rows = placed.join(few(split.select("node", "dim")), "node").select("node", of_dim().alias("v"), "d_id", "size")
+        cut = _narrowed(rows.select("node", "v", "size"), split.drop("dim"), few, scratch, f"value-{i}")
+        ties = rows.join(few(cut.select("node", "at")), "node").where("v = at").select("node", F.col("d_id").alias("v"), "size")
+        start = ties.groupBy("node").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).join(cut.select("node", "below"), "node").join(split.select("node", "want"), "node")
+        tie = _narrowed(ties, scratch.table(start, f"start-{i}"), few, scratch, f"tie-{i}")
+        cuts = split.select("node", "dim").join(cut.select("node", "at"), "node").join(tie.select("node", F.col("at").alias("tie")), "node")
+        moved = placed.join(few(cuts), "node", "left").withColumn("right", F.coalesce((of_dim() > F.col("at")) | ((of_dim() == F.col("at")) & (F.col("d_id") > F.col("tie"))), F.lit(False)))
+        low = F.expr("shards div 2").cast("int")
+        first = F.when(F.col("right"), F.col("first") + low).otherwise(F.col("first"))
+        left_over = F.when(F.col("at").isNull(), 1).when(F.col("right"), F.col("shards") - low).otherwise(low)
+        i, nodes = i + 1, 2 * nodes
+        placed = scratch.table(moved.select((F.col("node") * 2 + F.col("right").cast("int")).alias("node"), first.alias("first"), left_over.alias("shards"), "doc_id", "size", "text_crc32", *DIMS), f"placed-{i}")
+        scratch.drop(f"placed-{i - 1}", f"split-{i - 1}", f"start-{i - 1}")
+    return _slots(placed.select("doc_id", "size", "text_crc32", F.col("first").alias("shard")), scratch)
 
 
 def _slots(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """Number the rows of each shard without one task per shard: by blocks, whose counts are summed."""
-    from pyspark.sql import Window
-
     blocks = partitions(placed.sparkSession)
     dealt = scratch.table(placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks))), "placed")
     counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))

@@ -2,8 +2,9 @@
 
 Each text is taken k times, k drawn from a Poisson distribution whose mean is its source's target repetition rate: the target
 share of the bytes over the share the source has.  The draw inverts the distribution at a uniform number made from a seed and the
-text's id, so it is the same on every run and for every layout.  Large rates are inverted too, from log probabilities.  Copies are dealt out by a hash of seed, id and copy number and
-sorted by it within partitions: a global shuffle.
+text's id, so it is the same on every run and for every layout.  Large rates are inverted too, from log probabilities.  A copy's key is
+a uniform number made from seed, id and copy number; partition k of n takes the keys from k/n to (k+1)/n and is sorted by them, so
+the rows lie in one global random order.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ def uniform(seed: int, *columns: str):
     return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long").cast("double") / float(1 << _BITS)
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, epochs: float = 1.0, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, default: float = 0.0, epochs: float = 1.0, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """source, bytes, rate: how often a source's texts are repeated on average.  Counted over all rows, in Spark.
 
-    weights are relative; a source that is not named has none (rate 0).  Without weights all sources weigh the same.  The output
+    weights are relative; a source that is not named has the default.  Without weights all sources weigh the same.  The output
     has about epochs times the input's bytes.  A null source is a source of its own, named ''.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -48,7 +49,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, epochs: f
         weighed = sums.withColumn("w", F.lit(1.0))
     else:
         table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()] or [("", 0.0)], "source string, w double")
-        weighed = sums.join(table, "source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        weighed = sums.join(table, "source", "left").withColumn("w", F.coalesce("w", F.lit(float(default))))
     whole = weighed.agg(F.sum("bytes").alias("b"), F.sum("w").alias("w"))
     return weighed.crossJoin(whole.select(F.col("b").alias("all_bytes"), F.col("w").alias("all_w"))).select(  # one row
         "source", "bytes", F.expr(f"coalesce({float(epochs)!r}D * all_bytes * (w / nullif(all_w, 0)) / bytes, 0D)").alias("rate")
@@ -79,15 +80,18 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64()), pa.array(steps, pa.list_(pa.float64()))], names=["source", "bytes", "rate", "low", "steps"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shuffle: bool = True) -> DataFrame:
-    """All columns of docs, each row as often as drawn, with copy_no (from 1) and mix_key, the place in the global order.
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, *, default: float = 0.0, seed: int = 17, epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str = "copy_no", key_col: str = "mix_key", shuffle: bool = True
+) -> DataFrame:
+    """All columns of docs, each row as often as drawn, with copy_col (from 1) and key_col, the place in the global order.
 
+    A column of docs that has one of these two names gives way to it; other names can be asked for.
     Rows with a null or empty text, or of a source without weight, have rate 0 and go.  A null id draws like any other value; rows
     that share an id draw alike.  A rate may be of any size.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rated = scratch.table(rates(docs, weights, epochs=epochs, text_col=text_col, source_col=source_col), "rated")
+    rated = scratch.table(rates(docs, weights, default=default, epochs=epochs, text_col=text_col, source_col=source_col), "rated")
     table = rated.where(f"rate <= {SUMMED_RATE}").withColumn("low", F.lit(0).cast("long")).withColumn("steps", F.expr(poisson_steps()))
     top = rated.agg(F.max("rate").alias("top")).first().top
     large = top is not None and top > SUMMED_RATE
@@ -104,10 +108,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int =
     times = drawn.withColumn("__u", u).withColumn("__k", F.expr("__low + size(filter(__steps, c -> c <= __u))")).where("__k > 0")
     if large:  # no list holds all copies of a text
         times = times.drop("__steps").withColumn("__from", F.explode(F.expr(f"sequence(1L, __k, {COPY_BLOCK}L)")))
-        copies = times.withColumn("copy_no", F.explode(F.expr(f"sequence(__from, least(__k, __from + {COPY_BLOCK - 1}L))")))
+        copies = times.withColumn("__copy", F.explode(F.expr(f"sequence(__from, least(__k, __from + {COPY_BLOCK - 1}L))")))
     else:
-        copies = times.withColumn("copy_no", F.explode(F.expr("sequence(1L, __k)")))
-    out = copies.withColumn("mix_key", uniform(seed + 1, "__id", "copy_no")).select(*docs.columns, "copy_no", "mix_key")
+        copies = times.withColumn("__copy", F.explode(F.expr("sequence(1L, __k)")))
+    own = [c for c in docs.columns if c.lower() not in (copy_col.lower(), key_col.lower())]
+    out = copies.withColumn("__place", uniform(seed + 1, "__id", "__copy")).select(*own, F.col("__copy").alias(copy_col), F.col("__place").alias(key_col))
     if shuffle:
-        out = out.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
+        n = partitions(spark)
+        out = out.repartitionById(n, F.floor(F.col(key_col) * n).cast("int")).sortWithinPartitions(key_col)
     return out

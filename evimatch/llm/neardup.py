@@ -168,12 +168,12 @@ def _prefix_candidates(unresolved: DataFrame, sets: DataFrame, labels: DataFrame
     # shingles that no other set has come first, so they take the first places
     prefix = ranked.withColumn("at", F.col("size") - F.col("all") + F.col("k")).where(f"at <= size - ({percent} * size + 99) div 100 + 1").select("node", "size", "gram", "at")
     prefix = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mine = prefix.join(unresolved, "node", "left_semi")
-    x, y = mine.alias("x"), prefix.alias("y")
+    prefix = prefix.join(unresolved.withColumn("open", F.lit(True)), "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    x, y = prefix.where("open").alias("x"), prefix.alias("y")  # each pair from one side only
     hit = x.join(
         y,
         F.expr(
-            f"x.gram = y.gram and x.label <> y.label and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+            f"x.gram = y.gram and x.label <> y.label and (not y.open or x.node < y.node) and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
             f" and {100 + percent} * (1 + least(x.size - x.at, y.size - y.at)) >= {percent} * (x.size + y.size)"
         ),
     )

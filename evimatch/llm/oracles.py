@@ -19,9 +19,14 @@ URL_ENTRIES = [
     ("prefix", "tionsh.example.net/fr", "add", "2024-01-01 00:00:00"),
     ("domain", "tiontion.example.com", "add", "2024-08-08 00:00:00"),
     ("domain", "org", "add", "2024-12-01 00:00:00"),
+    ("prefix", "thther.example.org/en/a/b/c/d/e/f", "add", "2024-01-01 00:00:00"),
 ]
 
 
+#: Target weights of some sources; all others weigh 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5, "src3": 0.0}
+
+
 def _values(rows: list[tuple]) -> str:
     quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
@@ -34,7 +39,7 @@ with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 g as (select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
 s as (select doc_id, len(g) as n from g),
 x as (select doc_id, unnest(g) as gram from g),
-rare as (select gram from x group by gram having count(*) between 2 and 2000),
+rare as (select gram from x group by gram having count(*) > 1),
 p as (select a.doc_id as u, b.doc_id as v, count(*) as same from x a join rare using (gram) join x b using (gram) where a.doc_id <> b.doc_id group by all),
 e as (select u, v from p join s a on a.doc_id = u join s b on b.doc_id = v where 100 * same >= 80 * (a.n + b.n - same)),
 r as (select doc_id, doc_id as tm from s union select r.doc_id, e.v from r join e on r.tm = e.u)
@@ -53,15 +58,15 @@ c as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0
 k as (select page_id, host, path, tm, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from c),
 f as (select k.page_id, count(*) as n, min(h.kind || ':' || h.pattern) as matched from k join held h on k.host <> '' and k.tm >= h.since and (h.until is null or k.tm < h.until)
   and (h.kind = 'host' and h.pattern = k.host or h.kind = 'domain' and (k.host = h.pattern or ends_with(k.host, '.' || h.pattern))
-  or h.kind = 'prefix' and (h.pattern = k.host or h.pattern in (k.host || '/' || array_to_string(k.parts[1:1], '/'), k.host || '/' || array_to_string(k.parts[1:2], '/'), k.host || '/' || array_to_string(k.parts[1:3], '/'), k.host || '/' || array_to_string(k.parts[1:4], '/'))))
+  or h.kind = 'prefix' and starts_with(array_to_string(list_prepend(k.host, k.parts), '/') || '/', h.pattern || '/'))
   group by k.page_id)
 select k.page_id, k.host, coalesce(f.n, 0) as n_entries, coalesce(f.matched, '') as matched, coalesce(f.n, 0) > 0 as blocked from k left join f using (page_id)
 """
 
-OP6 = """
+OP6 = f"""
 with s as (select coalesce(source, '') as source, sum(coalesce(strlen(text), 0)) as bytes from documents group by all having sum(coalesce(strlen(text), 0)) > 0),
-r as (select source, cast(sum(bytes) over () as double) * (1.0::double / cast(count(*) over () as double)) / cast(bytes as double) as rate from s),
-k as (select source, rate, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as bigint) + 1)) as k from r),
+r as (select source, cast(sum(bytes) over () as double) * (w / sum(w) over ()) / cast(bytes as double) as rate from (select *, case source {" ".join(f"when '{k}' then {v}::double" for k, v in MIX_WEIGHTS.items())} else 1.0::double end as w from s)),
+k as (select source, rate, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as bigint) + 1)) as k from r where rate > 0),
 p as (select source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) as p from k),
 c as (select source, k, sum(p) over (partition by source order by k) as c from p),
 steps as (select source, list(c order by k) as steps from c group by source),

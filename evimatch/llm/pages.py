@@ -228,7 +228,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     A null html counts as empty.  A null or malformed url puts the page on the host ''.  Repeated rows are kept, each with its text.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     counted = own.select("host", "html").mapInArrow(_subtrees, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
     counted = counted.where(f"n >= {min_pages} or h = 0")
     scratch = Scratch(pages.sparkSession, "pages")

@@ -1,7 +1,7 @@
 """Quality rules: plain text statistics and a logistic regression on hashed word and character n-grams.
 
-The model is trained on labelled rows (at most TRAIN_ROWS of them, chosen by a hash of their id, so the choice does not depend
-on how rows lie in files), its scores are turned into probabilities on rows kept out of training, and every text is scored in
+The model is trained on labelled rows (at most TRAIN_ROWS of them and TRAIN_BYTES of text, chosen by a hash of their id, so the choice
+does not depend on how rows lie in files), its scores are turned into probabilities on rows kept out of training, and every text is scored in
 Arrow batches against a fixed threshold.
 """
 
@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimatch.llm import wordgrams as wg
 from evimatch.llm.tables import texts
 
-#: The bound on labelled rows that training reads, and the longest text among them; scoring has no such bound.
-TRAIN_ROWS, TRAIN_BYTES = 2_500, 40_000
+#: The bounds on what training reads: labelled rows, and bytes of all their texts together.  Scoring has no such bound.
+TRAIN_ROWS, TRAIN_BYTES = 2_500, 64_000_000
 DIM = 1 << 18
 #: Least calibrated probability of good quality for a text to stay.
 KEEP_AT = 0.5
@@ -124,14 +124,16 @@ def fit(rows: list[str], good: np.ndarray, *, epochs: int = 12, rate: float = 8.
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model | None:
     """Fit on at most ``most`` labelled rows.  None where there are not two classes to tell apart.
 
-    The chosen rows are those with the smallest hash of their id.  Rows with a null id, text or label, or a text of more than
-    ``most_bytes`` bytes, are left out of training (they are scored like all others).
+    The chosen rows are those with the smallest hash of their id, as far as their texts have ``most_bytes`` bytes together; no text is
+    too long as such.  An id counts once, whatever rows repeat it (the least of its texts, the best of its labels).  Rows with a null id,
+    text or label are left out of training (they are scored like all others).
     """
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id is not null and good is not null")
     chosen = marks.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    own = texts(docs, id_col, text_col).where(F.octet_length("text") <= most_bytes)
-    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").collect()  # chosen holds at most ``most`` rows
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
+    own = texts(docs, id_col, text_col).where("text is not null")
+    once = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))  # chosen holds at most ``most`` rows
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sorted(once.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "good", "text").collect(), key=lambda r: r.doc_id)
     order = np.random.default_rng(7).permutation(len(rows))
     good = np.array([float(rows[i].good > 0) for i in order])
     if len(set(good)) < 2:

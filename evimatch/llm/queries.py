@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimatch.llm import decontaminate, kdshards, licenses, mixing, neardup, pages, passages, quality, tokens, urlfilter
-from evimatch.llm.oracles import ORACLES, URL_ENTRIES
+from evimatch.llm.oracles import MIX_WEIGHTS, ORACLES, URL_ENTRIES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, default=1.0)
     return mixed.select("doc_id", F.col("copy_no").cast("long").alias("copy_no"), "mix_key", F.length("text").cast("long").alias("text_chars"))
 
 

@@ -2,12 +2,13 @@
 
 Texts are dealt into ranges of the order column, sorted within, encoded, laid end to end and cut into sequences of equal length.
 A file holds batches of two columns, ``ids`` (fixed-size list of unsigned 16- or 32-bit ids) and ``mask`` (fixed-size list of
-0/1, 0 on the padding behind the last id).  Every batch but the last has the same number of sequences, so sequence i of a
-memory-mapped file is found by division and read without a copy.  Beside them an index table tells where each text lies.
+0/1, 0 on the padding behind the last id).  Every batch but the last has the same number of sequences and, being plain values, the
+same number of bytes.  A stream has no footer, but with one stride for all batches sequence i is found by division: SequenceFile
+reads it from a memory-mapped file without a copy.  Beside the files an index table tells where each text lies.
 
 A task writes a file under a name of its own and reports the name with its rows; the index, written by Spark, is what counts.  A
-task that is repeated after a lost executor writes another file and the first is not referred to.  The files lie in the shared
-folder.
+task that is repeated after a lost executor writes another file and the first is not referred to.  Files and index lie in the folder
+asked for; without one in the shared folder, until the session ends.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimatch.llm.tables import Scratch, partitions, texts
+from evimatch.llm.tables import Scratch, partitions
 
 SEQUENCE, BATCH = 1024, 256
 END_ID = 1
@@ -158,7 +160,7 @@ class _Writer:
         self.file.close()
 
 
-def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, batch: int, ordered: bool):
+def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, at = None, None, 0
         part = TaskContext.get().partitionId()
@@ -187,19 +189,59 @@ def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, batch:
     return run
 
 
-def write_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, vocabulary_size: int = 49_408, sequence: int = SEQUENCE, batch: int = BATCH, keep_order: bool = False) -> DataFrame:
+class SequenceFile:
+    """Random access to the sequences of one file: ids and masks are views of the mapped file, nothing is copied or read ahead."""
+
+    def __init__(self, path: str) -> None:
+        self.map = _open(path, False)
+        self.schema = pa.ipc.read_schema(self.map)
+        self.first = self.map.tell()
+        message = pa.ipc.read_message(self.map) if self.map.size() > self.first + 8 else None
+        whole = pa.ipc.read_record_batch(message, self.schema) if message is not None else None
+        self.batch, self.stride = (len(whole), self.map.tell() - self.first) if whole is not None else (1, 1)
+
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """ids and mask of sequence i, from 0; IndexError beyond the last."""
+        block, row = divmod(i, self.batch)
+        at = self.first + block * self.stride
+        if i < 0 or at + 8 >= self.map.size():  # the last eight bytes end the stream
+            raise IndexError(i)
+        self.map.seek(at)
+        found = pa.ipc.read_record_batch(pa.ipc.read_message(self.map), self.schema)
+        if row >= len(found):
+            raise IndexError(i)
+        ids, mask = (c.flatten() for c in found.slice(row, 1).columns)
+        return ids.to_numpy(zero_copy_only=True), mask
+
+
+def write_tokens(
+    docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, vocabulary_size: int = 49_408, sequence: int = SEQUENCE, batch: int = BATCH, order: list[Column] | None = None
+) -> DataFrame:
     """Write the files; returns their index: doc_id, part, file, at (first id within the part), n_tokens (with the end id).
 
-    Texts are laid in ascending order of id (null ids first, equal ids in the order of their texts), or, with keep_order, as the
-    rows lie in their partitions.  A null or empty text is the end id alone.  An empty table writes no file.
+    Texts are laid in ascending order of id (null ids first, equal ids in the order of their texts), or in the order of the given
+    columns of docs.  Files and index go to the folders files and index in ``path``, which must be new, and stay there.  A null or
+    empty text is the end id alone.  Repeated rows are written each.  An empty table writes no file.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    own = texts(docs, id_col, text_col)
-    if not keep_order:
-        own = own.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(f"o{i}") for i, c in enumerate(order or [])])
+    by = [f"o{i}" for i in range(len(order))] if order else ["doc_id", "text"]
+    own = own.repartitionByRange(partitions(spark), *by[: len(order) if order else 1]).sortWithinPartitions(*by).select("doc_id", "text")
     kind = "uint16" if vocabulary_size <= 1 << 16 else "uint32"
-    return scratch.table(own.mapInArrow(_write(f"{scratch.path}/files", tokenizer or vocabulary(), kind, end_id, sequence, batch, not keep_order), "doc_id long, part long, file string, at long, n_tokens long"), "index")
+    index = own.mapInArrow(_write(f"{path or scratch.path}/files", tokenizer or vocabulary(), kind, end_id, sequence, batch), "doc_id long, part long, file string, at long, n_tokens long")
+    if path is None:
+        return scratch.table(index, "index")
+    index.write.parquet(f"{path}/index")
+    return spark.read.schema(index.schema).parquet(f"{path}/index")
+
+
+def as_stored(docs: DataFrame) -> list[Column]:
+    """The order in which Spark wrote the rows of a table, for rows read straight from its files; for others the order they lie in."""
+    try:
+        return [docs["_metadata.file_path"], docs["_metadata.row_index"]]
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,8 +95,9 @@ def test_contamination(spark, docs, none, block):
         w = ALNUM.findall((text or "").translate(LOW))
         for k in range(len(w) - min(10, len(w)) + 1 if w else 0):
             windows[tuple(w[k : k + min(10, len(w))])] |= {str(i)} if i is not None else set()
-    source = docs if block > 1000 else docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    for r in decontaminate.digest(decontaminate.contamination(source, bench, block_windows=block)).collect():
+    found = decontaminate.digest(decontaminate.contamination(docs, bench, block_windows=block)).collect()
+    assert len(found) == len(rows())
+    for r in found:
         text = dict(rows()).get(r.doc_id)
         w, hit, found = ALNUM.findall((text or "").translate(LOW)), set(), set()
         for window, ids in windows.items():
@@ -105,7 +106,7 @@ def test_contamination(spark, docs, none, block):
                     hit.update(range(k, k + len(window)))
                     found |= ids
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    clean = decontaminate.clean(docs, bench)
+    clean = decontaminate.clean(docs, bench, block_windows=block)
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
@@ -156,6 +157,52 @@ def test_tokens(docs, none):
     assert tokens.read_tokens(tokens.write_tokens(none)).count() == 0
 
 
+def test_sequences_are_found_without_a_copy(spark, docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    at = f"file://{tmp_path}/out"
+    index = tokens.write_tokens(docs, path=at, sequence=16, batch=4)
+    whole = Tokenizer.from_file(tokens.vocabulary())
+    want = sorted(([*whole.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows()), key=len)
+    got, mapped = [], {r.file for r in index.select("file").distinct().collect()}
+    for path in mapped:
+        f, ids = tokens.SequenceFile(path), []
+        f.map.seek(0)
+        base = f.map.read_buffer(f.map.size())
+        i = 0
+        while True:
+            try:
+                own, mask = f.sequence(i)
+            except IndexError:
+                break
+            assert base.address <= own.ctypes.data < base.address + base.size and base.address <= mask.buffers()[1].address < base.address + base.size
+            assert len(own) == len(mask) == 16
+            ids += [x for x, m in zip(own.tolist(), mask.to_pylist(), strict=True) if m]
+            i += 1
+        assert f.sequence(i - 1)[0].tolist() == own.tolist() and i > 1
+        with pytest.raises(IndexError):
+            f.sequence(-1)
+        for r in index.where(F.col("file") == path).collect():
+            got.append(ids[r.at : r.at + r.n_tokens])
+    assert sorted(got, key=lambda x: (len(x), x)) == sorted(want, key=lambda x: (len(x), x))
+    assert spark.read.parquet(f"{at}/index").count() == len(rows())
+
+
+def test_tokens_keep_the_order_of_a_written_table(spark, tmp_path):
+    lengths = [5, 900, 40, 3000, 1]  # files of different sizes, which Spark reads in another order
+    for k, n in enumerate(lengths):
+        frame = spark.createDataFrame([(1000 * k + i, " ".join(f"w{j}" for j in range(n))) for i in range(3)], "doc_id long, text string").coalesce(1)
+        frame.write.mode("append").parquet(f"{tmp_path}/{k}")
+        for f in (tmp_path / str(k)).glob("*.parquet"):
+            (tmp_path / "all").mkdir(exist_ok=True)
+            f.rename(tmp_path / "all" / f"part-{k:05d}.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/all")
+    got = tokens.read_tokens(tokens.write_tokens(stored, order=tokens.as_stored(stored))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1000 * k + i for k in range(5) for i in range(3)]
+    made = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert tokens.read_tokens(tokens.write_tokens(made, order=tokens.as_stored(made))).count() == 2
+
+
 def test_encoder_equals_the_library():
     e, rng = tokens.Encoder(tokens.vocabulary(), "uint16"), random.Random(2)
     parts = [*"abcXYZ019 \t\n'.,!-éÉßµªº²×ÿŒΣς日́ \x1c\x85|<>", "'ll", "'VE", "<|endoftext|>", "<|startoftext|>", "\U0001f600"]
@@ -228,3 +275,10 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_any_number_of_shards(spark):
+    many = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("xxx").alias("text"), F.lit("hot").alias("source"), F.lit("en").alias("lang"))
+    got = [r.shard for r in kdshards.kd_shards(many, 100_000).collect()]
+    assert len(got) == len(set(got)) == 64 and 0 <= min(got) and max(got) < 100_000
+    assert kdshards.kd_shards(many, target_bytes=64).select("shard").distinct().count() == 4
