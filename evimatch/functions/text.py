@@ -32,8 +32,11 @@ def fold(c: Column) -> Column:
 
     Exact for Latin letters; other scripts keep their marks.
     """
-    bare = F.translate(F.translate(F.coalesce(c.cast("string"), F.lit("")), v.ACCENTED, v.PLAIN), "`´", "''")
-    return F.lower(F.trim(F.regexp_replace(bare, v.SPACES, " ")))
+    s = F.coalesce(c.cast("string"), F.lit(""))
+    quotes = lambda x: F.replace(F.replace(x, F.lit("`"), F.lit("'")), F.lit("´"), F.lit("'"))
+    # as many bytes as characters: nothing to look up, which most texts are spared this way
+    bare = F.when(F.length(s) == F.octet_length(s), s).otherwise(F.translate(s, v.ACCENTED, v.PLAIN))
+    return F.lower(F.trim(F.regexp_replace(quotes(bare), v.SPACES, " ")))
 
 
 def fold_de(c: Column) -> Column:
@@ -82,20 +85,52 @@ def repaired(c: Column) -> Column:
 
 def card_numbers(c: Column) -> Column:
     """All numbers like 4/102 as structs (numerator, denominator), zeroes kept."""
-    fixed = repaired(c)
-    tops, dens = F.regexp_extract_all(fixed, F.lit(NUMBER), F.lit(1)), F.regexp_extract_all(fixed, F.lit(NUMBER), F.lit(2))
-    return F.arrays_zip(tops.alias("numerator"), dens.alias("denominator"))
+    found = F.regexp_extract_all(repaired(c), F.lit(NUMBER), F.lit(0))  # one pass: neither part holds a slash or white space
+
+    def parts(m: Column) -> Column:
+        bare = F.regexp_replace(m, r"\s+", "")
+        return F.struct(F.substring_index(bare, "/", 1).alias("numerator"), F.substring_index(bare, "/", -1).alias("denominator"))
+
+    return F.transform(found, parts)
 
 
 def denominator(c: Column) -> Column:
     return F.try_to_number(F.regexp_replace(c, r"\D", ""), F.lit("9999")).cast("int")
 
 
-def pick_number(c: Column) -> Column:
-    """The first number whose denominator is not below 5."""
-    good = F.filter(card_numbers(c), lambda x: ~F.coalesce(denominator(x["denominator"]) < 5, F.lit(False)))
-    first = F.try_element_at(good, F.lit(1))
-    return F.concat(first["numerator"], F.lit("/"), first["denominator"])
+def pick_number(c: Column, known: Column | None = None) -> Column:
+    """The first number whose denominator is a known total (an array of them), else the first whose denominator is not below 5."""
+    return choose_number(card_numbers(c), known)
+
+
+def choose_number(found: Column, known: Column | None = None) -> Column:
+    """pick_number() of numbers as card_numbers() gives them."""
+    size = lambda x: denominator(x["denominator"])
+
+    def choose(numbers: Column) -> Column:
+        first = F.try_element_at(F.filter(numbers, lambda x: ~F.coalesce(size(x) < 5, F.lit(False))), F.lit(1))
+        if known is None:
+            return first
+        return F.coalesce(F.try_element_at(F.filter(numbers, lambda x: F.coalesce(F.array_contains(known, size(x)), F.lit(False))), F.lit(1)), first)
+
+    return let(let(found, choose), lambda x: F.concat(x["numerator"], F.lit("/"), x["denominator"]))
+
+
+def number_spans(c: Column) -> Column:
+    """card_numbers() with place (from 0) and raw, the text as it was read: the repair keeps every character's place."""
+    text = F.coalesce(c, F.lit(""))
+
+    def walk(fixed: Column) -> Column:
+        found = F.regexp_extract_all(fixed, F.lit(NUMBER), F.lit(0))
+        start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<place:int,raw:string>>").alias("all"))
+
+        def step(a: Column, m: Column) -> Column:
+            at = a["from"] + F.instr(fixed.substr(a["from"] + 1, F.length(fixed)), m) - 1
+            return F.struct((at + F.length(m)).alias("from"), F.array_append(a["all"], F.struct(at.alias("place"), text.substr(at + 1, F.length(m)).alias("raw"))).alias("all"))
+
+        return F.aggregate(found, start, step)["all"]
+
+    return let(repaired(c), walk)
 
 
 def years(c: Column) -> Column:
@@ -159,19 +194,15 @@ def _name_tokens(line: Column) -> Column:
 
 def pick_name(c: Column) -> Column:
     """The likeliest name in the first eight lines: place counts more than length; the earlier line wins a tie."""
-    top = F.slice(F.filter(lines(c), lambda x: F.lit(True)), 1, 8)
-    scored = F.transform(
-        top,
-        lambda line, i: F.struct(
-            (
-                F.lit(10.0) - i * 2.5 + F.least(F.length(F.regexp_replace(F.array_join(_name_tokens(line), " "), "[^A-Za-zÀ-ÿ]", "")), F.lit(12)) * 0.3
-            ).alias("score"),
-            (-i).alias("place"),
-            F.array_join(_name_tokens(line), " ").alias("value"),
-            (~line.rlike(ABOUT_ANOTHER) & F.exists(_name_tokens(line), lambda t: ~t.rlike(_SUFFIX) & ~t.rlike(_TITLE))).alias("good"),
-        ),
-    )
-    return F.array_max(F.filter(scored, lambda x: x["good"]))["value"]
+    read = F.transform(F.slice(lines(c), 1, 8), lambda line, i: F.struct(i.alias("i"), F.when(~line.rlike(ABOUT_ANOTHER), _name_tokens(line)).alias("tokens")))
+    names = F.filter(read, lambda x: F.exists(x["tokens"], lambda t: ~t.rlike(_SUFFIX) & ~t.rlike(_TITLE)))
+
+    def scored(x: Column) -> Column:
+        value = F.array_join(x["tokens"], " ")
+        size = F.least(F.length(F.regexp_replace(value, "[^A-Za-zÀ-ÿ]", "")), F.lit(12))
+        return F.struct((F.lit(10.0) - x["i"] * 2.5 + size * 0.3).alias("score"), (-x["i"]).alias("place"), value.alias("value"))
+
+    return F.array_max(F.transform(names, scored))["value"]
 
 
 def without_evolution_lines(c: Column) -> Column:
@@ -207,9 +238,14 @@ def letters(c: Column) -> Column:
 
 
 def same_name(a: Column, b: Column) -> Column:
-    x, y = letters(a), letters(b)
+    return same_letters(letters(a), letters(b))
+
+
+def same_letters(x: Column, y: Column) -> Column:
+    """Two names as letters() gives them: equal, one inside the other, or few edits apart.  Edits are counted only where lengths allow."""
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-    close = (long >= 7) & (F.lit(1.0) - F.levenshtein(x, y) / long >= 0.85)
+    near = (long >= 7) & (F.lit(1.0) - (long - short) / long >= 0.85)
+    close = F.when(near, F.lit(1.0) - F.levenshtein(x, y) / long >= 0.85).otherwise(False)
     return F.when(short < 4, False).when(x == y, True).when((short >= 5) & (x.contains(y) | y.contains(x)), True).otherwise(close)
 
 
@@ -229,3 +265,24 @@ def name_likeness(c: Column) -> Column:
     cased = (t == F.upper(t)) | F.forall(tokens, lambda x: x.rlike("^[A-ZÀ-Þ]"))
     base = F.when(cased, 0.7).otherwise(0.3)
     return F.when(bad, 0.0).when(F.size(tokens) >= 2, F.least(F.lit(1.0), base + 0.3)).otherwise(base)
+
+
+def is_vocabulary(p: Column) -> Column:
+    """Whether a word, as plain() gives it, is a maker's, a product's, a league's, a finish's or another word that is no name."""
+    known = [w.lower() for w in [*v.MANUFACTURERS, *v.PRODUCTS, *v.LEAGUES, *v.FINISHES, *v.NOT_A_NAME]]
+    return p.isin(*sorted(set(known)))
+
+
+def tidy_name(c: Column) -> Column:
+    """The text from its first to its last word that can belong to a name: no lone letter without a full stop, no vocabulary."""
+    words = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+
+    def holds(w: Column) -> Column:
+        n = F.length(F.regexp_replace(w, "[^A-Za-zÀ-ÿ]", ""))
+        return (n > 1) | ((n == 1) & w.contains("."))
+
+    def cut(ws: Column) -> Column:
+        places = F.filter(F.transform(ws, lambda w, i: F.when(holds(w) & ~is_vocabulary(plain(w)), i)), lambda i: i.isNotNull())
+        return let(places, lambda at: F.when(F.size(at) > 0, F.array_join(F.slice(ws, F.array_min(at) + 1, F.array_max(at) - F.array_min(at) + 1), " ")).otherwise(""))
+
+    return let(words, cut)

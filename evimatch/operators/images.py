@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,21 +40,32 @@ def histogram(grays: DataFrame, key: str, col: str) -> DataFrame:
 
 
 def otsu(grays: DataFrame, key: str, col: str) -> DataFrame:
-    """key, threshold: the value that best separates dark from light, the first on a tie."""
-    bins = histogram(grays, key, col).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("h"))
-    at = lambda v: F.coalesce(F.try_element_at(F.col("h"), v), F.lit(0)).cast("double")
-    values = F.sequence(F.lit(0), F.lit(255))
-    whole = F.aggregate(values, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), lambda a, x: F.struct((a["n"] + at(x)).alias("n"), (a["s"] + at(x) * x).alias("s")))
-    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0).alias("best"), F.lit(-1.0).alias("most"))
+    """key, threshold: the value that best separates dark from light, the first on a tie; 0 where all is one value.
 
-    def step(a: Column, x: Column) -> Column:
-        w, s = a["w"] + at(x), a["s"] + at(x) * x
-        rest = F.col("whole")["n"] - w
-        gap = s / F.nullif(w, F.lit(0.0)) - (F.col("whole")["s"] - s) / F.nullif(rest, F.lit(0.0))
-        between = F.coalesce(w * rest * gap * gap, F.lit(-2.0))
-        return F.struct(w.alias("w"), s.alias("s"), F.when(between > a["most"], x).otherwise(a["best"]).alias("best"), F.greatest(between, a["most"]).alias("most"))
+    One fold over the sorted values, row by row: what lies at or below a value only changes where a value ends, so a value is judged when
+    the next larger one comes.
+    """
+    rounded = F.sort_array(F.transform(col, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(x + 0.5).cast("double")))))
+    out = grays.select(key, rounded.alias("a")).withColumns({"n": F.size("a").cast("double"), "s": F.aggregate("a", F.lit(0.0), lambda t, x: t + x)})
+    fields = ("w", "s", "last", "best", "most")
+    state = lambda *values: F.struct(*[x.alias(f) for f, x in zip(fields, values, strict=True)])
 
-    return bins.withColumn("whole", whole).select(key, F.aggregate(values, start, step)["best"].alias("threshold"))
+    def judged(t: Column) -> Column:
+        gap = t["s"] / t["w"] - (F.col("s") - t["s"]) / (F.col("n") - t["w"])
+        return t["w"] * (F.col("n") - t["w"]) * gap * gap
+
+    def step(t: Column, x: Column) -> Column:
+        between = F.when((t["w"] > 0) & (x != t["last"]), judged(t))
+        better = F.coalesce(between > t["most"], F.lit(False))
+        return state(t["w"] + 1.0, t["s"] + x, x, F.when(better, t["last"]).otherwise(t["best"]), F.when(better, between).otherwise(t["most"]))
+
+    found = F.aggregate("a", state(*map(F.lit, (0.0, 0.0, -1.0, 0.0, -1.0))), step)
+    return out.select(key, found["best"].cast("int").alias("threshold"))
+
+
+def binarize(a: Column, threshold: Column) -> Column:
+    """255 above the threshold, 0 at or below it."""
+    return F.transform(a, lambda x: F.when(x > threshold, 255).otherwise(0))
 
 
 def stretch(grays: DataFrame, key: str, col: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -93,42 +103,3 @@ def laplacian_variance(gray: np.ndarray) -> float:
         return 0.0
     inner = gray[:-2, 1:-1] + gray[2:, 1:-1] + gray[1:-1, :-2] + gray[1:-1, 2:] - 4 * gray[1:-1, 1:-1]
     return float(inner.var())
-
-
-def _placed(gray: np.ndarray) -> tuple[float, float, float, float, float] | None:
-    """Centre, sides and tilt of the region that stands out from the border's plane of light, by its second moments."""
-    h, w = gray.shape
-    y, x = np.mgrid[0:h, 0:w].astype(float)
-    edge = np.zeros_like(gray, dtype=bool)
-    rim = max(1, min(h, w) // 20)
-    edge[:rim], edge[-rim:], edge[:, :rim], edge[:, -rim:] = True, True, True, True
-    basis = np.stack([np.ones_like(x), x, y], axis=-1)
-    plane, *_ = np.linalg.lstsq(basis[edge], gray[edge], rcond=None)
-    off = np.abs(gray - basis @ plane)
-    mask = off > max(12.0, 4 * np.median(off[edge]))
-    if not 0.05 < mask.mean() < 0.95:
-        return None
-    px, py = x[mask], y[mask]
-    cx, cy = float(px.mean()), float(py.mean())
-    best = None
-    for tenth in range(-450, 451, 5):
-        a = np.deg2rad(tenth / 10)
-        u, v = (px - cx) * np.cos(a) + (py - cy) * np.sin(a), (py - cy) * np.cos(a) - (px - cx) * np.sin(a)
-        lo_u, hi_u, lo_v, hi_v = *np.quantile(u, [0.005, 0.995]), *np.quantile(v, [0.005, 0.995])
-        area = (hi_u - lo_u) * (hi_v - lo_v)
-        if best is None or area < best[0]:
-            best = (area, hi_u - lo_u, hi_v - lo_v, float(a))
-    return cx, cy, float(best[1]), float(best[2]), best[3]
-
-
-def _locate(group: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for r in group.itertuples():
-        found = _placed(np.asarray(r.gray, dtype=float).reshape(r.height, r.width)) if r.height * r.width == len(r.gray) else None
-        out.append((r.image_id, *(found or (None,) * 5)))
-    return pd.DataFrame(out, columns=["image_id", "cx", "cy", "w", "h", "angle"])
-
-
-def locate(images: DataFrame) -> DataFrame:
-    """images (image_id, width, height, gray) -> where the card lies, nulls where nothing stands out.  One image at a time."""
-    return images.mapInPandas(lambda batches: (_locate(b) for b in batches), "image_id long, cx double, cy double, w double, h double, angle double")

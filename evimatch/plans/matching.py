@@ -17,11 +17,14 @@ def _pairs(get):
     """Captures with the catalogue cards of their number (an equality, so rows are dealt by it)."""
     q = get("captures").select("cid", "true_id", "num", F.concat(F.col("num").cast("string"), F.lit("/"), F.col("den").cast("string")).alias("q_number"), F.col("name").alias("q_name"), F.col("year").alias("q_year"), F.col("hp").alias("q_hp"), F.col("language").alias("q_language"), F.lit(None).cast("string").alias("q_variant"))
     c = get("ref_cards").select("id", "num", F.concat(F.col("num").cast("string"), F.lit("/"), F.col("den").cast("string")).alias("c_number"), F.col("name").alias("c_name"), F.col("year").alias("c_year"), F.col("hp").alias("c_hp"), F.col("language").alias("c_language"), F.lit(None).cast("string").alias("c_variant"), F.col("has_variants").alias("c_has_variants"))
-    return matching.prepare(q, "q_").join(matching.prepare(c, "c_"), "num")
+    # dealt by capture, so that ranking finds each capture's pairs in one place
+    return matching.prepare(q, "q_").repartition("cid").join(matching.prepare(c, "c_"), "num")
 
 
 def _ranked(get):
-    return matching.rank(matching.score(_pairs(get), _FIELDS), "cid", "id")
+    scored = matching.score(_pairs(get), _FIELDS)
+    narrow = scored.select("cid", "true_id", "id", "q_variant", "c_has_variants", "confidence", *[f"a_{f}" for f in _FIELDS])  # texts stay behind
+    return matching.rank(narrow, "cid", "id")
 
 
 _SCORED = f"""
@@ -166,7 +169,8 @@ def digit_repair(get):
 
 @query(f"select cid, x[1] || '/' || x[2] as number, n from (select cid, {_PICK} as x, cast(len(regexp_extract_all({_FIXED}, {_NUM}, 1)) as bigint) as n from {{ocr_text}})")
 def card_numbers(get):
-    return get("ocr_text").select("cid", t.pick_number(F.col("text")).alias("number"), F.size(t.card_numbers(F.col("text"))).cast("bigint").alias("n"))
+    found = get("ocr_text").select("cid", t.card_numbers(F.col("text")).alias("found"))
+    return found.select("cid", t.choose_number(F.col("found")).alias("number"), F.size("found").cast("bigint").alias("n"))
 
 
 _YEARS = r"list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])(19[3-9]\d|20[0-4]\d)\b', 1), lambda x: cast(x as integer))"
@@ -214,12 +218,6 @@ def pick_name(get):
     return get("ocr_text").select("cid", t.pick_name(F.col("text")).alias("name"))
 
 
-@query()
-def signals_all(get):
-    c = F.col("text")
-    return get("ocr_text").select("cid", t.pick_name(c).alias("name"), t.pick_number(c).alias("number"), t.latest_year(c).alias("year"), t.hp(c).alias("hp"), F.try_element_at(t.variant_terms(c), F.lit(1)).alias("variant"), t.language(c).alias("language"))
-
-
 _LETTERS = lambda x: f"lower(regexp_replace({x}, '[^A-Za-zÀ-ÿ0-9]', '', 'g'))"
 
 

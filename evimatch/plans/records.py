@@ -334,3 +334,27 @@ def rate_limiter(get):
 def combine_names(get):
     n = get("conversations").select(F.col("conv_id").alias("card_id"), F.when(F.col("role") == "user", "front").otherwise("back").alias("side"), F.col("turn").alias("pos"), "text", (F.length("text") % 100 / 100.0).cast("double").alias("confidence")).withColumn("score", F.col("confidence"))
     return merging.combine_names(n)
+
+
+def _card_lines(get):
+    """Words as lines of a card: their texts are those of parts, upper-cased for every other line."""
+    names = get("part").select((F.col("p_partkey") % 97).alias("m"), "p_name").groupBy("m").agg(F.min("p_name").alias("p_name"))
+    w = get("words").withColumn("m", F.substring("text", 2, 3).cast("long")).join(names, "m")
+    y0 = F.col("row_id") * 20.0
+    return w.select("doc_id", F.col("word_id").cast("int").alias("line_id"), F.when(F.col("word_id") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("text"), F.greatest(F.col("conf"), F.lit(0.5)).alias("confidence"), "conf", F.col("h").alias("height"), F.col("x0"), y0.alias("y0"), "x1", (y0 + F.col("h")).alias("y1")).withColumnRenamed("conf", "weakest")
+
+
+@query()
+def names_stacked(get):
+    return layout.stacked(_card_lines(get), "doc_id")
+
+
+@query()
+def names_ranked(get):
+    return layout.rank_names(_card_lines(get), "doc_id", 100.0).where("place <= 4").select("doc_id", "line_id", "text", "score", "place")
+
+
+@query()
+def letters_spaced(get):
+    w = get("words")
+    return layout.space_by_gaps(w.select("doc_id", F.substring("text", 1, 2).alias("text"), "x0", "x1", F.lit(30.0).alias("line_height")))
