@@ -270,6 +270,34 @@ def test_pages(spark):
     assert (got[90].text, got[91].text, got[92].text) == ("", "", "loose < text")
 
 
+def test_site_frames_go_without_any_word_of_a_list(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    page = lambda body: f"<html><body><div class='q1'><span>{say(2)}</span><span>{say(2)}</span></div><div class='q2'>{say(9)}</div>{body}<div class='q3'>{say(4)}</div></body></html>"
+    data, want = [], {}
+    for i in range(30):
+        paragraphs = [say(rng.randrange(20, 40)) for _ in range(rng.randrange(1, 4))]
+        want[i] = "\n".join(paragraphs)
+        data.append((i, "http://one.org/x", page("<div class='z'>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</div>"), 1, "clash"))
+    data.append((99, "http://two.org/", "<div class='q2'>alone</div>", 1, "clash"))
+    frame = spark.createDataFrame(data + data[:1], "page_id int, url string, html string, host int, templates string")
+    got = pages.extract(frame).collect()
+    assert len(got) == len(data) + 1 and all(r.text == want.get(r.page_id, "alone") for r in got)
+    alone = pages.extract(frame, min_pages=1000).collect()
+    assert sum(r.text != want.get(r.page_id, "alone") for r in alone) == 31
+    assert pages.extract(frame.limit(0)).count() == 0
+
+
+def test_hostile_pages_are_parsed_in_linear_time():
+    import time
+
+    for piece in ('<a "', "<a '\"", "<!--", "</script", "<script>", "<b>", "<b></i>", "<li>", "<p", '<x y="'):
+        text = piece * (400_000 // len(piece)) + ">"
+        t = time.time()
+        pages.main_text(pages.parse(text), set())
+        assert time.time() - t < 20, piece
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
