@@ -84,7 +84,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
 
     A template matches a window that has at least ``percent`` % of its distinct five-word shingles (the whole, if it has fewer words).
     Only matches are returned; null and empty texts have none, nor has an empty table.  Rows that repeat a doc_id are scanned each and
-    counted together; a null doc_id is reported as null.  Other columns are ignored.
+    reported as one, a window's place counting once; so are rows without a doc_id, under a null.  Other columns are ignored.
 
     A text is read and cut into words once.  Windows are formed around its anchor words only, for all window shapes side by side.
     """
