@@ -4,6 +4,9 @@ Every node of the tree looks for the point of its widest dimension below which i
 point is found by summing bytes in equal bins and looking closer inside the one bin that holds it, for all nodes of a level at
 once; rows with one value are told apart by doc_id in the same way.  The nodes are a table like the rows: their bins are summed,
 chosen and joined back by Spark, so a tree may have any number of leaves and nothing of it comes to the driver.
+
+Rows with equal texts are one point of the space, that of their smallest doc_id, so no cut parts them.  A group that is too large
+for that, since it would make the shards uneven, is cut like rows of their own.
 """
 
 from __future__ import annotations
@@ -11,10 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimatch.llm.tables import BROADCAST_ROWS, Scratch, has_rows, partitions
+from evimatch.llm.tables import BROADCAST_ROWS, Scratch, has_rows, partitions, small
 
 BINS = 1024
 DIMS = ("d_size", "d_source", "d_lang", "d_id")
+#: A group of equal texts stays whole up to one part in so many of a shard's bytes.
+WHOLE_PART = 200
+#: Groups of more rows than this, and than one in HOT_GROUPS of all rows, are met by a broadcast: HOT_GROUPS groups at most.
+HOT_ROWS, HOT_GROUPS = 10_000, 100_000
+_TEXT = ["h", "text_crc32", "size"]
 
 
 def _narrowed(rows: DataFrame, state: DataFrame, few, scratch: Scratch, name: str) -> DataFrame:
@@ -41,12 +49,27 @@ def _narrowed(rows: DataFrame, state: DataFrame, few, scratch: Scratch, name: st
     return state.select("node", F.col("lo").alias("at"), "below")
 
 
+def _together(plain: DataFrame, scratch: Scratch, most_bytes: int, n_rows: int) -> DataFrame:
+    """plain, with the place of its smallest doc_id for each row of a group of equal texts of at most ``most_bytes``."""
+    place = F.struct("d_id", "d_source", "d_lang")
+    groups = scratch.table(plain.groupBy(*_TEXT).agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1"), "groups")
+    whole = F.col("n") * F.col("size") <= most_bytes
+    is_hot = F.col("n") > max(HOT_ROWS, n_rows // HOT_GROUPS)
+    hot = groups.where(is_hot).select(*_TEXT, F.when(whole, F.col("least")).alias("least"), F.lit(True).alias("hot"))
+    cold = groups.where(~is_hot & whole).select(*_TEXT, "least")
+    met = plain.join(F.broadcast(hot), _TEXT, "left")
+    rest = met.where("hot is null").drop("least", "hot").join(small(cold), _TEXT, "left")
+    both = met.where("hot").drop("hot").unionByName(rest)
+    return both.withColumns({d: F.coalesce(f"least.{d}", d) for d in ("d_id", "d_source", "d_lang")}).drop("least", "h")
+
+
 def kd_shards(docs: DataFrame, shards: int = 8, *, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes of the text, null as none, plus 1), text_crc32, law, shard, slot, grown_shard (null).
 
     The tree has ``shards`` leaves, or as many as it takes for a leaf of target_bytes.  Dimensions: size, source, lang (by their
-    crc32) and doc_id, each measured against its whole range.  The law is ``bytes``: shards differ by a few texts' bytes at most.
-    slot numbers a shard's rows from 0 without gaps, in no order that matters.
+    crc32) and doc_id, each measured against its whole range.  The law is ``bytes``: at each cut the two sides are off by one text or
+    by one whole group at most.  Rows with equal texts (null and empty are equal) are in one shard if they have at most
+    1/WHOLE_PART of a shard's bytes; larger groups are cut.  slot numbers a shard's rows from 0 without gaps, in no order that matters.
 
     Null ids, sources and languages count as the smallest value (their rows stay).  Rows that agree in the dimension and in
     doc_id cannot be told apart and stay together.  Other columns are ignored.  An empty table gives an empty result.
@@ -61,6 +84,7 @@ def kd_shards(docs: DataFrame, shards: int = 8, *, target_bytes: int | None = No
         F.col(id_col).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"),
         size.alias("d_size"),
         code(source_col).alias("d_source"),
         code(lang_col).alias("d_lang"),
@@ -68,10 +92,13 @@ def kd_shards(docs: DataFrame, shards: int = 8, *, target_bytes: int | None = No
     )
     ranges = [f(d).alias(f"{side}_{d}") for d in DIMS for side, f in (("lo", F.min), ("hi", F.max))]
     width = lambda d: f"(cast(hi_{d} as double) - cast(lo_{d} as double))"
-    placed = scratch.table(plain, "placed-0")
-    whole = scratch.table(placed.agg(F.sum("size").alias("bytes"), *ranges), "whole")  # one row
+    plain = scratch.table(plain, "plain")
+    sums = plain.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     if target_bytes:
-        shards = max(1, -(-(whole.first().bytes or 0) // target_bytes))
+        shards = max(1, -(-sums.bytes // target_bytes))
+    placed = scratch.table(_together(plain, scratch, sums.bytes // (shards * WHOLE_PART), sums.n), "placed-0")
+    scratch.drop("plain", "groups")
+    whole = scratch.table(placed.agg(*ranges), "whole")  # one row
     placed = placed.withColumns({"first": F.lit(0), "shards": F.lit(shards)})
     ahead = F.broadcast(whole.select(*[F.expr(f"greatest(1D, {width(d)})").alias(f"whole_{d}") for d in DIMS]))
     share = {d: f"{width(d)} / whole_{d}" for d in DIMS}

@@ -246,6 +246,25 @@ def test_shards_are_even(spark):
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 4 * 50
 
 
+@pytest.mark.parametrize("hot_from", [10_000, 3])
+def test_equal_texts_share_a_shard(spark, monkeypatch, hot_from):
+    monkeypatch.setattr(kdshards, "HOT_ROWS", hot_from)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(20)) for _ in range(1500)]
+    rows_of = [(i, texts[i % 1500] if i < 6000 else "the same text again", f"s{rng.randrange(4)}") for i in range(9000)]
+    frame = spark.createDataFrame(rows_of, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    got = kdshards.kd_shards(frame, 4).collect()
+    where, sizes = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        where[rows_of[r.doc_id][1]].add(r.shard)
+        sizes[r.shard] += r.size
+    share = sum(sizes.values()) / 4
+    assert len(got) == 9000 and len(sizes) == 4
+    assert all(len(v) == 1 for k, v in where.items() if k != "the same text again")
+    assert max(sizes.values()) - min(sizes.values()) <= share * 6 / kdshards.WHOLE_PART
+    assert len(where["the same text again"]) > 1  # 3,000 rows: too large to stay whole
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame([("domain", "bad.org", "add", "2024-02-01"), ("domain", "bad.org", "remove", "2024-03-01"), ("prefix", "ok.org/ads/", "add", "2024-01-01"), ("host", None, "add", "2024-01-01")], "kind string, pattern string, action string, at string")
     seen = [(1, "http://x.bad.org/a", "2024-02-10"), (2, "http://x.bad.org/a", "2024-03-01"), (3, "https://u@OK.org:80/ads/1?x", "2024-05-01"), (4, "https://ok.org/adsense", "2024-05-01"), (5, None, "2024-05-01"), (6, "http://notbad.org/", "2024-02-10"), (7, "http://bad.org", None)]
