@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evimatch.functions.vocabulary import REGIONS, STRIP_HEIGHT, STRIP_MARGIN
+
 
 def luma(r: Column, g: Column, b: Column) -> Column:
     return r * 0.299 + g * 0.587 + b * 0.114
@@ -83,6 +85,32 @@ def issues(edge: Column, mean: Column, blown: Column, sharpness: Column) -> Colu
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def region_rect(region: Column, width: Column, height: Column) -> Column:
+    """A named region in whole pixels (sx, sy, sw, sh), inside a card of that size; null for a name that is none."""
+    box = F.create_map(*[x for name, parts in REGIONS.items() for x in (F.lit(name), F.array(*map(F.lit, parts)))])[region]
+    pixels = lambda i, size: F.floor(box[i] * size + 0.5).cast("int")
+    left, top = F.greatest(F.lit(0), pixels(0, width)), F.greatest(F.lit(0), pixels(1, height))
+    rect = F.struct(left.alias("sx"), top.alias("sy"), F.least(width - left, pixels(2, width)).alias("sw"), F.least(height - top, pixels(3, height)).alias("sh"))
+    return F.when(box.isNotNull(), rect)
+
+
+def to_card(rect: Column, x: Column, y: Column) -> Column:
+    """Where on the card a point of its enlarged strip lies."""
+    scale = F.lit(float(STRIP_HEIGHT)) / rect["sh"]
+    return F.struct((rect["sx"] + (x - STRIP_MARGIN) / scale).alias("x"), (rect["sy"] + (y - STRIP_MARGIN) / scale).alias("y"))
+
+
+def flatten_line(a: Column, radius: int) -> Column:
+    """Each value as a part of the mean around it (cut off at the ends), 255 at most: uneven light goes."""
+
+    def around(i: Column) -> Column:
+        first = F.greatest(F.lit(1), i + 1 - radius)
+        near = F.slice(a, first, i + 1 + radius - first + 1)
+        return F.aggregate(near, F.lit(0.0), lambda t, x: t + x) / F.size(near)
+
+    return F.transform(a, lambda x, i: F.least(F.lit(255.0), F.lit(255.0) * x / F.greatest(F.lit(1.0), around(i))))
+
+
 def box_blur(gray: np.ndarray, radius: int) -> np.ndarray:
     """Mean over a square window whose edges are clamped, through an integral image."""
     h, w = gray.shape

@@ -195,10 +195,54 @@ def texts_largest(get):
     return merging.keep_texts(w, "doc_id", 4, "h").select("doc_id", F.col("line_id").alias("word_id"), F.col("place").cast("bigint").alias("place"))
 
 
-@query("select doc_id, pos, conf from (select *, row_number() over (partition by doc_id order by high desc, case when high then pos end, conf desc, signal desc, pos) as k from (select doc_id, word_id as pos, conf, signal, conf >= 0.9 and x0 / 900 >= 0.1 as high from (select *, row_id = 1 as signal, conf * 1.2 as c2 from {words}))) where k = 1".replace("conf >= 0.9 and", "c2 >= 0.9 and"))
+def _framings(get):
+    frame = F.element_at(F.array(F.lit("located"), F.lit("whole-frame"), F.lit("turned-around")), F.col("row_id") + 1)
+    sign = F.col("x1").cast("int") % 3 == 0
+    return get("words").select("doc_id", F.col("word_id").alias("ordinal"), frame.alias("framing"), (F.col("conf") * 1.2).alias("confidence"), (F.col("x0") / 900).alias("margin"), sign.alias("has_signal"))
+
+
+def _best_sql(which: str) -> str:
+    """r: framings; b: each document's best of those that ``which`` names, up to the first best that is HIGH."""
+    return f"""r as (select doc_id, word_id as ordinal, row_id, conf * 1.2::double as c, x0 / 900::double as m, cast(x1 as int) % 3 = 0 as s from {{words}}),
+o as (select * from r where {which}),
+lead as (select a.*, not exists (select 1 from o b where b.doc_id = a.doc_id and b.ordinal < a.ordinal and (b.c > a.c or (b.c = a.c and b.s >= a.s))) as leads from o a),
+stop as (select doc_id, min(ordinal) as stop from lead where leads and c >= 0.9 and m >= 0.1 group by doc_id),
+b as (select * from (select o.*, row_number() over (partition by o.doc_id order by c desc, s desc, ordinal) as k from o left join stop using (doc_id) where stop is null or ordinal <= stop) where k = 1)"""
+
+
+@query(f"with {_best_sql('true')} select doc_id, ordinal, c as confidence from b")
 def best_framing(get):
-    w = get("words").select("doc_id", F.col("word_id").alias("ordinal"), F.col("conf").alias("plain"), (F.col("conf") * 1.2).alias("confidence"), (F.col("x0") / 900).alias("margin"), (F.col("row_id") == 1).alias("has_signal"))
-    return merging.best_framing(w, "doc_id").select("doc_id", F.col("ordinal").alias("pos"), F.col("plain").alias("conf"))
+    return merging.best_framing(_framings(get), "doc_id").select("doc_id", "ordinal", "confidence")
+
+
+@query(f"""with {_best_sql("row_id <> 2")},
+t as (select * from (select *, row_number() over (partition by doc_id order by c desc, ordinal) as k from r where row_id = 2 and doc_id in (select doc_id from r where row_id = 0)) where k = 1),
+w as (select b.doc_id, coalesce(t.c > b.c and not b.s and not (b.c >= 0.9 and b.m >= 0.1), false) as turned, b.ordinal as bo, b.c as bc, b.row_id as br, t.ordinal as t_o, t.c as tc from b left join t using (doc_id))
+select doc_id, case when turned then 'turned-around' when br = 0 then 'located' else 'whole-frame' end as framing, case when turned then t_o else bo end as ordinal, case when turned then tc else bc end as confidence from w""")
+def second_opinion(get):
+    return merging.second_opinion(_framings(get), "doc_id").select("doc_id", "framing", "ordinal", "confidence")
+
+
+def _place_sql(i: int) -> str:
+    return "case region " + " ".join(f"when '{name}' then {box[i]}::double" for name, box in v.REGIONS.items()) + " end"
+
+
+@query(f"""select *, floor((sx + 30 / (240::double / sh)) * 1000 + 0.5) / 1000 as card_x, floor((sy + 6 / (240::double / sh)) * 1000 + 0.5) / 1000 as card_y from (
+select id, region, sx, sy, cast(least(width - sx, floor({_place_sql(2)} * width + 0.5)) as int) as sw, cast(least(height - sy, floor({_place_sql(3)} * height + 0.5)) as int) as sh from (
+select *, cast(floor({_place_sql(0)} * width + 0.5) as int) as sx, cast(floor({_place_sql(1)} * height + 0.5) as int) as sy from (
+select p_partkey as id, cast(200 + p_size * 7 as int) as width, cast(280 + p_size * 9 as int) as height, case p_partkey % 3 when 0 then 'top' when 1 then 'bottomLeft' else 'bottomRight' end as region from part)))""")
+def region_rects(get):
+    name = F.element_at(F.array(F.lit("top"), F.lit("bottomLeft"), F.lit("bottomRight")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    size = get("part").select(F.col("p_partkey").alias("id"), name.alias("region"), (F.col("p_size") * 7 + 200).cast("int").alias("width"), (F.col("p_size") * 9 + 280).cast("int").alias("height"))
+    cut = size.withColumn("r", images.region_rect(F.col("region"), F.col("width"), F.col("height")))
+    at = images.to_card(F.col("r"), F.lit(42), F.lit(18))
+    return cut.select("id", "region", "r.*", values.round3(at["x"]).alias("card_x"), values.round3(at["y"]).alias("card_y"))
+
+
+@query(f"select vec_id, list_sum(list_transform(f, lambda x: floor(x))) as total, floor(list_min(f)) as least from (select vec_id, list_transform(range(1, len(g) + 1), lambda i: least(255::double, 255::double * g[i] / greatest(list_sum(g[greatest(1, i - 4):i + 4]) / len(g[greatest(1, i - 4):i + 4]), 1::double))) as f from (select vec_id, {_GRAY} as g from embeddings))")
+def gray_flatten(get):
+    flat = _gray(get).select("vec_id", images.flatten_line(F.col("gray"), 4).alias("f"))
+    return flat.select("vec_id", F.aggregate("f", F.lit(0.0), lambda a, x: a + F.floor(x).cast("double")).alias("total"), F.floor(F.array_min("f")).cast("double").alias("least"))
 
 
 @query("select job_id, cast(max(run) as bigint) as attempts, max(run) <= 3 as retryable from (select job_id, island, sum(case when failed then 1 else 0 end) as run from (select *, sum(case when failed then 0 else 1 end) over (partition by job_id order by event_id) as island from {job_log}) group by job_id, island) group by job_id")
