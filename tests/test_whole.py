@@ -144,3 +144,18 @@ def test_rate_limit_by_blocks_equals_the_bucket(spark):
     assert all(want[k] is None and got[k] is None or abs(got[k] - want[k]) < 1e-6 for k in want) and max(w or 0 for w in want.values()) > 60_000
     plan = frame._jdf.queryExecution().toString()
     assert "InPandas" not in plan
+
+
+def test_second_opinion(spark):
+    rows = [
+        ("outdone", 0, "located", 0.95, 0.05, False), ("outdone", 1, "whole-frame", 0.92, 0.2, True),
+        ("ended", 0, "located", 0.91, 0.2, False), ("ended", 1, "whole-frame", 0.99, 0.2, True),
+        ("turned", 0, "located", 0.2, 0.0, False), ("turned", 1, "whole-frame", 0.1, 0.0, False), ("turned", 2, "turned-around", 0.3, 0.0, True),
+        ("as sure", 0, "located", 0.3, 0.0, False), ("as sure", 2, "turned-around", 0.3, 0.0, True),
+        ("signal", 0, "located", 0.2, 0.0, True), ("signal", 2, "turned-around", 0.9, 0.5, True),
+        ("nowhere", 0, "whole-frame", 0.2, 0.0, False), ("nowhere", 2, "turned-around", 0.9, 0.5, True),
+    ]
+    framings = spark.createDataFrame(rows, "card string, ordinal int, framing string, confidence double, margin double, has_signal boolean")
+    got = {r.card: r.framing for r in merging.second_opinion(framings, "card").collect()}
+    assert got == {"outdone": "located", "ended": "located", "turned": "turned-around", "as sure": "located", "signal": "located", "nowhere": "whole-frame"}
+    assert merging.second_opinion(framings.limit(0), "card").count() == 0
