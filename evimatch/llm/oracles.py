@@ -119,4 +119,28 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(c.n_hit, 0)
 from d left join c using (doc_id)
 """
 
-ORACLES = {"op2_near_duplicates": OP2, "op4_url_lists": OP4, "op6_mixing": OP6, "op7_license_scan": OP7, "op8_repeated_passages": OP8, "op10_contamination": OP10}
+OP12 = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id as vec_id, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, cast(score as bigint) as score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+OP13 = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+x as (select r, lang, source, unnest(w) as term from d),
+c as (select lang, source, term, count(*) as n from x group by all),
+k as (select lang, term from x group by all having count(distinct r) >= 30),
+g as (select distinct lang, source from d),
+s as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * count(*) over (partition by lang, source)) as p from s),
+q as (select lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang) + 5 * count(*) over (partition by lang)) as q from (select lang, term, sum(n) as n from s group by all)),
+a as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on y.lang = x.lang and y.term = x.term and y.source <> x.source group by all),
+r as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(a.value, 0) as value from g x join g y on y.lang = x.lang and y.source <> x.source left join a on a.lang = x.lang and a.source = x.source and a.item = y.source
+  union all select p.lang, p.source, 'term', p.term, p.p - q.q from p join q on q.lang = p.lang and q.term = p.term where p.n > 0 and p.p > q.q)
+select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from r
+qualify part = 'pair' or row_number() over (partition by lang, source, part order by value desc, item) <= 50
+"""
+
+ORACLES = {"op2_near_duplicates": OP2, "op4_url_lists": OP4, "op6_mixing": OP6, "op7_license_scan": OP7, "op8_repeated_passages": OP8, "op10_contamination": OP10, "op12_top_k": OP12, "op13_divergence": OP13}

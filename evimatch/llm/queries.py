@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimatch.llm import decontaminate, kdshards, licenses, mixing, neardup, pages, passages, quality, tokens, urlfilter
+from evimatch.llm import alignment, decontaminate, divergence, kdshards, licenses, mixing, neardup, pages, passages, quality, tokens, topk, urlfilter
 from evimatch.llm.oracles import MIX_WEIGHTS, ORACLES, URL_ENTRIES
 
 
@@ -58,5 +58,18 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_main_text, op4_url_lists, op5_quality_rules, op6_mixing, op7_license_scan, op8_repeated_passages, op9_kd_shards, op10_contamination)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row whose id is divisible by 50, the 5 best of all other rows."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_main_text, op4_url_lists, op5_quality_rules, op6_mixing, op7_license_scan, op8_repeated_passages, op9_kd_shards, op10_contamination, op11_alignment, op12_top_k, op13_divergence)}
 ORACLE_SQL = ORACLES

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
     duck.execute("set timezone='UTC'")
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = duck.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
