@@ -249,6 +249,13 @@ def same_letters(x: Column, y: Column) -> Column:
     return F.when(short < 4, False).when(x == y, True).when((short >= 5) & (x.contains(y) | y.contains(x)), True).otherwise(close)
 
 
+def clean_word(c: Column) -> Column:
+    """A recognised word without the marks around it; signs of a sentence at its end go too, but for a single full stop."""
+    begun = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^[^A-Za-z0-9À-ÿ#©]+", "")
+    ended = F.regexp_replace(begun, r"[^A-Za-z0-9À-ÿ.!?]+$", "")
+    return let(ended, lambda x: F.when(x.rlike(r"(^|[^.!?])\.$"), x).otherwise(F.regexp_replace(x, r"[.!?]+$", "")))
+
+
 def plain(c: Column) -> Column:
     bare = F.lower(F.translate(F.coalesce(c, F.lit("")), v.ACCENTED, v.PLAIN))
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9&'.\- ©#/]+", " "), r"\s+", " "))

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evimatch.functions.text import let
 from evimatch.functions.vocabulary import TRANSITIONS
 
+MAX_ATTEMPTS = 3
+#: What a job's log and its queue's can say.
+JOB_ACTIONS, QUEUE_ACTIONS = ("added", "started", "done", "failed", "retry"), ("pause", "resume", "cancel", "retry failed", "run")
+JOB = "struct<state:string,attempts:int,paused:boolean,cancelled:boolean,passed:int>"
+
 
 def stats(log: DataFrame, key: str, order: str) -> DataFrame:
     """Jobs by their latest state."""
@@ -42,6 +48,66 @@ def restore(log: DataFrame, key: str, order: str) -> DataFrame:
     return last.withColumn("state", F.when(F.col("state") == "RUNNING", "QUEUED").otherwise(F.col("state")))
 
 
+def new_job() -> Column:
+    """A job nothing has been said of: no state, no attempts, its queue neither paused nor cancelled, no event passed over."""
+    return F.expr("named_struct('state', cast(null as string), 'attempts', 0, 'paused', false, 'cancelled', false, 'passed', 0)").cast(JOB)
+
+
+def next_job(job: Column, event: Column, most: int = MAX_ATTEMPTS) -> Column:
+    """A job after an event (struct with action and retryable).  An event that the job's state has no use for is passed over and counted.
+
+    A job is added once, starts while it is queued and its queue neither paused nor cancelled, and comes back to the queue after a failure
+    that may be tried again, up to ``most`` attempts and not in a cancelled queue.  Cancelling a queue ends what is queued, not what runs;
+    running it anew lifts a pause and a cancellation.  A retry takes a failed or cancelled job, one of the whole queue only failed ones.
+    """
+    state, does = F.coalesce(job["state"], F.lit("")), event["action"]
+    again = (job["attempts"] < most) & F.coalesce(event["retryable"], F.lit(True)) & ~job["cancelled"]
+    moves = [
+        ((does == "added") & (state == ""), F.lit("QUEUED"), F.lit(0)),
+        ((does == "started") & (state == "QUEUED") & ~job["paused"] & ~job["cancelled"], F.lit("RUNNING"), job["attempts"] + 1),
+        ((does == "done") & (state == "RUNNING"), F.lit("SUCCEEDED"), job["attempts"]),
+        ((does == "failed") & (state == "RUNNING"), F.when(again, "QUEUED").otherwise("FAILED"), job["attempts"]),
+        ((does == "retry") & state.isin("FAILED", "CANCELLED"), F.lit("QUEUED"), F.lit(0)),
+        ((does == "retry failed") & (state == "FAILED"), F.lit("QUEUED"), F.lit(0)),
+        ((does == "cancel") & (state == "QUEUED"), F.lit("CANCELLED"), job["attempts"]),
+    ]
+    to = F.when(F.lit(False), F.struct(job["state"].alias("state"), job["attempts"].alias("attempts")))
+    for when, then, attempts in moves:
+        to = to.when(when, F.struct(then.alias("state"), attempts.alias("attempts")))
+    lifted = does.isin("run", "resume")
+    return let(
+        to,
+        lambda x: F.struct(
+            F.coalesce(x["state"], job["state"]).alias("state"),
+            F.coalesce(x["attempts"], job["attempts"]).alias("attempts"),
+            F.when(does == "pause", True).when(lifted, False).otherwise(job["paused"]).alias("paused"),
+            F.when(does == "cancel", True).when(does == "run", False).otherwise(job["cancelled"]).alias("cancelled"),
+            (job["passed"] + (x.isNull() & ~does.isin(*QUEUE_ACTIONS)).cast("int")).alias("passed"),
+        ),
+    )
+
+
+def with_queue(log: DataFrame, controls: DataFrame) -> DataFrame:
+    """A job log (queue, job_id, ts, event_id, action, retryable) with what was said to each job's queue (queue, ts, event_id, action).
+
+    A control reaches the jobs that its queue has been told of at any time; jobs meet controls by queue.
+    """
+    jobs_of = log.select("queue", "job_id").distinct()
+    said = jobs_of.join(controls.select("queue", "ts", "event_id", "action"), "queue")
+    return log.select("queue", "job_id", "ts", "event_id", "action", "retryable").unionByName(said.withColumn("retryable", F.lit(None).cast("boolean")))
+
+
+def reduce_log(log: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
+    """job_id, state, attempts, paused, cancelled, passed of a log (job_id, ts, event_id, action, retryable) in any order.
+
+    Events count in the order of ts and event_id, a repeated event_id once.  A job's events, a handful for each attempt, are folded in
+    the aggregation that brings them together.
+    """
+    event = F.struct("ts", "event_id", "action", "retryable")
+    whole = log.dropDuplicates(["job_id", "event_id"]).groupBy("job_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return whole.select("job_id", F.aggregate("events", new_job(), lambda j, e: next_job(j, e, most).cast(JOB)).alias("j")).select("job_id", "j.*")
+
+
 def backoff_bounds(attempt: Column, base: int = 400, cap: int = 8000) -> tuple[Column, Column]:
     """Least and most milliseconds before the next attempt."""
     top = F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1))

@@ -251,6 +251,37 @@ def job_attempts(get):
     return runs.groupBy("job_id").agg(F.max("run").cast("bigint").alias("attempts"), (F.max("run") <= 3).alias("retryable"))
 
 
+_ACTION = "case event_type when 'signup' then 'added' when 'view' then 'started' when 'purchase' then 'done' when 'error' then 'failed' else 'retry' end"
+_SAID = "case event_id % 10 when 0 then 'pause' when 5 then 'cancel' when 7 then 'retry failed' else case when event_id % 3 = 0 then 'run' else 'resume' end end"
+
+
+def _job_events(get):
+    """Events as a log: a tenth of the clicks speak to the queue, ten of them, and every 50th event is told twice."""
+    e = get("events").select((F.col("user_id") % 10).alias("queue"), F.col("user_id").alias("job_id"), "ts", "event_id", "event_type", (F.col("event_id") % 3 != 0).alias("retryable"))
+    control = (F.col("event_type") == "click") & (F.col("event_id") % 20 < 10)
+    log = e.where(~control).withColumn("action", F.expr(_ACTION)).drop("event_type")
+    return log.unionByName(log.where("event_id % 50 = 0")), e.where(control).withColumn("action", F.expr(_SAID))
+
+
+@query(f"""with recursive e as (select user_id % 10 as queue, user_id as job_id, ts, event_id, event_type = 'click' and event_id % 20 < 10 as control, {_ACTION} as action, {_SAID} as said, event_id % 3 <> 0 as retryable from events),
+j as (select distinct queue, job_id from e where not control),
+l as (select job_id, ts, event_id, action, retryable from e where not control union all select j.job_id, e.ts, e.event_id, e.said, null from j join e on e.queue = j.queue and e.control),
+n as (select *, row_number() over (partition by job_id order by ts, event_id) as k from l),
+f as (select job_id, 0::bigint as k, null::varchar as state, 0 as attempts, false as paused, false as cancelled, 0 as passed from j
+  union all select f.job_id, n.k,
+    case when action = 'added' and state is null then 'QUEUED' when action = 'started' and state = 'QUEUED' and not paused and not cancelled then 'RUNNING' when action = 'done' and state = 'RUNNING' then 'SUCCEEDED'
+      when action = 'failed' and state = 'RUNNING' then case when attempts < 3 and retryable and not cancelled then 'QUEUED' else 'FAILED' end when action = 'retry' and state in ('FAILED', 'CANCELLED') then 'QUEUED'
+      when action = 'retry failed' and state = 'FAILED' then 'QUEUED' when action = 'cancel' and state = 'QUEUED' then 'CANCELLED' else state end,
+    case when action = 'started' and state = 'QUEUED' and not paused and not cancelled then attempts + 1 when action = 'retry' and state in ('FAILED', 'CANCELLED') or action = 'retry failed' and state = 'FAILED' then 0 else attempts end,
+    case action when 'pause' then true when 'run' then false when 'resume' then false else paused end, case action when 'cancel' then true when 'run' then false else cancelled end,
+    passed + case when action = 'added' and state is null or action = 'started' and state = 'QUEUED' and not paused and not cancelled or action in ('done', 'failed') and state = 'RUNNING' or action = 'retry' and state in ('FAILED', 'CANCELLED')
+      or action in ('pause', 'resume', 'cancel', 'retry failed', 'run') then 0 else 1 end
+    from f join n on n.job_id = f.job_id and n.k = f.k + 1)
+select job_id, state, attempts, paused, cancelled, passed from (select *, row_number() over (partition by job_id order by k desc) as r from f) where r = 1""")
+def job_states(get):
+    return jobs.reduce_log(jobs.with_queue(*_job_events(get)))
+
+
 @query("select event_id, least(8000.0::double, 400.0::double * pow(2.0::double, event_id % 9)) / 2 as least_ms, least(8000.0::double, 400.0::double * pow(2.0::double, event_id % 9)) as most_ms from events")
 def job_backoff(get):
     low, high = jobs.backoff_bounds(F.col("event_id") % 9 + 1)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evimatch.functions import market
+from evimatch.functions import text as t
 from evimatch.functions import vocabulary as v
 
 MISSING = "Needs review"
@@ -25,57 +26,113 @@ class Template:
     recommended: list[str] = field(default_factory=list)
 
 
-def split_csv(text: str, delimiter: str) -> list[list[str]]:
-    """Rows of a small CSV text: doubled quotes, delimiters and line ends inside quotes, \\r dropped outside them."""
-    rows, row, cell, quoted, i = [], [], [], False, 0
-    text = text.removeprefix("﻿")
-    while i < len(text):
-        c = text[i]
-        i += 1
-        if quoted and c == '"' and text[i : i + 1] == '"':
-            cell.append(c)
-            i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif quoted or c not in (delimiter, "\r", "\n"):
-            cell.append(c)
-        elif c == delimiter or c == "\n":
-            row.append("".join(cell))
-            cell = []
-            if c == "\n":
-                rows.append(row)
-                row = []
-    if cell or row:
-        rows.append([*row, "".join(cell)])
-    return rows
-
-
-def _delimiter(text: str) -> str:
-    line, bare, quoted = text.removeprefix("﻿").split("\n")[0], [], False
-    for c in line:
-        quoted ^= c == '"'
-        if not quoted:
-            bare.append(c)
-    best = max(";,\t", key=bare.count)
-    return best if bare.count(best) else ","
-
-
-def parse_template(text: str) -> Template:
-    """The header is, of the first 20 rows with two cells or more, the one with the most distinct cells (first on a tie; a bonus if all
-    differ).  Rows above it are kept as the preamble; blank header cells are dropped."""
-    mark = _delimiter(text)
-    rows = split_csv(text, mark)
-    best, most = None, 0
-    for i, row in enumerate(rows[:20]):
-        cells = [c.strip() for c in row if c.strip()]
-        points = len(set(cells)) + (len(set(cells)) == len(cells))
-        if len(cells) >= 2 and points > most:
-            best, most = i, points
-    if best is None:
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """The physical lines of CSV files: file, block (where the split begins that the line was read in), at (grows within a split), line."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """file, row (from 0), text: the records of physical lines (file, block, at, line); a line end inside quotes ends no record.
+
+    Whether a line ends its record depends on how many quotes stand before it in its file, and its row on how many records ended there.
+    Both are counted by block: a block gives its quotes and its record ends for either parity, a window over the blocks of a file
+    carries them on, and lines take up what their block was given.  So a file of any size is read by as many tasks as it has splits.
+    Only lines of records that go over several are brought together.  A quote that is never closed makes one record of what follows it.
+    """
+    order = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    told = lines.withColumn("own", quotes.cast("long")).withColumn("quotes", F.sum("own").over(order))
+    ends = lambda odd: F.sum((F.col("quotes") % 2 == odd).cast("long"))
+    told = told.withColumns({"ends0": ends(0).over(order), "ends1": ends(1).over(order)})
+    blocks = told.groupBy("file", "block").agg(F.sum("own").alias("all"), ends(0).alias("end0"), ends(1).alias("end1"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("odd", F.coalesce(F.sum("all").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("start", F.coalesce(F.sum(F.when(F.col("odd") == 0, F.col("end0")).otherwise(F.col("end1"))).over(earlier), F.lit(0)))
+    placed = told.join(blocks.select("file", "block", "odd", "start"), ["file", "block"])
+    ended = (F.col("odd") + F.col("quotes")) % 2 == 0
+    begun = (F.col("odd") + F.col("quotes") - F.col("own")) % 2 == 0
+    row = F.col("start") + F.when(F.col("odd") == 0, F.col("ends0")).otherwise(F.col("ends1")) - ended.cast("long")
+    placed = placed.select("file", "block", "at", "line", row.alias("row"), (begun & ended).alias("whole"))
+    pieces = placed.where("not whole").groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("p"))
+    joined = pieces.select("file", "row", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("text"))
+    every = placed.where("whole").select("file", "row", F.col("line").alias("text")).unionByName(joined)
+    return every.withColumn("text", F.when(F.col("row") == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")))
+
+
+def cells(record: Column, delimiter: Column) -> Column:
+    """The cells of a record: quotes are taken off, doubled ones inside quotes are one, delimiters inside quotes stay, \\r outside goes.
+
+    Cut at its quotes a record is by turns outside and inside of them; an empty piece outside, between two quotes, is a doubled one.
+    """
+    sign = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    split = lambda x: F.split(F.replace(x, F.lit("\r"), F.lit("")), sign, -1)
+    none = F.expr("named_struct('done', cast(array() as array<string>), 'open', '')")
+
+    def walk(pieces: Column) -> Column:
+        def step(a: Column, p: Column) -> Column:
+            more = lambda x: F.struct(a["done"].alias("done"), F.concat(a["open"], x).alias("open"))
+            doubled = (p["i"] > 0) & (p["i"] < F.size(pieces) - 1) & (p["s"] == "")
+
+            def outside(parts: Column) -> Column:
+                first = F.array(F.concat(a["open"], parts[0]))
+                return F.when(F.size(parts) == 1, more(parts[0])).otherwise(F.struct(F.concat(a["done"], first, F.slice(parts, 2, F.size(parts) - 2)).alias("done"), F.element_at(parts, -1).alias("open")))
+
+            return F.when(p["i"] % 2 == 1, more(p["s"])).when(doubled, more(F.lit('"'))).otherwise(t.let(split(p["s"]), outside))
+
+        found = F.aggregate(F.transform(pieces, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), none, step)
+        return t.let(found, lambda f: F.array_append(f["done"], f["open"]))
+
+    return F.when(record.contains('"'), t.let(F.split(record, '"', -1), walk)).otherwise(split(record))
+
+
+def read_rows(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """file, row, delimiter, cells of physical lines as scan() gives them; rows may have any number of cells.
+
+    Without a delimiter each file's is told from its first physical line.  A blank line is a row of one empty cell, as is one in quotes.
+    """
+    found = records(lines)
+    if delimiter is None:
+        first = lines.groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("line"))
+        found = found.join(first.select("file", market.delimiter(F.regexp_replace("line", "^\ufeff", "")).alias("delimiter")), "file")
+    else:
+        found = found.withColumn("delimiter", F.lit(delimiter))
+    return found.select("file", "row", "delimiter", cells(F.col("text"), F.col("delimiter")).alias("cells"))
+
+
+#: Rows among which a header is looked for.
+HEADER_ROWS = 20
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """file, delimiter, header_row, headers, required, preamble (rows), n_samples of the rows of any number of template files.
+
+    The header is, of the first 20 rows with two cells or more, the one with the most distinct cells (first on a tie; a bonus if all
+    differ).  Rows above it are the preamble, rows below it with any cell that is not blank are samples; blank header cells are dropped.
+    Files without such a row give none.
+    """
+    bare = F.filter(F.transform("cells", lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")
+    told = rows.withColumn("bare", bare)
+    distinct = F.size(F.array_distinct("bare"))
+    points = distinct + (distinct == F.size("bare")).cast("int")
+    early = told.where((F.col("row") < HEADER_ROWS) & (F.size("bare") >= 2))
+    heads = early.groupBy("file").agg(F.max_by(F.struct("row", "bare"), F.struct(points.alias("p"), (-F.col("row")).alias("r"))).alias("h"))
+    both = told.join(heads.select("file", F.col("h.row").alias("header_row"), F.col("h.bare").alias("headers")), "file")
+    above = F.when(F.col("row") < F.col("header_row"), F.struct("row", "cells"))
+    whole = both.groupBy("file", "delimiter", "header_row", "headers").agg(F.array_sort(F.collect_list(above)).alias("above"), F.count_if((F.col("row") > F.col("header_row")) & (F.size("bare") > 0)).alias("n_samples"))
+    needed = F.filter("headers", market.required_header)
+    return whole.select("file", "delimiter", "header_row", "headers", needed.alias("required"), F.transform("above", lambda x: x["cells"]).alias("preamble"), "n_samples")
+
+
+def parse_template(spark: SparkSession, text: str) -> Template:
+    """The one template of a text; its rows are read as those of any file are."""
+    lines = spark.createDataFrame([("", 0, i, x) for i, x in enumerate(text.removesuffix("\n").split("\n"))], "file string, block long, at long, line string")
+    rows = read_rows(lines)
+    head = templates(rows).first()
+    if head is None:
         raise ValueError("no header row found in this template")
-    headers = [h.strip() for h in rows[best] if h.strip()]
-    needed = [h for h in headers if "*" in h or h.lower().startswith(("required", "pflicht"))]
-    return Template(headers, mark, rows[:best], [r for r in rows[best + 1 :] if any(c.strip() for c in r)], needed)
+    samples = rows.where((F.col("row") > head.header_row) & F.exists("cells", lambda c: F.trim(c) != "")).orderBy("row").collect()  # a template's few
+    return Template(head.headers, head.delimiter, head.preamble, [r.cells for r in samples], head.required)
 
 
 def starter() -> Template:
