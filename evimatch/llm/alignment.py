@@ -16,9 +16,12 @@ Other columns may have any name.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from evimatch.llm.tables import Scratch
 from evimatch.llm.tokens import vocabulary
 
 #: Pairs of a broadcast block; pairs a task counts before it hands them on; tokens of one side in a block of bits.
-PAIRS, HELD, TOKENS = 4_000_000, 2_000_000, 1 << 20
+PAIRS, HELD, TOKENS = 2_000_000, 500_000, 1 << 18
 #: Parts of texts whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -41,6 +44,10 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The pre-tokenizer for which plain words may go straight to the model, and the character its vocabulary has for a space.
+_BYTE_LEVEL, _SPACE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "Ġ"
+
+
 class Tokenizers:
     """Both vocabularies: each id's bytes, and texts to ids.
 
@@ -63,7 +70,15 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
         self.end = self.b.encode("a ")[len(self.b.encode("a")) :]  # what a space at the end becomes
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # two bytes an id do where the vocabulary allows
+        self.kinds = tuple("H" if len(x) <= 1 << 16 else "I" for x in (self.a_bytes, self.b_bytes))
+        told = json.loads(self.a.to_str())
+        self.plain = told["normalizer"] is None and told["pre_tokenizer"] == _BYTE_LEVEL and not any(t["content"].isalpha() for t in told["added_tokens"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
     _CUT, _RUN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
@@ -76,33 +91,51 @@ class Tokenizers:
             return [x[1:] for x in self._CUT.split(" " + text)]
         return text.split(" ")
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) > MEMORY:
-            self.known, self.odd = {}, set()
-        new = list(parts)
-        for x, a, b in zip(new, self.a.encode_batch([" " + x for x in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-            b = b if x else self.end
-            self.known[x] = (np.array(a.ids, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes())
-            if not b"".join(self.a_bytes[i] for i in a.ids) == b"".join(self.b_bytes[i] for i in b) == (" " + x).encode():
-                self.odd.add(x)
+    #: A word of ASCII letters with common marks behind it: the first's pattern parts it there, and its letters stand for themselves.
+    _WORD = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+
+    def _a_ids(self, parts: list[str]) -> list[list[int]]:
+        """Plain words go straight to the model, all others through the whole tokenizer."""
+        tokenize, out, rest = self.a.model.tokenize, [None] * len(parts), []
+        for i, x in enumerate(parts):
+            word = self._WORD.fullmatch(x) if self.plain else None
+            if word:
+                out[i] = [t.id for t in tokenize(_SPACE + word[1])]
+                if word[2]:
+                    out[i] += [t.id for t in tokenize(word[2])]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.a.encode_batch_fast([" " + parts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, lack: set[str]) -> None:
+        new = list(lack)
+        a_ids, b_ids = self._a_ids(new), [b if x else self.end for x, b in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        for known, kind, ids in ((self.known_a, self.kinds[0], a_ids), (self.known_b, self.kinds[1], b_ids)):
+            known.update(zip(new, [array(kind, x).tobytes() for x in ids], strict=True))
+        said = b"".join([b" " + x.encode() for x in new])
+        spelled = lambda side, ids: b"".join(map(side.__getitem__, chain.from_iterable(ids)))
+        if not said == spelled(self.a_bytes, a_ids) == spelled(self.b_bytes, b_ids):
+            self.odd.update(x for x, a, b in zip(new, a_ids, b_ids, strict=True) if not (" " + x).encode() == spelled(self.a_bytes, [a]) == spelled(self.b_bytes, [b]))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Both id sequences as little-endian unsigned 32-bit integers; two empty ones where bytes do not add up."""
+        """Both id sequences as integers of kinds; two empty ones where bytes do not add up."""
         for lo in range(0, len(texts), 64):
             split = [self.parts(x) if x else [] for x in texts[lo : lo + 64]]
-            lack = set().union(*split) - self.known.keys()
+            lack = set().union(*split) - self.known_a.keys()
+            if len(self.known_a) + len(lack) > MEMORY:
+                self.forget()
+                lack = set().union(*split)
             if lack:
-                if len(self.known) + len(lack) > MEMORY:
-                    self.known, self.odd, lack = {}, set(), set().union(*split)
                 self._learn(lack)
             for text, parts in zip(texts[lo : lo + 64], split, strict=True):
-                both = [self.known[x] for x in parts]
-                a, b = b"".join([x[0] for x in both]), b"".join([x[1] for x in both])
+                a, b = b"".join(map(self.known_a.__getitem__, parts)), b"".join(map(self.known_b.__getitem__, parts))
                 yield (a, b) if self.odd.isdisjoint(parts) or self._adds_up(text, a, b) else (b"", b"")
 
     def _adds_up(self, text: str, a: bytes, b: bytes) -> bool:
-        said = (" " + text).encode()
-        return said == b"".join(self.a_bytes[i] for i in np.frombuffer(a, "<u4")) == b"".join(self.b_bytes[i] for i in np.frombuffer(b, "<u4"))
+        spelled = [b"".join(map(side.__getitem__, array(kind, ids))) for side, kind, ids in zip((self.a_bytes, self.b_bytes), self.kinds, (a, b), strict=True)]
+        return spelled[0] == spelled[1] == (" " + text).encode()
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([len(x) for x in xs], dtype=np.int64) for xs in (self.a_bytes, self.b_bytes))
@@ -119,7 +152,7 @@ def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a: str | None = None, b: str | None = None) -> DataFrame:
-    """row (unique), doc_id, a, b: the ids of both tokenizers, four bytes each."""
+    """row (unique), doc_id, a, b: the ids of both tokenizers, two bytes each, or four where a vocabulary has more than 65,536."""
     a, b = a or vocabulary("byte_bpe_50k.json"), b or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +227,19 @@ class _Batch:
     """The tokens of the texts of a batch, laid end to end."""
 
     def __init__(self, batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> None:
-        self.lengths = lengths
-        self.a, self.b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").astype(np.int64) for c in ("a", "b"))
-        self.n_a, self.n_b = (np.array([len(x.as_buffer()) // 4 for x in batch.column(c)], dtype=np.int64) for c in ("a", "b"))
-        self.row = np.repeat(np.arange(batch.num_rows), self.n_a)  # of each token of a
+        self.lengths, found = lengths, []
+        for side, length in zip("ab", lengths, strict=True):
+            held, kind = batch.column(side).to_pylist(), np.dtype("<u2" if len(length) <= 1 << 16 else "<u4")
+            found.append((np.frombuffer(b"".join(held), dtype=kind), np.array([len(x) // kind.itemsize for x in held], dtype=np.int64)))
+        (self.a, self.n_a), (self.b, self.n_b) = found
+        self.row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), self.n_a)  # of each token of a
         self.n_b_ids = len(lengths[1])
 
     def blocks(self) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray]]:
         """Each block with its ids of a and b and the rows of a's tokens."""
         for i, m, j, n in _blocks(self.a, self.b, *self.lengths):
-            yield Block(self.a[i:m], self.b[j:n], *self.lengths), self.a[i:m], self.b[j:n], self.row[i:m]
+            a, b = self.a[i:m].astype(np.int64), self.b[j:n].astype(np.int64)
+            yield Block(a, b, *self.lengths), a, b, self.row[i:m]
 
 
 def _sum_of(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +267,7 @@ def pair_counts(encoded: DataFrame, *, a: str | None = None, b: str | None = Non
             own = np.empty(0, dtype=np.int64)  # distinct pairs of each row
             for block, a_ids, b_ids, row in texts.blocks():
                 x, y = block.links()
-                new = np.unique(row[x] * width + a_ids[x] * texts.n_b_ids + b_ids[y])
+                new = np.unique(row[x].astype(np.int64) * width + a_ids[x] * texts.n_b_ids + b_ids[y])
                 own = np.union1d(own, new) if len(own) else new
             if len(own):
                 pairs, n = np.unique(own % width, return_counts=True)

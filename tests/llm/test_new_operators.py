@@ -35,8 +35,13 @@ def _plain(t, text):
 
 def test_parts_give_the_ids_of_whole_texts(both):
     texts = _strings(6000, 3)
-    found = [tuple(list(np.frombuffer(x, "<u4")) for x in f) for f in both.encode(texts)]
+    found = [tuple(list(np.frombuffer(x, "<u2")) for x in f) for f in both.encode(texts)]
     assert found == [_plain(both, x) for x in texts]
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgtionXYZ'.,;:!?-é") for _ in range(rng.randrange(1, 12))) for _ in range(20_000)] + ["Hello,", "it's.", "I'll", "endoftext"]
+    for w, a in zip(words, both._a_ids(words), strict=True):
+        assert a == both.a.encode(" " + w, add_special_tokens=False).ids, w
+    assert both.plain and both.parted
     assert any(not f[0] for f in found) and sum(bool(f[0]) for f in found) > 1000
 
 
