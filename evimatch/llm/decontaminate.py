@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evimatch.llm import wordgrams as wg
-from evimatch.llm.tables import Scratch, texts
+from evimatch.llm.tables import Scratch, place_of, texts
 
 #: Benchmark windows broadcast at once: about 120 bytes each with their words and item ids.
 BLOCK_WINDOWS = 200_000
@@ -173,5 +173,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     n, windows = _blocks(scratch, benchmark, item_col, item_text_col, window, block_windows)
-    at = docs.columns.index(text_col)
+    at = place_of(docs, text_col)
     return _pass_by_pass(docs, scratch, n, windows, lambda rows, block, i: rows.mapInArrow(_clean_rows(block, at), docs.schema))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evimatch.llm.tables import Scratch, partitions
+from evimatch.llm.tables import Scratch, columns, partitions, whole_row
 
 #: Sources whose rates are sent to every task; with more, the rates are joined by a shuffle (which splits hot sources).
 BROADCAST_SOURCES = 10_000
@@ -87,7 +87,8 @@ def mix(
 
     A column of docs that has one of these two names gives way to it; other names can be asked for.
     Rows with a null or empty text, or of a source without weight, have rate 0 and go.  A null id draws like any other value; rows
-    that share an id draw alike.  A rate may be of any size.
+    that share an id draw alike, so repeated rows come as often as each other.  A rate may be of any size, a text of any length; an
+    empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -100,19 +101,18 @@ def mix(
     table = scratch.table(table, "rates")
     size = table.agg(F.count("*").alias("n"), F.sum(F.size("steps")).alias("steps")).first()
     few = size.n <= BROADCAST_SOURCES and (size.steps or 0) <= BROADCAST_STEPS
-    small = table.select(F.col("source").alias("__source"), F.col("low").alias("__low"), F.col("steps").alias("__steps"))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    keyed = keyed.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).where(F.octet_length(F.col(text_col).cast("string")) > 0)
-    drawn = keyed.join(F.broadcast(small) if few else small, F.col("__key") == F.col("__source"))
-    u = uniform(seed, "__id")
-    times = drawn.withColumn("__u", u).withColumn("__k", F.expr("__low + size(filter(__steps, c -> c <= __u))")).where("__k > 0")
+    drawn_by = table.select("source", "low", "steps")
+    own = docs.select(*[col for c, col in zip(docs.columns, columns(docs), strict=True) if c.lower() not in (copy_col.lower(), key_col.lower())])
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keyed = docs.where(F.octet_length(F.col(text_col).cast("string")) > 0).select(whole_row(own).alias("row"), text(source_col).alias("source"), text(id_col).alias("id"))
+    drawn = keyed.join(F.broadcast(drawn_by) if few else drawn_by, "source")
+    times = drawn.withColumn("u", uniform(seed, "id")).withColumn("k", F.expr("low + size(filter(steps, c -> c <= u))")).where("k > 0")
     if large:  # no list holds all copies of a text
-        times = times.drop("__steps").withColumn("__from", F.explode(F.expr(f"sequence(1L, __k, {COPY_BLOCK}L)")))
-        copies = times.withColumn("__copy", F.explode(F.expr(f"sequence(__from, least(__k, __from + {COPY_BLOCK - 1}L))")))
+        times = times.drop("steps").withColumn("first", F.explode(F.expr(f"sequence(1L, k, {COPY_BLOCK}L)")))
+        copies = times.withColumn("copy", F.explode(F.expr(f"sequence(first, least(k, first + {COPY_BLOCK - 1}L))")))
     else:
-        copies = times.withColumn("__copy", F.explode(F.expr("sequence(1L, __k)")))
-    own = [c for c in docs.columns if c.lower() not in (copy_col.lower(), key_col.lower())]
-    out = copies.withColumn("__place", uniform(seed + 1, "__id", "__copy")).select(*own, F.col("__copy").alias(copy_col), F.col("__place").alias(key_col))
+        copies = times.withColumn("copy", F.explode(F.expr("sequence(1L, k)")))
+    out = copies.select("row.*", F.col("copy").alias(copy_col), uniform(seed + 1, "id", "copy").alias(key_col))
     if shuffle:
         n = partitions(spark)
         out = out.repartitionById(n, F.floor(F.col(key_col) * n).cast("int")).sortWithinPartitions(key_col)

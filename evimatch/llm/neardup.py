@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evimatch.llm import wordgrams as wg
 from evimatch.llm.components import components
-from evimatch.llm.tables import Scratch, fresh, has_rows, small, texts
+from evimatch.llm.tables import Scratch, columns, fresh, has_rows, small, texts
 
 #: m bands of r minhashes in each of the two collections.  At a similarity of s a pair is found with probability
 #: (1 - (1 - s**r)**m)**2; 0.9999 at s = 0.8.
@@ -288,17 +288,17 @@ def one_of_each(
     other side has no texts.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
+    d, t, i, u, row = (fresh(docs, name) for name in ("own_id", "own_hash", "out_id", "out_hash", "own_row"))
     marks, groups = _grouped(texts(docs, id_col, text_col), scratch, size, percent, bands, rows)
     placed = marks.where("n > 0").join(groups, ["f1", "f2"]).select("doc_id", "t", F.expr("doc_id <=> rep.doc_id and t = rep.t").alias("stays"))
     fate = placed.groupBy("doc_id", "t").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
-    out_of = scratch.table(fate.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "stays"), "out")
+    out_of = scratch.table(fate.where("not stays or n > 1").select(F.col("doc_id").alias(i), F.col("t").alias(u), "stays"), "out")
     scratch.drop("signatures", "groups")
-    d, t = fresh(docs, "d"), fresh(docs, "t")
     own = docs.withColumns({d: F.col(id_col).cast("long"), t: F.xxhash64(F.col(text_col).cast("string"))})
-    same = F.col(d).eqNullSafe(F.col("__id")) & (F.col(t) == F.col("__t"))
-    left = own.join(small(out_of.select("__id", "__t")), same, "left_anti").select(*docs.columns)
-    again = out_of.where("stays").select("__id", "__t")
+    same = F.col(d).eqNullSafe(F.col(i)) & (F.col(t) == F.col(u))
+    left = own.join(small(out_of.select(i, u)), same, "left_anti").select(*columns(docs))
+    again = out_of.where("stays").select(i, u)
     if not has_rows(again):
         return left
-    rows_of = own.join(small(again), same, "left_semi").groupBy(d, t).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(fresh(docs, "row")))
-    return left.union(rows_of.select(f"{fresh(docs, 'row')}.*"))
+    rows_of = own.join(small(again), same, "left_semi").groupBy(d, t).agg(F.min_by(F.struct(*columns(docs)), F.xxhash64(*columns(docs))).alias(row))
+    return left.union(rows_of.select(f"{row}.*"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimatch.llm import wordgrams as wg
-from evimatch.llm.tables import texts
+from evimatch.llm.tables import place_of, texts
 
 #: The bounds on what training reads: labelled rows, and bytes of all their texts together.  Scoring has no such bound.
 TRAIN_ROWS, TRAIN_BYTES = 2_500, 64_000_000
@@ -220,4 +220,4 @@ def _passing(model_of, keep_at: float, at: int):
 
 def passing(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns, in one pass without a join."""
-    return docs.mapInArrow(_passing(docs.sparkSession.sparkContext.broadcast(model), keep_at, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(_passing(docs.sparkSession.sparkContext.broadcast(model), keep_at, place_of(docs, text_col)), docs.schema)

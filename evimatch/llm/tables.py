@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of our own (local runs only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of our own in a local run; an error elsewhere."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "/tmp/evimatch-shared"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -82,6 +85,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column by its name as Spark resolves it: as it is written, else in any case."""
+    return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in one struct, where names of our own cannot meet theirs."""
+    return F.struct(*columns(df))
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text, under names of our own, so that other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -117,6 +117,7 @@ _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _open(path: str, write: bool):
+    path = re.sub("^s3[an]://", "s3://", path)  # one store under Spark's name and Arrow's
     if "://" in path or path.startswith("file:"):
         fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     else:

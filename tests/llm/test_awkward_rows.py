@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from evimatch.llm import decontaminate, kdshards, licenses, mixing, neardup, passages, quality, tokens, urlfilter
 
-NAMES = ("gone", "copy_no", "mix_key", "t", "d", "row", "node", "label", "__row", "shard", "n", "i")
+NAMES = ("gone", "copy_no", "mix_key", "t", "d", "node", "label", "__row", "shard", "n", "i", "__id", "__t", "__k", "__key", "__u", "__steps", "__copy", "k", "u", "row", "steps", "low", "first", "copy", "own_id", "out_hash")
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_operators_take_them(spark, docs):
     assert sorted(mixed.columns) == sorted(docs.columns) and mixed.count() > 0
     read = tokens.read_tokens(tokens.write_tokens(docs)).collect()
     assert len(read) == n and len({r.ids_crc32 for r in read if r.doc_id in (1, 2)}) == 1
-    seen = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.lit("2024-05-05").alias("fetched_at"), *NAMES)
+    seen = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.lit("2024-05-05").alias("fetched_at"), *[f"`{c}`" for c in NAMES])
     entries = spark.createDataFrame([("domain", "org", "add", "2024-01-01")], "kind string, pattern string, action string, at string")
     assert urlfilter.judge(seen, entries).where("blocked").count() == n and urlfilter.judge(seen.limit(0), entries).count() == 0
 
@@ -46,8 +46,10 @@ def test_stages_take_them_and_empty_tables(spark, docs, tmp_path):
     spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "number 0 with some more words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES:
-        for rows in (docs, docs.limit(0)):
+        for rows in (docs, docs.limit(0), docs.withColumnRenamed("text", "Text")):
             out = stage(spark, rows, str(tmp_path))
-            assert name == "token_files" or out.columns == docs.columns
+            assert name == "token_files" or out.columns == rows.columns
             assert out.count() > 0 or rows is not docs or name == "quality_rules"
-            assert rows is docs or out.count() == 0
+            assert out.count() == 0 or "Text" in rows.columns or rows is docs
+            assert name in ("token_files", "quality_rules") or {r[0] for r in out.select("gone").collect()} <= {"clash"}
+            assert name != "mix_sources" or {tuple(r) for r in out.select(*[f"`{c}`" for c in NAMES if c not in ("copy_no", "mix_key")]).distinct().collect()} <= {("clash",) * (len(NAMES) - 2)}

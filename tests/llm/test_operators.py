@@ -241,7 +241,7 @@ def test_shards(docs, none):
 
 
 def test_shards_are_even(spark):
-    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 50 as int))").alias("text"), F.expr("if(id % 3 = 0, 'hot', string(id % 7))").alias("source"), F.lit(None).cast("string").alias("lang"))
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("concat(string(id), repeat('x', cast(id % 46 as int)))").alias("text"), F.expr("if(id % 3 = 0, 'hot', string(id % 7))").alias("source"), F.lit(None).cast("string").alias("lang"))
     sizes = [r.b for r in kdshards.kd_shards(many, 5).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 4 * 50
 
@@ -260,9 +260,43 @@ def test_equal_texts_share_a_shard(spark, monkeypatch, hot_from):
         sizes[r.shard] += r.size
     share = sum(sizes.values()) / 4
     assert len(got) == 9000 and len(sizes) == 4
-    assert all(len(v) == 1 for k, v in where.items() if k != "the same text again")
-    assert max(sizes.values()) - min(sizes.values()) <= share * 6 / kdshards.WHOLE_PART
-    assert len(where["the same text again"]) > 1  # 3,000 rows: too large to stay whole
+    assert all(len(v) == 1 for v in where.values())
+    assert max(sizes.values()) - min(sizes.values()) <= share * 6 / kdshards.LARGE_PART
+
+
+def test_only_groups_larger_than_a_shard_are_cut(spark):
+    frame = spark.range(6000).selectExpr("id as doc_id", "if(id < 3000, repeat('a', 60), if(id < 4400, repeat('b', 60), concat(repeat('c', 55), string(id)))) as text", "'s' as source", "'en' as lang")
+    got = kdshards.kd_shards(frame, 4).collect()
+    where, sizes = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        where["a" if r.doc_id < 3000 else "b" if r.doc_id < 4400 else "c"].add(r.shard)
+        sizes[r.shard] += r.size
+    assert len(got) == 6000 and len(where["a"]) > 1 and len(where["b"]) == 1  # b nearly fills a shard
+    assert max(sizes.values()) - min(sizes.values()) <= 200
+
+
+def test_shards_like_a_plain_tree(spark):
+    rng = random.Random(8)
+    points = [(i, f"{i} " + "x" * int(rng.expovariate(0.02)), rng.choice(["a", "b", "c", None]), rng.choice(["en", "de"])) for i in rng.sample(range(9000), 700)]
+    code = lambda x: -1 if x is None else zlib.crc32(x.encode())
+    told = [(len(t) + 1, code(s), code(g), i) for i, t, s, g in points]
+    span = [max(1.0, float(max(p[d] for p in told) - min(p[d] for p in told))) for d in range(4)]
+
+    def grow(own, first, n):
+        if n < 2 or not own:
+            return {p[3]: first for p in own}
+        widths = [(max(p[d] for p in own) - min(p[d] for p in own)) / span[d] for d in range(4)]
+        dim = widths.index(max(widths))
+        ordered, so_far, want = sorted(own, key=lambda p: (p[dim], p[3])), 0, sum(p[0] for p in own) * (n // 2) / n
+        for k, p in enumerate(ordered, 1):
+            so_far += p[0]
+            if so_far >= want:
+                break
+        return grow(ordered[:k], first, n // 2) | grow(ordered[k:], first + n // 2, n - n // 2)
+
+    frame = spark.createDataFrame(points, "doc_id long, text string, source string, lang string")
+    for n in (3, 8):
+        assert {r.doc_id: r.shard for r in kdshards.kd_shards(frame, n).collect()} == grow(told, 0, n)
 
 
 def test_url_lists(spark):
