@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evimatch.llm import decontaminate, mixing, neardup, quality, tokens
-from evimatch.llm.tables import Scratch, fresh
+from evimatch.llm.tables import Scratch, columns, fresh
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their source's rate, all sources weighing the same, in a global random order; empty texts go."""
-    return mixing.mix(docs, copy_col=fresh(docs, "copy_no"), key_col=fresh(docs, "mix_key")).select(*docs.columns)
+    return mixing.mix(docs, copy_col=fresh(docs, "copy_no"), key_col=fresh(docs, "mix_key")).select(*columns(docs))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
