@@ -6,6 +6,9 @@ Jaccard similarity of a window that holds at least 80 % of the template from bel
 0.55 or more; with BANDS bands of one minhash each such a window is retrieved with probability 1 - (1 - 0.55)**BANDS, above
 0.9999 for 12 bands (1 for short templates, where hop is 1 and an exact mention is the whole window).
 
+Templates that differ in a few words (a version) pass for one another by containment alone.  So where another template holds that much of
+one, a window also has to hold one of its deciding shingles, which no such other has.
+
 Windows are formed around a few anchor words only.  This loses nothing: anchors are chosen so that, in every template, fewer than 80 %
 of the shingles are without one, hence every window that passes the containment test has an anchor in it.
 """
@@ -17,23 +20,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evimatch.llm.license_texts import TEMPLATES
 from evimatch.llm.tables import texts
 
 SHINGLE, BANDS, PERCENT = 5, 12, 80
-#: Short notices by which licences are commonly named, and opening sentences of some public licences.
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mit-notice": "Released under the MIT License.",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "all-rights-reserved": "Copyright. All rights reserved by the author.",
-}
 
 
 def words_of(text: str) -> list[str]:
@@ -60,15 +50,25 @@ def anchors(templates: dict[str, str]) -> list[str]:
     return chosen
 
 
+def deciding(templates: dict[str, str]) -> dict[str, list[str]]:
+    """The shingles of each template that none of those has which hold PERCENT of it; all are the same where there is no such other."""
+    sets = {name: set(_shingles(words_of(text))) for name, text in templates.items() if words_of(text)}
+    out = {}
+    for name, own in sets.items():
+        kin = [other for n, other in sets.items() if n != name and 100 * len(own & other) >= PERCENT * len(own)]
+        out[name] = sorted(own.difference(*kin)) if kin else []
+    return out
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """template_id, n_words, hop, grams (distinct shingles); one small row a template."""
-    rows = []
+    """template_id, n_words, hop, grams (distinct shingles), deciding (those asked for too); one small row a template."""
+    rows, own = [], deciding(templates)
     for name, text in templates.items():
         w = words_of(text)
         grams = sorted(set(_shingles(w)))
         if w:
-            rows.append((name, len(w), max(1, (len(w) - SHINGLE + 1) // 4), grams))
-    return spark.createDataFrame(rows, "template_id string, n_words int, hop int, grams array<string>")
+            rows.append((name, len(w), max(1, (len(w) - SHINGLE + 1) // 4), grams, own[name]))
+    return spark.createDataFrame(rows, "template_id string, n_words int, hop int, grams array<string>, deciding array<string>")
 
 
 _BANDS = "transform(sequence(1, {bands}), b -> array_min(transform(h, x -> xxhash64(x, b))))"
@@ -82,7 +82,8 @@ _STARTS = """array_distinct(flatten(transform(spots, p -> transform(
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, template_id, n_windows (windows that hold the template), first_word (where the first of them starts, from 0).
 
-    A template matches a window that has at least ``percent`` % of its distinct five-word shingles (the whole, if it has fewer words).
+    A template matches a window that has at least ``percent`` % of its distinct five-word shingles (the whole, if it has fewer words) and,
+    where another template is that close to it, one of its deciding ones.
     Only matches are returned; null and empty texts have none, nor has an empty table.  Rows that repeat a doc_id are scanned each and
     reported as one, a window's place counting once; so are rows without a doc_id, under a null.  Other columns are ignored.
 
@@ -105,7 +106,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
     windows = shaped.select("doc_id", "n", "k", F.explode(F.expr(f"transform({_STARTS}, s -> named_struct('at', s, 'w', slice(w, s + 1, span)))")).alias("x"))
     grams = windows.where("size(x.w) >= k").select("doc_id", "n", "x.at", F.expr("transform(sequence(0, size(x.w) - k), i -> array_join(slice(x.w, i + 1, k), ' '))").alias("g"))
     keys = grams.withColumn("h", F.expr("transform(g, x -> xxhash64(x))")).select("doc_id", "n", "at", "g", F.posexplode(F.expr(_BANDS.format(bands=bands))).alias("band", "key"))
-    known = table.withColumn("h", F.expr("transform(grams, x -> xxhash64(x))")).select("template_id", F.col("n_words").alias("n"), "grams", F.posexplode(F.expr(_BANDS.format(bands=bands))).alias("band", "key"))
+    known = table.withColumn("h", F.expr("transform(grams, x -> xxhash64(x))")).select("template_id", F.col("n_words").alias("n"), "grams", "deciding", F.posexplode(F.expr(_BANDS.format(bands=bands))).alias("band", "key"))
     candidates = keys.join(F.broadcast(known), ["n", "band", "key"])  # templates x bands rows
-    exact = candidates.where(f"100 * size(array_intersect(g, grams)) >= {percent} * size(grams)")
+    exact = candidates.where(f"100 * size(array_intersect(g, grams)) >= {percent} * size(grams)").where("size(deciding) = 0 or arrays_overlap(g, deciding)")
     return exact.groupBy("doc_id", "template_id").agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))

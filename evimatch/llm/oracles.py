@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evimatch.llm.licenses import TEMPLATES, _shingles, words_of
+from evimatch.llm.license_texts import TEMPLATES
 
 #: A dated list for the pages query: (kind, pattern, action, at).
 URL_ENTRIES = [
@@ -77,26 +77,22 @@ select doc_id, copy_no, cast(('0x' || md5('18:' || doc_id || ':' || copy_no)[1:1
 """
 
 
-def _op7() -> str:
-    rows = []
-    for name, text in TEMPLATES.items():
-        w = words_of(text)
-        hop, k = max(1, (len(w) - 4) // 4), min(5, len(w))
-        rows.append((name, len(w), hop, k, "|".join(sorted(set(_shingles(w))))))
-    return rf"""
-with t(template_id, n, hop, k, grams) as (values {_values(rows)}),
-tt as (select template_id, n, hop, k, string_split(grams, '|') as grams, n + hop - 1 - k + 1 as span from t),
-w as (select doc_id, list_filter(list_transform(regexp_split_to_array({_LOWER}, '[^a-z0-9.+-]+'), lambda x: regexp_replace(x, '^[.+-]+|[.+-]+$', '', 'g')), lambda x: x <> '') as w from documents),
+_WORDS = lambda text: f"list_filter(list_transform(regexp_split_to_array({text}, '[^a-z0-9.+-]+'), lambda x: regexp_replace(x, '^[.+-]+|[.+-]+$', '', 'g')), lambda x: x <> '')"
+
+OP7 = rf"""
+with t(template_id, text) as (values {_values(list(TEMPLATES.items()))}),
+tw as (select template_id, {_WORDS(_LOWER)} as w from t),
+ts as (select template_id, len(w) as n, greatest(1, (len(w) - 4) // 4) as hop, least(5, len(w)) as k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) as grams from tw),
+kin as (select a.template_id, flatten(list(b.grams)) as others from ts a join ts b on a.template_id <> b.template_id and 100 * len(list_intersect(a.grams, b.grams)) >= 80 * len(a.grams) group by all),
+tt as (select ts.*, n + hop - 1 - k + 1 as span, case when others is null then [] else list_filter(grams, lambda x: not list_contains(others, x)) end as own from ts left join kin using (template_id)),
+w as (select doc_id, {_WORDS(_LOWER)} as w from documents),
 g as (select doc_id, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) as g from w, (select distinct k from tt) where len(w) >= k),
-hit as (select g.doc_id, tt.template_id, tt.hop, tt.span, tt.grams, g.g from g join tt using (k) where 100 * len(list_intersect(g.g, tt.grams)) >= 80 * len(tt.grams)),
-s as (select doc_id, template_id, grams, span, g, unnest(generate_series(0, cast(floor((greatest(0, len(g) - span) + hop - 1) / hop) as bigint) * hop, hop)) as tm from hit),
-ok as (select doc_id, template_id, tm from s where 100 * len(list_intersect(g[tm + 1:tm + span], grams)) >= 80 * len(grams))
+hit as (select g.doc_id, tt.template_id, tt.hop, tt.span, tt.grams, tt.own, g.g from g join tt using (k) where 100 * len(list_intersect(g.g, tt.grams)) >= 80 * len(tt.grams)),
+s as (select doc_id, template_id, grams, own, span, g, unnest(generate_series(0, cast(floor((greatest(0, len(g) - span) + hop - 1) / hop) as bigint) * hop, hop)) as tm from hit),
+ok as (select doc_id, template_id, tm from s where 100 * len(list_intersect(g[tm + 1:tm + span], grams)) >= 80 * len(grams) and (len(own) = 0 or list_has_any(g[tm + 1:tm + span], own)))
 select doc_id, template_id, count(distinct tm) as n_windows, min(tm) as first_word from ok group by all
 """
 
-
-OP7 = _op7()
-
 OP8 = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 x as (select doc_id, unnest(range(1, len(w) - 11)) as i, w from w where len(w) >= 13),

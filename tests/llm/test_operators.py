@@ -314,6 +314,15 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licences_that_differ_in_a_word(spark):
+    full = licenses.TEMPLATES
+    texts = {1: "Code: " + full["gpl-3.0-notice"], 2: full["gpl-2.0-notice"], 3: "x " * 40 + full["gpl-3.0-header"] + " y" * 30, 4: full["gpl-2.0-header"].replace("hope", "belief"), 5: "(c) 2020 Somebody. ALL RIGHTS RESERVED", 6: full["mit-text"], 7: full["bsd-2-clause-text"], 8: "General Public License version 3 or 2"}
+    got = {(r.doc_id, r.template_id) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = {(1, "gpl-3.0-notice"), (2, "gpl-2.0-notice"), (3, "gpl-3.0-header"), (4, "gpl-2.0-header"), (5, "all-rights-reserved"), (6, "mit-grant"), (6, "mit-text"), (7, "bsd-redistribution"), (7, "bsd-2-clause-text")}
+    assert got == want
+    assert licenses.deciding(full)["gpl-2.0-notice"] == ["general public license version 2"] and licenses.deciding(full)["mit-notice"] == []
+
+
 def test_pages(spark):
     site = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>menu</a></nav><div class='zone'>same everywhere</div>{}<div class='ad'>buy {}</div><footer>&copy;</footer></body></html>"
     bodies = ["<article><h1>A &amp; B</h1><p>one<b> two\n three<p>four<form>x</form></article>", "<div><p>plain {}</p><section id=comments>hi</section></div>"]
