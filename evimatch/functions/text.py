@@ -99,7 +99,7 @@ def denominator(c: Column) -> Column:
 
 
 def pick_number(c: Column, known: Column | None = None) -> Column:
-    """The first number whose denominator is a known total (an array of them), else the first whose denominator is not below 5."""
+    """The first number whose denominator is a known total (an array of them), else the first; denominators below 5 do not count."""
     return choose_number(card_numbers(c), known)
 
 
@@ -108,12 +108,13 @@ def choose_number(found: Column, known: Column | None = None) -> Column:
     size = lambda x: denominator(x["denominator"])
 
     def choose(numbers: Column) -> Column:
-        first = F.try_element_at(F.filter(numbers, lambda x: ~F.coalesce(size(x) < 5, F.lit(False))), F.lit(1))
         if known is None:
-            return first
-        return F.coalesce(F.try_element_at(F.filter(numbers, lambda x: F.coalesce(F.array_contains(known, size(x)), F.lit(False))), F.lit(1)), first)
+            return F.try_element_at(numbers, F.lit(1))
+        of_sets = F.filter(numbers, lambda x: F.coalesce(F.array_contains(known, size(x)), F.lit(False)))
+        return F.coalesce(F.try_element_at(of_sets, F.lit(1)), F.try_element_at(numbers, F.lit(1)))
 
-    return let(let(found, choose), lambda x: F.concat(x["numerator"], F.lit("/"), x["denominator"]))
+    plausible = F.filter(found, lambda x: ~F.coalesce(size(x) < 5, F.lit(False)))
+    return let(let(plausible, choose), lambda x: F.concat(x["numerator"], F.lit("/"), x["denominator"]))
 
 
 def number_spans(c: Column) -> Column:

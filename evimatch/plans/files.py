@@ -44,8 +44,8 @@ def csv_rows(get):
     return _rows(get).select("file", "row", "delimiter", F.size("cells").alias("n"), cell(1), cell(2), cell(3))
 
 
-@query(f"""with {_EXPECTED} select cast(f.o_custkey as varchar) as file, mark as delimiter, above as header_row, 'Id|*Text|The "Rest"' as headers, '*Text' as required,
-  case above when 0 then '' when 1 then '#INFO,Version' else '#INFO,Version|one' || chr(10) || 'note' end as preamble, count(*) as n_samples from f join o using (o_custkey) group by all""")
+@query(f"""with {_EXPECTED} select cast(f.o_custkey as varchar) as file, mark as delimiter, f.above as header_row, 'Id|*Text|The "Rest"' as headers, '*Text' as required,
+  case f.above when 0 then '' when 1 then '#INFO,Version' else '#INFO,Version|one' || chr(10) || 'note' end as preamble, count(*) as n_samples from f join o using (o_custkey) group by all""")
 def csv_templates(get):
     found = csvio.templates(_rows(get))
     joined = F.array_join(F.transform("preamble", lambda r: F.array_join(r, ",")), "|")

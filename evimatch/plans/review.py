@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from evimatch.functions import market, values
 from evimatch.functions import text as t
 from evimatch.functions import vocabulary as v
-from evimatch.operators import catalog, images, jobs, matching, merging, review
+from evimatch.operators import assembly, images, jobs, merging, review
 from evimatch.plans import matching as plans
 from evimatch.plans.records import _EBAY, _GRAY, _csv_sql, _ebay, _gray
 from evimatch.plans.registry import ORACLES, fold_sql, number_sql, query, similarity_sql
+from evimatch.plans.views import expand
+from evimatch.session import settled
 
 _SIGNALS = f"""select a.cid, a.name, b.number, c.latest as year, d.hp, nullif(split_part(e.terms, ',', 1), '') as variant, f.language
 from ({ORACLES["pick_name"]}) a join ({ORACLES["card_numbers"]}) b using (cid) join ({ORACLES["years_copyright"]}) c using (cid) join ({ORACLES["hp"]}) d using (cid) join ({ORACLES["variant_terms"]}) e using (cid) join ({ORACLES["language_guess"]}) f using (cid)"""
@@ -26,33 +28,100 @@ def signals_all(get):
     return _signals(get)
 
 
-_READ = f"""sig as (select *, cast(nullif(regexp_extract(number, '^([A-Za-z]*)0*(\\d+)([a-z]?)\\s*/\\s*([A-Za-z]*)0*(\\d+)$', 2), '') as bigint) as num, cast(nullif(regexp_extract(number, '^([A-Za-z]*)0*(\\d+)([a-z]?)\\s*/\\s*([A-Za-z]*)0*(\\d+)$', 5), '') as bigint) as den from ({_SIGNALS})),
-{plans._ROUTE1}, {plans._SATISFIED}, rest as (select * from sig where cid not in (select cid from sat)), {plans._tiers("rest")},
+_SPLIT = r"'^([A-Za-z]*)0*(\d+)([a-z]?)\s*/\s*([A-Za-z]*)0*(\d+)$'"
+
+
+def _read_sql(source: str) -> str:
+    """sig: what the texts of a view say; r: the best card of each, with margin and flags."""
+    strips, texts = expand(f"{{{source}}}"), expand("{ocr_text}")
+    of = lambda name: ORACLES[name].replace(texts, strips)
+    den = "try_cast(regexp_replace(x[2], '\\D', '', 'g') as int)"
+    pairs = f"list_zip(regexp_extract_all({plans._FIXED}, {plans._NUM}, 1), regexp_extract_all({plans._FIXED}, {plans._NUM}, 2))"
+    fuzzy = f"case when h = '' or n = '' then 0.0::double when contains(h, n) then 1.0::double when length(n) < 4 then 0.0::double else coalesce(list_max(list_concat({plans._WIN})), 0.0::double) end"
+    about = r"(?i)\b(?:evolves?\s+(?:from|de|aus)|put\s+.+\s+on\s+the|entwickelt|[eé]volue)\b"
+    same = lambda x, y: f"case when {x} is not null then case when {x} = {y} then 1.0::double else 0.0::double end end"
+    return f"""tot as (select list(distinct total) as known from {{ref_sets}}),
+num0 as (select cid, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '{about}')), chr(10)) as said, list_filter({pairs}, lambda x: not coalesce({den} < 5, false)) as ns from {{{source}}}),
+num1 as (select cid, said, coalesce(list_filter(ns, lambda x: list_contains(known, {den}))[1], ns[1]) as x from num0, tot),
+sig0 as (select a.cid, a.name, b.said, b.x[1] || '/' || b.x[2] as number, c.latest as year, d.hp, nullif(split_part(e.terms, ',', 1), '') as variant, f.language
+  from ({of("pick_name")}) a join num1 b using (cid) join ({of("years_copyright")}) c using (cid) join ({of("hp")}) d using (cid) join ({of("variant_terms")}) e using (cid) join ({of("language_guess")}) f using (cid)),
+sig as (select *, cast(nullif(regexp_extract(number, {_SPLIT}, 2), '') as bigint) as num, cast(nullif(regexp_extract(number, {_SPLIT}, 5), '') as bigint) as den from sig0),
+{plans._ROUTE1.replace("{captures}", "sig")},
+near as (select one.cid, {similarity_sql(fold_sql("q.name"), fold_sql("c.name"))} as s, {fold_sql("q.said")} as h, {fold_sql("c.name")} as n from one join sig q on q.cid = one.cid join {{ref_cards}} c on c.id = one.id where coalesce(abs(q.year - c.year) <= 1, true)),
+sat as (select distinct cid from near where s >= 0.8 or {fuzzy} >= 0.85),
+rest as (select * from sig where cid not in (select cid from sat)), {plans._tiers("rest")},
 cand as (select distinct cid, id from (select cid, id from one union all select cid, id from two)),
-p as (select q.cid, c.id, case when q.number is not null then {number_sql("q.number", "c.num || '/' || c.den")} end as a_number, case when coalesce(q.name, '') <> '' then {similarity_sql(fold_sql("q.name"), fold_sql("c.name"))} end as a_name,
-  case when q.year is not null then case when q.year = c.year then 1.0::double else 0.0::double end end as a_year, case when q.hp is not null then case when q.hp = c.hp then 1.0::double else 0.0::double end end as a_hp,
-  case when q.language is not null then case when q.language = c.language then 1.0::double else 0.0::double end end as a_language from cand join sig q using (cid) join {{ref_cards}} c on c.id = cand.id),
+pp as (select q.*, c.id, c.num || '/' || c.den as c_number, c.year as c_year, c.hp as c_hp, c.language as c_language, c.has_variants, {fold_sql("q.said")} as h, {fold_sql("c.name")} as n, {fold_sql("q.name")} as qf from cand join sig q using (cid) join {{ref_cards}} c on c.id = cand.id),
+p as (select cid, id, variant, has_variants, case when number is not null then {number_sql("number", "c_number")} end as a_number, case when coalesce(name, '') <> '' then greatest({similarity_sql("qf", "n")}, {fuzzy}) end as a_name,
+  {same("year", "c_year")} as a_year, {same("hp", "c_hp")} as a_hp, {same("language", "c_language")} as a_language from pp),
 s as (select *, 0.0::double + coalesce(a_number * 3.0::double, 0.0::double) + coalesce(a_name * 2.0::double, 0.0::double) + coalesce(a_year * 1.0::double, 0.0::double) + coalesce(a_hp * 0.8::double, 0.0::double) + coalesce(a_language * 0.5::double, 0.0::double) as total,
   0.0::double + {" + ".join(f"case when a_{f} is null then 0.0::double else {v.WEIGHTS[f]}::double end" for f in ("number", "name", "year", "hp", "language"))} as evidence from p),
 d as (select *, floor(case when evidence = 0 then 0.0::double else total / evidence end * least(1.0::double, 0.4::double + evidence / {sum(v.WEIGHTS.values())}::double * 1.2::double) * 1000.0::double + 0.5::double) / 1000.0::double as confidence from s),
 o as (select *, row_number() over (partition by cid order by confidence desc, id) as place, lead(confidence) over (partition by cid order by confidence desc, id) as next from d),
-r as (select *, floor((confidence - coalesce(next, 0.0::double)) * 1000.0::double + 0.5::double) / 1000.0::double as margin from o where place = 1)""".replace("{captures}", "sig")
+r as (select *, floor((confidence - coalesce(next, 0.0::double)) * 1000.0::double + 0.5::double) / 1000.0::double as margin,
+  list_filter([case when a_number < 0.75 then 'number' end, case when a_name < 0.75 then 'name' end, case when a_year < 0.75 then 'year' end, case when a_language < 0.75 then 'language' end, case when variant is null and has_variants then 'variant' end], lambda x: x is not null) as flags from o where place = 1)"""
 
 
-@query(f"with {_READ} select cid, id as best_id, confidence, margin, {plans._BAND} as band from r")
+@query(f"with {_read_sql('ocr_text')} select cid, id as best_id, confidence, margin, {plans._BAND} as band, array_to_string(flags, ',') as flags from r")
 def interpret(get):
-    """From the text that was read to the ranked card: signals, candidate search by number and name, score, rank, band."""
-    read = _signals(get)
-    parts = t.number_parts(F.col("number"))
-    asked = read.withColumns({"num": parts["num"].cast("int"), "den": parts["den"].cast("int")})
-    cards = get("ref_cards")
-    found = catalog.search(asked, cards, get("ref_sets")).select("cid", "id")
-    q = asked.select("cid", *[F.col(c).alias(f"q_{c}") for c in ("number", "name", "year", "hp", "language")])
-    c = cards.select("id", F.concat(F.col("num").cast("string"), F.lit("/"), F.col("den").cast("string")).alias("c_number"), *[F.col(x).alias(f"c_{x}") for x in ("name", "year", "hp", "language")])
-    pairs = found.join(matching.prepare(q, "q_"), "cid").join(matching.prepare(c, "c_"), "id")
-    scored = matching.score(pairs, ("number", "name", "year", "hp", "language")).select("cid", "id", "confidence")
-    best = matching.rank(scored, "cid", "id").where("place = 1")
-    return best.select("cid", F.col("id").alias("best_id"), "confidence", "margin", values.band(F.col("confidence"), F.col("margin")).alias("band"))
+    """From the text that was read to the ranked card: signals with known totals, candidate search, score with names found in the text, rank, flags."""
+    cards, sets = get("ref_cards"), get("ref_sets")
+    read = settled(assembly.signals(get("ocr_text").withColumnRenamed("cid", "card_id"), sets))
+    best = assembly.match(read, cards, sets).where("place = 1")
+    return best.select(F.col("card_id").alias("cid"), F.col("id").alias("best_id"), "confidence", "margin", values.band(F.col("confidence"), F.col("margin")).alias("band"), F.array_join("flags", ",").alias("flags"))
+
+
+def card_words(get):
+    """Words of both sides of captures: a front with maker, name (its first word read twice) and print run, in two of three a back with number, name and legal line."""
+    c = get("captures").select("cid", F.split(F.upper("true_name"), " ").alias("n"), "num")
+    word = lambda side, text, sure, x, y, h, when: F.when(when, F.struct(F.lit(side).alias("side"), text.cast("string").alias("text"), sure.cast("double").alias("conf"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(x + 250.0).alias("x1"), F.lit(float(y + h)).alias("y1")))
+    front, back, legal = F.col("cid") % 25 != 0, F.col("cid") % 3 != 0, F.col("cid") % 5 < 3
+    sure, mis = F.lit(0.5) + F.col("cid") % 4 * 0.125, lambda x: F.when(F.col("cid") % 10 == 4, F.replace(x, F.lit("E"), F.lit("F"))).otherwise(x)
+    words = [
+        word("front", F.lit("(TOPPS)"), F.lit(0.875), 100, 50, 30, front & (F.col("cid") % 4 < 2)), word("front", F.col("n")[1], sure, 400, 800, 60, front), word("front", F.col("n")[0], sure, 100, 800, 60, front),
+        word("front", F.substring(F.col("n")[0], 1, 2), F.lit(0.25), 110, 804, 50, front), word("front", F.lit("12/99,"), F.lit(0.875), 100, 300, 20, front & (F.col("cid") % 6 == 1)),
+        word("back", F.col("num"), F.lit(0.875), 100, 100, 40, back & (F.col("cid") % 2 == 0)), word("back", mis(F.col("n")[0]), F.lit(0.75), 100, 500, 50, back), word("back", mis(F.col("n")[1]), F.lit(0.75), 400, 500, 50, back),
+        word("back", F.lit("©1999"), F.lit(0.75), 100, 900, 15, back & legal), word("back", F.lit("Topps"), F.lit(0.75), 360, 900, 15, back & legal),
+    ]
+    return c.select(F.col("cid").alias("card_id"), F.posexplode(F.filter(F.array(*words), lambda w: w.isNotNull())).alias("word_id", "w")).select("card_id", "word_id", "w.*")
+
+
+_LETTERS_NEAR = "(lx = ly or greatest(length(lx), length(ly)) >= 7 and 1.0::double - levenshtein(lx, ly)::double / greatest(length(lx), length(ly))::double >= 0.85)"
+
+
+@query(f"""with {_read_sql("strip_text")},
+w as (select cid, upper(true_name) as ft, case when cid % 10 = 4 then replace(upper(true_name), 'E', 'F') else upper(true_name) end as bt, cid % 25 <> 0 as has_front, cid % 3 <> 0 as has_back, 0.5::double + cid % 4 * 0.125::double as cf, 0.75::double as cb,
+  cid % 25 <> 0 and cid % 4 < 2 as maker_front, cid % 3 <> 0 and cid % 5 < 3 as legal_back, case when cid % 3 <> 0 and cid % 2 = 0 then cast(num as varchar) end as lone, case when cid % 25 <> 0 and cid % 6 = 1 then '12/99' end as serial from {{captures}}),
+l as (select *, regexp_replace(lower(ft), '[^a-z0-9]', '', 'g') as lx, regexp_replace(lower(bt), '[^a-z0-9]', '', 'g') as ly, 0.69::double + 0.3::double * greatest(0, least(1, (cf - 0.4) / 0.4)) as sf, 0.6::double + 0.3::double * 0.875::double as sb from w),
+a as (select *, has_front and has_back and {_LETTERS_NEAR} as agreed from l),
+g as (select *, case when agreed then case when cf >= cb then ft else bt end when has_front and (not has_back or sf >= sb) then ft when has_back then bt end as g_name,
+  case when agreed then least(0.95::double, greatest(cf, cb) + 0.1::double) when has_front and (not has_back or sf >= sb) then cf when has_back then cb end as g_conf from a),
+j as (select g.*, sig.name, sig.number, sig.year, sig.variant, sig.language, case when cid % 8 = 3 then 0.4::double else 0.8::double end as bottom, r.id as best_id, r.confidence, r.margin, r.a_name, coalesce(r.flags, []) as r_flags,
+  c.name as k_name, c.num || '/' || c.den as k_number, c.set_name as k_set, cast(c.year as varchar) as k_year, c.language as k_language, coalesce(r.confidence < 0.5, true) as general from g join sig using (cid) left join r using (cid) left join {{ref_cards}} c on c.id = r.id),
+m as (select *, general and number is not null and bottom < 0.5 as weak, coalesce(a_name >= 0.75 and name <> k_name, false) as respelt, general and name is null and number is null and g_name is null and not maker_front and not legal_back and lone is null and serial is null as mute from j),
+f as (select *, case when general then coalesce(g_name, name) else coalesce(name, case when has_back then bt end) end as name1, case when general then case when g_name is not null then g_conf * 0.85::double when name is not null then 0.8::double * 0.9::double end else case when name is not null then 0.8::double * 0.9::double when has_back then cb * 0.85::double end end as name1_conf,
+  case when (number is null or weak) and lone is not null then lone when weak then null else number end as number1, (number is null or weak) and lone is not null as guessed,
+  case when general then coalesce(case when legal_back then '1999' end, cast(year as varchar)) else coalesce(cast(year as varchar), case when legal_back then '1999' end) end as year1 from m),
+h as (select *, case when general and number1 = serial then null else number1 end as number2 from f),
+e as (select *, list_distinct(list_concat(case when general then list_filter([case when name1 is null then 'name' end, 'set', case when number2 is null then 'number' end, case when year1 is null then 'year' end, case when guessed then 'number' end, case when g_name is null or g_conf < 0.6 then 'name' end], lambda x: x is not null)
+  when guessed then ['number'] else [] end, r_flags)) as flags from h)
+select cid, case when respelt then k_name else coalesce(name1, k_name) end as name, case when respelt or name1 is null and k_name is not null then 'db_match' when name1 is not null then 'ocr' end as name_source,
+  floor(coalesce(case when respelt then confidence when name1 is not null then name1_conf else confidence end, 0) * 1000000 + 0.5) as name_conf, coalesce(number2, k_number) as number,
+  case when number2 is null then case when k_number is not null then 'db_match' end when guessed then 'inferred' else 'ocr' end as number_source, k_set as set_name, coalesce(year1, k_year) as year,
+  case when general and maker_front or legal_back then 'Topps' end as manufacturer, case when general and lower(variant) in ('chrome', 'prizm') then null else variant end as variant, coalesce(language, k_language) as language, case when general then serial end as serial,
+  best_id, coalesce(confidence, 0) as confidence, coalesce(margin, 0) as margin, array_to_string(list_sort(case when mute then ['name', 'number'] else flags end), ',') as flags, case when mute then 'We could not read any text on this card.' end as error,
+  case when not mute and len(flags) = 0 and confidence >= 0.9 and margin >= 0.1 then 'IDENTIFIED' else 'NEEDS_REVIEW' end as state from e""")
+def card_records(get):
+    """One record a card from strip text, the words of both sides and the catalogue."""
+    strips = get("strip_text").withColumnRenamed("cid", "card_id")
+    done = assembly.records(strips, card_words(get), get("ref_cards"), get("ref_sets"))
+    value = lambda f: F.col(f"{f}.value")
+    source = lambda f: F.when(value(f).isNotNull(), F.col(f"{f}.source"))
+    sure = F.floor(F.coalesce("name.confidence", F.lit(0.0)) * 1000000 + 0.5).cast("double")
+    return done.select(
+        F.col("card_id").alias("cid"), value("name").alias("name"), source("name").alias("name_source"), sure.alias("name_conf"), value("number").alias("number"), source("number").alias("number_source"), value("set").alias("set_name"), value("year").alias("year"),
+        value("manufacturer").alias("manufacturer"), value("variant").alias("variant"), value("language").alias("language"), value("serial").alias("serial"), "best_id", "confidence", "margin", F.array_join(F.array_sort("flags"), ",").alias("flags"), "error", "state",
+    )
 
 
 def _whole_cards(get, fill_only: bool):

@@ -19,6 +19,7 @@ VIEWS = {
     "ocr_text": """select cid, concat(case when cid % 2 = 0 then 'Basic' else 'Evolves from Someone' end, chr(10), name, case when cid % 7 = 0 then '' else concat(' HP ', cast(coalesce(hp, 55) as string)) end, chr(10),
         replace(cast(num as string), '0', 'O'), case when cid % 3 = 0 then '|' else '/' end, cast(den as string), chr(10), '© ', cast(year as string), ' Wizards Inc.', chr(10),
         case when cid % 5 = 0 then 'Reverse Holo Rare' when cid % 5 = 1 then '1st Edition' when cid % 5 = 2 then 'Prizm niveau 2' else 'Entwicklungsstufe 1' end) as text from {captures}""",
+    "strip_text": "select cid, case when cid % 5 = 0 then '' else text end as text, cast(0.8 as double) as top_conf, case when cid % 8 = 3 then cast(0.4 as double) else cast(0.8 as double) end as bottom_conf from {ocr_text}",
     "cards": """select c_custkey as card_id, c_name as name, concat('Brand#', cast(c_nationkey as string)) as set_name, cast(c_custkey % 40 as string) as number, c_mktsegment as variant,
         case when c_custkey % 5 = 0 then 'NEEDS_REVIEW' when c_custkey % 17 = 0 then 'FAILED' else 'IDENTIFIED' end as state, cast(c_custkey % 101 as int) as confidence, cast(c_custkey % 4 as int) as quantity, c_acctbal as price from {customer}""",
     "photos": """select page_id as pos, case when page_id % 9 = 0 then concat('scan_', cast(page_id as string), '.jpg') else concat('Card-', cast((page_id - page_id % 2) / 2 % 40 as int), case when page_id % 2 = 0 then '_Front' else '-back' end, case when page_id % 5 = 0 then '.JPG' else '.png' end) end as name from {pages}""",
