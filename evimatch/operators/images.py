@@ -1,11 +1,11 @@
-"""Measurements on grey arrays: Spark expressions on flat arrays, numpy where a picture has two dimensions."""
+"""Measurements on grey arrays: Spark expressions on flat arrays, pictures as their rows laid end to end."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evimatch.functions.text import let
 from evimatch.functions.vocabulary import REGIONS, STRIP_HEIGHT, STRIP_MARGIN
 
 
@@ -111,23 +111,44 @@ def flatten_line(a: Column, radius: int) -> Column:
     return F.transform(a, lambda x, i: F.least(F.lit(255.0), F.lit(255.0) * x / F.greatest(F.lit(1.0), around(i))))
 
 
-def box_blur(gray: np.ndarray, radius: int) -> np.ndarray:
-    """Mean over a square window whose edges are clamped, through an integral image."""
-    h, w = gray.shape
-    total = np.zeros((h + 1, w + 1))
-    total[1:, 1:] = gray.cumsum(0).cumsum(1)
-    y0, y1 = np.maximum(np.arange(h) - radius, 0), np.minimum(np.arange(h) + radius + 1, h)
-    x0, x1 = np.maximum(np.arange(w) - radius, 0), np.minimum(np.arange(w) + radius + 1, w)
-    area = (y1 - y0)[:, None] * (x1 - x0)[None, :]
-    return (total[y1][:, x1] - total[y0][:, x1] - total[y1][:, x0] + total[y0][:, x0]) / area
+def _summed(a: Column, width: Column) -> Column:
+    """The summed-area table of a square of rows laid end to end: one row and one column more, so that no edge is a case of its own."""
+    plus = lambda x, y: x + y
+    running = lambda row: F.aggregate(row, F.array(F.lit(0.0)), lambda t, x: F.array_append(t, F.element_at(t, -1) + x))
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / width).cast("int") - 1), lambda y: F.slice(a, y * width + 1, width))
+    return F.aggregate(rows, F.array(F.array_repeat(F.lit(0.0), width + 1)), lambda t, row: F.array_append(t, F.zip_with(F.element_at(t, -1), running(row), plus)))
 
 
-def flatten(gray: np.ndarray, radius: int) -> np.ndarray:
-    return np.minimum(255, 255 * gray / np.maximum(box_blur(gray, radius), 1))
+def box_blur(a: Column, width: Column, radius: int) -> Column:
+    """Each value of a picture (rows laid end to end) as the mean of the square around it, cut off at the edges."""
+    height = F.floor(F.size(a) / width).cast("int")
 
+    def means(t: Column) -> Column:
+        def mean(i: Column) -> Column:
+            y, x = F.floor(i / width).cast("int"), i % width
+            top, left = F.greatest(F.lit(0), y - radius), F.greatest(F.lit(0), x - radius)
+            bottom, right = F.least(height, y + radius + 1), F.least(width, x + radius + 1)
+            return (t[bottom][right] - t[top][right] - t[bottom][left] + t[top][left]) / ((bottom - top) * (right - left))
 
-def laplacian_variance(gray: np.ndarray) -> float:
-    if min(gray.shape) < 3:
-        return 0.0
-    inner = gray[:-2, 1:-1] + gray[2:, 1:-1] + gray[1:-1, :-2] + gray[1:-1, 2:] - 4 * gray[1:-1, 1:-1]
-    return float(inner.var())
+        return F.transform(F.sequence(F.lit(0), F.size(a) - 1), mean)
+
+    return let(_summed(a, width), means)
+
+
+def flatten_illumination(a: Column, width: Column, radius: int) -> Column:
+    """A picture as parts of the mean around each value, 255 at most: uneven light goes."""
+    return F.zip_with(a, box_blur(a, width, radius), lambda x, m: F.least(F.lit(255.0), F.lit(255.0) * x / F.greatest(F.lit(1.0), m)))
+
+
+def laplacian_variance(a: Column, width: Column) -> Column:
+    """How much the picture's second differences vary (0 if it has less than three rows or columns): low where it is blurred."""
+    height = F.floor(F.size(a) / width).cast("int")
+    inner = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i % width > 0) & (i % width < width - 1) & (i >= width) & (i < width * (height - 1)))
+    edges = F.transform(inner, lambda i: a[i - width] + a[i + width] + a[i - 1] + a[i + 1] - a[i] * 4)
+    total = lambda x, f: F.aggregate(x, F.lit(0.0), lambda t, y: t + f(y))
+
+    def variance(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n == 0, 0.0).otherwise((total(x, lambda y: y * y) * n - total(x, lambda y: y) * total(x, lambda y: y)) / (n * n))
+
+    return let(edges, variance)

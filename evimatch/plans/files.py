@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evimatch.functions import vocabulary as v
+from evimatch.plans.records import _SQL_EBAY, _filled
 from evimatch.plans.registry import query
 from evimatch.sources import csvio
 
@@ -50,3 +52,39 @@ def csv_templates(get):
     found = csvio.templates(_rows(get))
     joined = F.array_join(F.transform("preamble", lambda r: F.array_join(r, ",")), "|")
     return found.select("file", "delimiter", "header_row", F.array_join("headers", "|").alias("headers"), F.array_join("required", "|").alias("required"), joined.alias("preamble"), "n_samples")
+
+
+_FILLED = f"""{_SQL_EBAY}, filled as (select id, kind, c_name, c_acctbal from k join customer on c_custkey = id),
+x as (select id, unnest(list_concat(['issue:{v.STARTER_HEADERS[0]}'], case when kind is null then ['issue:Category ID'] else [] end, case when c_name is null or c_name = '' then ['warning:Title'] else [] end, ['warning:Condition ID'], case when c_acctbal < 0 then ['warning:Start price'] else [] end)) as p from filled)"""
+
+
+@query(f"{_FILLED} select split_part(p, ':', 1) as kind, substr(p, strpos(p, ':') + 1) as header, count(*) as n from x group by all union all select 'total', null, count(*) from filled union all select 'affected', null, count(*) from filled")
+def template_summary(get):
+    return csvio.summary(*_filled(get))
+
+
+@query(f"{_FILLED} select id, split_part(p, ':', 1) as kind, substr(p, strpos(p, ':') + 1) as header from x")
+def template_issues(get):
+    return csvio.issues(*_filled(get), "id")
+
+
+#: Ten parts are a template; headers are names of fields in several spellings, descriptors, and words that no field has.
+_HEADER = """case p_partkey % 13 when 0 then '*C:Player' when 1 then 'cardName' when 2 then 'CD:Grade - (ID: 27502)' when 3 then 'Kategorie (ID: 3)' when 4 then 'Start_price' when 5 then 'CD:27502' when 6 then 'PREIS' when 7 then p_brand when 8 then 'Year' when 9 then 'L:Jahr' when 10 then 'grade' when 11 then 'Quantity' else p_name end"""
+_ALIASES = ", ".join(f"('{f}', '{a}', {i})" for i, (f, names) in enumerate(v.HEADER_ALIASES.items()) for a in names)
+
+
+@query(f"""with h as (select cast(p_partkey // 10 as bigint) as template, p_partkey as i, {_HEADER} as h from part),
+n as (select *, regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(replace(h, '*', ''), '^(?i:C|L):', ''), '\\s*\\([^)]*\\)\\s*', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))), '[\\s_-]+', ' ', 'g') as n, h in ('CD:Grade - (ID: 27502)', 'CD:27502') as d from h),
+al(field, alias, k) as (values {_ALIASES}),
+d as (select template, min_by(h, i) as h from n where d group by template),
+f as (select template, field, min_by(h, i) as h from (select n.template, al.field, n.h, n.i from n join al on al.alias = n.n left join d on d.template = n.template and d.h = n.h where d.h is null) group by all),
+m as (select template, field, h from f union all select template, 'gradeId', h from d),
+t as (select distinct template from n)
+select t.template, coalesce((select string_agg(field || '=' || h, '|' order by field) from m where m.template = t.template), '') as mapping,
+  (select count(*) from (select distinct field from al) a where a.field not in (select field from m where m.template = t.template)) as n_unmapped,
+  coalesce((select string_agg(n.h, '|' order by n.i) from n where n.template = t.template and n.h not in (select h from m where m.template = t.template)), '') as unknown from t""")
+def header_mapping(get):
+    told = get("part").select(F.floor(F.col("p_partkey") / 10).alias("template"), F.col("p_partkey").alias("i"), F.expr(_HEADER).alias("header"))
+    found = csvio.mappings(told)
+    pairs = F.array_sort(F.transform(F.map_entries("mapping"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+    return found.select("template", F.array_join(pairs, "|").alias("mapping"), F.size("unmapped").cast("bigint").alias("n_unmapped"), F.array_join("unknown", "|").alias("unknown"))

@@ -206,7 +206,7 @@ def template_rows(get):
 @query(f"{_SQL_EBAY} select '{v.STARTER_HEADERS[0]}' as header, count(*) as n from k union all select 'Category ID', count(*) from k where kind is null")
 def template_validate(get):
     rows, t = _filled(get)
-    return csvio.validate(rows, t, "id")
+    return csvio.validate(rows, t)
 
 
 _FIELD = "case l_orderkey % 8 when 0 then '=1+1' when 1 then l_partkey || '/' || (l_suppkey + 100) when 2 then '00' || l_partkey when 3 then 'say \"' || l_suppkey || '\"' when 4 then 'a,b' || l_partkey when 5 then ' x' || l_partkey when 6 then '-' || l_partkey else 'plain ' || l_suppkey end"

@@ -140,18 +140,35 @@ def starter() -> Template:
     return Template(list(heads), ",", [["#INFO Version=0.0.2 Template= eBay-draft-listings-template_DE"]], [], heads[:2], ["Title", "Condition ID", "Start price", "Quantity"])
 
 
-def suggest_mapping(spark, headers: list[str]) -> dict[str, str]:
-    """field -> header: descriptor ids first, then aliases in order; each header and each field once."""
-    rows = spark.createDataFrame(list(enumerate(headers)), "i int, h string").select("i", "h", market.normalize_header(F.col("h")).alias("n"), market.descriptor_field(F.col("h")).alias("d")).orderBy("i").collect()  # a few dozen
-    mapping: dict[str, str] = {}
-    for r in rows:
-        if r.d and r.d not in mapping:
-            mapping[r.d] = r.h
-    for name, aliases in v.HEADER_ALIASES.items():
-        hit = next((r.h for r in rows if r.h not in mapping.values() and r.n in aliases), None)
-        if hit:
-            mapping[name] = hit
-    return mapping
+def mappings(headers: DataFrame) -> DataFrame:
+    """template, mapping (field -> header), unmapped (fields), unknown (headers) of headers (template, i, header) of any number of templates.
+
+    Headers that name a descriptor come first, then the fields in the order of their aliases; a field takes the first header of its names
+    that no other field has.  A template's headers, a few dozen, are folded in the aggregation that brings them together.
+    """
+    told = headers.select("template", "i", F.col("header").alias("h"), market.normalize_header(F.col("header")).alias("n"), market.descriptor_field(F.col("header")).alias("d"))
+    whole = told.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("i", "h", "n", "d"))).alias("all"))
+    taken = F.expr("cast(array() as array<struct<field:string,i:int,h:string>>)")
+    entry = lambda field, x: F.struct(field.alias("field"), x["i"].cast("int").alias("i"), x["h"].alias("h"))
+    has = lambda a, what, x: F.exists(a, lambda y: y[what] == x)
+    first = F.aggregate("all", taken, lambda a, x: F.when(x["d"].isNull() | has(a, "field", x["d"]), a).otherwise(F.array_append(a, entry(x["d"], x))))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, names)).alias("names")) for f, names in v.HEADER_ALIASES.items()])
+
+    def give(a: Column, f: Column) -> Column:
+        free = F.filter("all", lambda x: F.array_contains(f["names"], x["n"]) & ~F.exists(a, lambda y: y["h"] == x["h"]))
+        return t.let(F.try_element_at(free, F.lit(1)), lambda x: F.when(x.isNull(), a).otherwise(F.array_append(a, entry(f["field"], x))))
+
+    done = whole.withColumn("taken", F.aggregate(fields, first, give))
+    last = F.filter("taken", lambda x, i: ~F.exists(F.slice("taken", i + 2, F.size("taken")), lambda y: y["field"] == x["field"]))  # a later header replaces a descriptor's
+    mapping = F.map_from_entries(F.transform(last, lambda x: F.struct(x["field"], x["h"])))
+    unmapped = F.array_except(F.array(*map(F.lit, v.HEADER_ALIASES)), F.map_keys(mapping))
+    unknown = F.transform(F.filter("all", lambda x: ~has(F.col("taken"), "h", x["h"])), lambda x: x["h"])
+    return done.select("template", mapping.alias("mapping"), unmapped.alias("unmapped"), unknown.alias("unknown"))
+
+
+def suggest_mapping(spark: SparkSession, headers: list[str]) -> dict[str, str]:
+    """field -> header of one template."""
+    return mappings(spark.createDataFrame([(0, i, h) for i, h in enumerate(headers)], "template int, i int, header string")).first().mapping
 
 
 def template_rows(cards: DataFrame, template: Template, mapping: dict[str, str], values: dict[str, Column], keep: list[str]) -> DataFrame:
@@ -167,12 +184,34 @@ def template_rows(cards: DataFrame, template: Template, mapping: dict[str, str],
     return cards.select(*keep, *out)
 
 
-def validate(rows: DataFrame, template: Template, key: str) -> DataFrame:
-    """header, n of rows without a value a required header needs.  One pass: a header's blanks are counted side by side."""
+def _blank(template: Template, wanted: list[str]) -> Column:
+    """The headers of ``wanted`` that a row has no value for."""
     at = {h: f"h{i}" for i, h in enumerate(template.headers)}
-    pairs = ", ".join(f"'{h}', {at[h]}" for h in template.required)
-    long = rows.select(key, F.expr(f"stack({len(template.required)}, {pairs}) as (header, value)"))
-    return long.where(F.coalesce("value", F.lit("")).isin("", MISSING)).groupBy("header").agg(F.count("*").alias("n"))
+    return F.filter(F.array(*[F.when(F.coalesce(F.col(at[h]), F.lit("")).isin("", MISSING), h) for h in wanted]), lambda x: x.isNotNull()) if wanted else F.array().cast("array<string>")
+
+
+def issues(rows: DataFrame, template: Template, key: str) -> DataFrame:
+    """key, kind ('issue' or 'warning'), header: a row of its own for each value that a required or recommended header lacks."""
+    of = lambda kind, wanted: F.transform(_blank(template, wanted), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("header")))
+    return rows.select(key, F.explode(F.concat(of("issue", template.required), of("warning", template.recommended))).alias("x")).select(key, "x.*")
+
+
+def summary(rows: DataFrame, template: Template) -> DataFrame:
+    """kind, header, n: rows in all (total), without any issue (complete) and with one (affected), and for each header its issues and warnings.
+
+    One pass: each row gives what it counts for, and counts are summed before they are shuffled.
+    """
+    one = lambda kind, header: F.struct(F.lit(kind).alias("kind"), header.alias("header"))
+    none = F.lit(None).cast("string")
+    told = rows.select(_blank(template, template.required).alias("bad"), _blank(template, template.recommended).alias("poor"))
+    state = F.when(F.size("bad") == 0, one("complete", none)).otherwise(one("affected", none))
+    counted = F.concat(F.array(one("total", none), state), F.transform("bad", lambda h: one("issue", h)), F.transform("poor", lambda h: one("warning", h)))
+    return told.select(F.explode(counted).alias("x")).groupBy("x.kind", "x.header").agg(F.count("*").alias("n"))
+
+
+def validate(rows: DataFrame, template: Template) -> DataFrame:
+    """header, n of rows without a value a required header needs."""
+    return summary(rows, template).where("kind = 'issue'").select("header", "n")
 
 
 def csv_line(columns: list[Column], delimiter: str = ",", text: frozenset[int] = frozenset()) -> Column:
