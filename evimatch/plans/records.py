@@ -337,14 +337,19 @@ def combine_names(get):
 
 
 def _card_lines(get):
-    """Words as lines of a card: their texts are those of parts, upper-cased for every other line."""
-    names = get("part").select((F.col("p_partkey") % 97).alias("m"), "p_name").groupBy("m").agg(F.min("p_name").alias("p_name"))
-    w = get("words").withColumn("m", F.substring("text", 2, 3).cast("long")).join(names, "m")
-    y0 = F.col("row_id") * 20.0
-    return w.select("doc_id", F.col("word_id").cast("int").alias("line_id"), F.when(F.col("word_id") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("text"), F.greatest(F.col("conf"), F.lit(0.5)).alias("confidence"), "conf", F.col("h").alias("height"), F.col("x0"), y0.alias("y0"), "x1", (y0 + F.col("h")).alias("y1")).withColumnRenamed("conf", "weakest")
+    """Words as lines of a card: a word of their part's name, upper-cased for every other line."""
+    w = get("words").join(get("part").select(F.col("p_partkey").alias("part_id"), "p_name"), "part_id")
+    y0, said = F.col("row_id") * 20.0, F.split("p_name", " ")
+    return w.select("doc_id", F.col("word_id").cast("int").alias("line_id"), F.when(F.col("word_id") % 2 == 0, F.upper(said[0])).otherwise(said[1]).alias("text"), F.greatest(F.col("conf"), F.lit(0.5)).alias("confidence"), F.col("conf").alias("weakest"), F.col("h").alias("height"), F.col("x0"), y0.alias("y0"), "x1", (y0 + F.col("h")).alias("y1"))
 
 
-@query()
+_BELOW = ("text", "h", "confidence", "weakest", "x0", "y0", "x1", "y1")
+
+
+@query(f"""with l as (select doc_id, cast(word_id as integer) as line_id, case when word_id % 2 = 0 then upper(split_part(p_name, ' ', 1)) else split_part(p_name, ' ', 2) end as text, greatest(conf, 0.5) as confidence, conf as weakest, h, x0, row_id * 20.0::double as y0, x1, row_id * 20.0::double + h as y1 from {{words}} w join part on p_partkey = part_id),
+n as (select *, {", ".join(f"lead({c}) over (partition by doc_id order by y0, line_id) as n_{c}" for c in _BELOW)} from l)
+select doc_id, line_id, text || ' ' || n_text as text, least(confidence, n_confidence) as confidence, least(weakest, n_weakest) as weakest, greatest(h, n_h) as height, least(x0, n_x0) as x0, y0, greatest(x1, n_x1) as x1, n_y1 as y1 from n
+where length(text) >= 4 and length(n_text) >= 4 and abs(h - n_h) < greatest(h, n_h) * 0.45 and n_y0 - y1 < greatest(h, n_h) * 0.9 and abs(x0 - n_x0) < greatest(h, n_h) * 2.5""")
 def names_stacked(get):
     return layout.stacked(_card_lines(get), "doc_id")
 

@@ -23,7 +23,7 @@ VIEWS = {
     "cards": """select c_custkey as card_id, c_name as name, concat('Brand#', cast(c_nationkey as string)) as set_name, cast(c_custkey % 40 as string) as number, c_mktsegment as variant,
         case when c_custkey % 5 = 0 then 'NEEDS_REVIEW' when c_custkey % 17 = 0 then 'FAILED' else 'IDENTIFIED' end as state, cast(c_custkey % 101 as int) as confidence, cast(c_custkey % 4 as int) as quantity, c_acctbal as price from {customer}""",
     "photos": """select page_id as pos, case when page_id % 9 = 0 then concat('scan_', cast(page_id as string), '.jpg') else concat('Card-', cast((page_id - page_id % 2) / 2 % 40 as int), case when page_id % 2 = 0 then '_Front' else '-back' end, case when page_id % 5 = 0 then '.JPG' else '.png' end) end as name from {pages}""",
-    "words": """select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax) as word_id, concat('W', cast(l_partkey % 97 as string)) as text,
+    "words": """select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax) as word_id, concat('W', cast(l_partkey % 97 as string)) as text, l_partkey as part_id,
         cast(l_linenumber % 3 as int) as row_id, cast(l_partkey % 900 as double) as x0, cast(l_partkey % 900 + 20 + l_suppkey % 60 as double) as x1, cast(8 + l_suppkey % 9 as double) as h, cast(l_suppkey % 8 as double) / 8.0 as conf from {lineitem}""",
     "job_log": """select user_id as job_id, event_id, ts, event_type = 'error' as failed, cast(floor(value * 10) as bigint) as ms,
         case when event_type = 'signup' then 'QUEUED' when event_type = 'view' then 'RUNNING' when event_type = 'error' then 'FAILED' else 'DONE' end as state from {events}""",
