@@ -72,7 +72,7 @@ class Model:
 
 
 def _sparse(rows: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """Each row's n-grams as (bucket, share) by kind."""
+    """Each row's n-grams as (bucket, count) by kind, four bytes each: the driver holds those of all training rows."""
     out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in rows]
     for words in wg.pieces(pa.array(rows, pa.string())):
         kinds = list(_features(words))
@@ -80,7 +80,7 @@ def _sparse(rows: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
             cut = np.searchsorted(text, np.arange(words.n_texts + 1))
             for d in range(words.n_texts):
                 ids, n = np.unique(bucket[cut[d] : cut[d + 1]], return_counts=True)
-                out[words.row + d].append((ids, n / max(1, n.sum())))
+                out[words.row + d].append((ids.astype(np.uint32), n.astype(np.uint32)))
     return out
 
 
@@ -90,22 +90,24 @@ def fit(rows: list[str], good: np.ndarray, *, epochs: int = 12, rate: float = 8.
     w, seen = np.zeros((kinds, DIM)), np.full((kinds, DIM), 1e-2)
     bias, seen_bias = 0.0, 1e-2
     x = _sparse(rows)
+    shares = lambda i: [(ids.astype(np.int64), n / max(1, n.sum())) for ids, n in x[i]]
     held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held)
     balance = np.where(good > 0, 0.5 / max(1e-9, good[train].mean()), 0.5 / max(1e-9, 1 - good[train].mean())) if len(train) else np.ones(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(train):
-            s = bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(x[i]))
+            own = shares(i)
+            s = bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(own))
             g = (1 / (1 + np.exp(-np.clip(s, -40, 40))) - good[i]) * balance[i]
-            for k, (ids, share) in enumerate(x[i]):
+            for k, (ids, share) in enumerate(own):
                 step = g * share
                 seen[k, ids] += step * step
                 w[k, ids] -= rate * step / np.sqrt(seen[k, ids]) * 0.05
             seen_bias += g * g
             bias -= 0.05 * rate * g / np.sqrt(seen_bias) * 0.2
     model = Model(w.astype(np.float32), float(bias))
-    score = np.array([bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(x[i])) for i in range(len(rows))])
+    score = np.array([bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(shares(i))) for i in range(len(rows))])
     at = np.flatnonzero(held) if held.sum() >= 20 else np.arange(len(rows))
     a, b = 1.0, 0.0
     for _ in range(300):  # two parameters, convex
