@@ -5,9 +5,11 @@
    in one text only cannot hold a recurring window and are dropped after a pre-aggregated count.
 2. Segments.  The words under a run of windows whose anchor recurs.  Equal segments are told apart once, by a 128-bit key, with
    the smallest and largest doc_id that have them, so a passage in a third of all texts is one segment.
-3. Automata.  Segments are dealt into shards by anchor.  Each shard confirms which windows recur by their words, compiles
-   those into an Aho-Corasick automaton (pyahocorasick) and streams all its segments through it; every occurrence of a window
-   in any text lies in a segment of the same shard.  A shard's size is fixed; the number of shards grows with the data.
+3. Automata.  Segments are dealt into shards by anchor, so every occurrence of a window in any text lies in a segment of one
+   shard.  Each shard counts hashes of windows, compiles a window of each hash that two texts have into an Aho-Corasick automaton
+   (pyahocorasick) and streams all its segments through it.  What the automaton finds says where a window stands, which texts
+   hold it and which is the first; hashes only propose.  A proposed window that it does not find (another one with its hash was
+   compiled) goes into a next automaton.  A shard's segments and bytes are bounded; the number of shards grows with the data.
 4. Removal.  Each text gets the windows whose first holder is another, smaller doc_id, and drops the words they cover.
 """
 
@@ -26,8 +28,10 @@ from evimatch.llm import wordgrams as wg
 from evimatch.llm.tables import Scratch, has_rows, texts
 
 SIZE, PHRASE = 13, 5
-#: Segments in one shard: some 20 windows of words each at most, so an automaton of a few hundred MB at the very worst.
-SHARD_SEGMENTS = 4_000
+#: Windows in one run: a text that says one phrase over and over is cut into runs of equal words, which are one segment.
+MOST_WINDOWS = 64
+#: Segments and bytes of text in one shard on average.
+SHARD_SEGMENTS, SHARD_BYTES = 4_000, 8_000_000
 
 
 def _runs(words: wg.Words, size: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +55,8 @@ def _runs(words: wg.Words, size: int, phrase: int) -> tuple[np.ndarray, np.ndarr
     least = least[at]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+    begun = np.flatnonzero(new)
+    new |= (np.arange(len(at)) - np.repeat(begun, np.diff(np.append(begun, len(at))))) % MOST_WINDOWS == 0
     lo = np.flatnonzero(new)
     count = np.diff(np.append(lo, len(at)))
     first = at[lo]
@@ -106,52 +112,69 @@ def _segment_texts(size: int):
     return run
 
 
+class _Alphabet(dict):
+    """A character for each word, so that a window is a string of as many characters as it has words."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self)
+        c = self[word] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are not characters
+        return c
+
+
 def _locate(size: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("anchor", "under", "lo", "hi", "words")), strict=True))
-        code: dict[str, str] = {}  # a character for each word of the shard, so a window is a string of ``size`` characters
-        first: dict[str, list] = {}
-        said = []
-        for _, _, lo, hi, words in rows:
-            own = []
-            for w in words.split(b" "):
-                c = code.get(w)
-                if c is None:
-                    n = len(code)
-                    c = code[w] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are not characters
-                own.append(c)
-            line = "".join(own)
-            said.append(line)
-            for i in range(len(line) - size + 1):
-                key = line[i : i + size]
-                seen = first.get(key)
-                if seen is None:
-                    first[key] = [lo, hi]
-                else:
-                    seen[0], seen[1] = min(seen[0], lo), max(seen[1], hi)
-        automaton = ahocorasick.Automaton()
-        for key, (lo, hi) in first.items():
-            if lo < hi:  # confirmed: the very words are in two texts at least
-                automaton.add_word(key, lo)
-        del first, code
-        out_a, out_u, out_f = [], [], []
-        if len(automaton):
+        lo, hi = (table.column(c).to_numpy() for c in ("lo", "hi"))
+        letters = _Alphabet()
+        lines = ["".join(map(letters.__getitem__, w.split(b" "))) for w in table.column("words").to_pylist()]
+        length = np.array([len(x) for x in lines], dtype=np.int64)
+        line_at, window_at = (np.concatenate([[0], np.cumsum(x)]) for x in (length, length - size + 1))
+        line = np.repeat(np.arange(len(lines)), length - size + 1)
+        at = np.arange(window_at[-1]) - window_at[line]  # each window's place in its line
+        codes = wg.mix(np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64))
+        c = wg.multipliers(size, 22)
+        h = np.zeros(len(at), dtype=np.uint64)
+        for j in range(size):
+            h += codes[line_at[line] + at + j] * c[j]
+        least, most, which = _holders(np.unique(h, return_inverse=True)[1], lo[line], hi[line])
+        recurs = (least < most)[which]
+
+        phrase = np.full(len(at), -1, dtype=np.int64)  # the phrase that an automaton has found at each window
+        n_phrases = 0
+        while (left := np.flatnonzero(recurs & (phrase < 0))).size:  # again only for phrases that share their hash with another
+            automaton = ahocorasick.Automaton()
+            for w in left[np.unique(h[left], return_index=True)[1]].tolist():
+                automaton.add_word(lines[line[w]][at[w] : at[w] + size], n_phrases)
+                n_phrases += 1
             automaton.make_automaton()
-            for (anchor, under, _, _, _), line in zip(rows, said, strict=True):
-                found: list[int | None] = [None] * (len(line) - size + 1)
-                hit = False
-                for end, holder in automaton.iter(line):
-                    found[end - size + 1] = holder
-                    hit = True
-                if hit:
-                    out_a.append(anchor)
-                    out_u.append(under)
-                    out_f.append(found)
-        return pa.table({"anchor": pa.array(out_a, pa.int64()), "under": pa.array(out_u, pa.int64()), "holders": pa.array(out_f, pa.list_(pa.int64()))})
+            places, found = [], []
+            for x, start in zip(lines, (window_at[:-1] - size + 1).tolist(), strict=True):
+                for end, p in automaton.iter(x):
+                    places.append(start + end)
+                    found.append(p)
+            phrase[places] = found
+
+        seen = np.flatnonzero(phrase >= 0)
+        least, most, which = _holders(phrase[seen], lo[line[seen]], hi[line[seen]], n_phrases)
+        seen, holder = seen[(least < most)[which]], least[which][(least < most)[which]]  # the very words are in two texts at least
+        held, holders = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=np.int64)
+        held[seen], holders[seen] = True, holder
+        lists = pa.LargeListArray.from_arrays(pa.array(window_at), pa.array(holders, mask=~held)).cast(pa.list_(pa.int64()))
+        hit = pa.array(np.bincount(line[seen], minlength=len(lines)) > 0)
+        return pa.table({"anchor": table.column("anchor"), "under": table.column("under"), "holders": lists}).filter(hit)
 
     return run
 
 
+def _holders(which: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest and largest doc_id of each phrase, and ``which`` again."""
+    n = int(which.max(initial=-1)) + 1 if n is None else n
+    ends = np.iinfo(np.int64)
+    least, most = np.full(n, ends.max), np.full(n, ends.min)
+    np.minimum.at(least, which, lo)
+    np.maximum.at(most, which, hi)
+    return least, most, which
+
+
 _HELD = "anchor long, under long, holders array<long>"
 
 
@@ -223,9 +246,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     asked = segments.groupBy(F.col("src.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "under", "src.first", "src.windows", F.col("src.doc_id").alias("lo"), "hi")).alias("asked"))
     said = scratch.table(named.join(asked, "doc_id").mapInArrow(_segment_texts(size), "anchor long, under long, lo long, hi long, words binary"), "segments")
     out = own.withColumn("spans", F.lit(None).cast("array<array<int>>"))
-    n = said.count()
+    n, size_of = said.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
     if n:
-        shards = max(1, -(-n // shard_segments))
+        shards = max(1, -(-n // shard_segments), -(-size_of // SHARD_BYTES))
         hot = scratch.table(said.groupBy("anchor").count().where(F.col("count") > shard_segments).select("anchor"), "hot")
         crowded = has_rows(hot)
         placed = (said.join(hot, "anchor", "left_anti") if crowded else said).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
