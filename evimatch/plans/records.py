@@ -317,11 +317,34 @@ def words_to_lines(get):
     return layout.words_to_lines(w.select("doc_id", "word_id", "text", "conf", "x0", "x1", (F.col("row_id") * 20.0).alias("y0"), (F.col("row_id") * 20.0 + F.col("h")).alias("y1")))
 
 
-@query()
+_PLAIN = rf"trim(regexp_replace(regexp_replace(lower(translate(coalesce(text, ''), '{v.ACCENTED}', '{v.PLAIN}')), '[^a-z0-9&''.\- ©#/]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_LATEST = r"cast(list_max(list_transform(regexp_extract_all(p, '(?:^|[^A-Za-z0-9_])(19[3-9]\d|20[0-4]\d)\b', 1), lambda x: cast(x as integer))) as varchar)"
+_PART = r"nullif(regexp_extract(p, '(?:^|\s)(\d{1,4})\s*/\s*(\d{1,4})(?:\s|$)', %d), '')"
+
+
+def _evidence_sql() -> str:
+    """A list of what a line may say, each kind's values in the order of the vocabulary, and the surest line for each kind."""
+    q = lambda x: x.replace("'", "''")
+    fact = lambda kind, value, hit: f"case when {hit} then struct_pack(kind := '{kind}', value := {value}) end"
+    facts = [fact("manufacturer", f"'{q(x)}'", f"brandish and regexp_matches(p, '(^|[ ©]){q(x.lower().replace('-', ' ').replace(' ', '[- ]'))}($|[ ,.])')") for x in v.MANUFACTURERS]
+    facts += [fact("product", f"'{q(x)}'", f"brandish and regexp_matches(p, '(^|[ ©]){q(x.lower())}($|[ ,.])')") for x in v.PRODUCTS]
+    facts += [fact("league", f"'{x}'", f"list_contains(string_split(p, ' '), '{x.lower()}')") for x in v.LEAGUES]
+    facts += [fact("finish", f"'{x}'", f"regexp_matches(p, '(^|[ ]){x}($|[ ])')") for x in v.FINISHES]
+    maker = " or ".join(f"contains(p, '{q(x.lower())}')" for x in v.MANUFACTURERS)
+    facts.append(fact("year", _LATEST, f"(legal or {maker}) and {_LATEST} is not null"))
+    number = r"upper(regexp_extract(p, '(?:^|\s)(?:#|no\.?|nr\.?)\s*(\d{1,4}[a-z]?)(?:\s|$)', 1))"
+    facts.append(fact("number", number, f"not legal and {number} <> ''"))
+    top, run = _PART % 1, _PART % 2
+    facts.append(fact("serial", f"{top} || '/' || {run}", f"not legal and cast({top} as integer) <= cast({run} as integer) and cast({run} as integer) >= 2"))
+    return f"""with b as (select *, {_PLAIN} as p from {{back_lines}} where confidence >= 0.4), c as (select *, regexp_matches(p, '©|copyright|all rights reserved|registered trademark') as legal from b),
+d as (select *, legal or len(list_filter(string_split(p, ' '), lambda x: x <> '')) <= 6 as brandish from c),
+e as (select cid, line_id, text, confidence, unnest(list_transform([{", ".join(facts)}], lambda x, i: struct_pack(k := i, x := x))) as u from d)
+select cid, u.x.kind as kind, u.x.value as value, text as raw, confidence from e where u.x is not null qualify row_number() over (partition by cid, u.x.kind order by confidence desc, line_id, u.k) = 1"""
+
+
+@query(_evidence_sql())
 def evidence_read(get):
-    makers = F.element_at(F.array(*[F.lit(x) for x in v.MANUFACTURERS]), (F.col("cid") % len(v.MANUFACTURERS) + 1).cast("int"))
-    lines = get("captures").select("cid", F.explode(F.array(F.struct(F.lit(0).alias("line_id"), F.concat(F.upper(makers), F.lit(" CHROME")).alias("text")), F.struct(F.lit(1).alias("line_id"), F.concat(F.lit("© "), F.col("year").cast("string"), F.lit(" "), makers).alias("text")), F.struct(F.lit(2).alias("line_id"), F.concat(F.lit("# "), F.col("num").cast("string")).alias("text")))).alias("l"))
-    return layout.read_evidence(lines.select("cid", "l.line_id", "l.text", F.lit(0.9).alias("confidence")), "cid")
+    return layout.read_evidence(get("back_lines"), "cid")
 
 
 @query()
@@ -330,10 +353,21 @@ def rate_limiter(get):
     return jobs.rate_limit(e)
 
 
-@query()
+_LETTERS = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ÿ0-9]', '', 'g'))"
+_SAME = """case when least(length({a}), length({b})) < 4 then false when {a} = {b} then true when least(length({a}), length({b})) >= 5 and (contains({a}, {b}) or contains({b}, {a})) then true
+when greatest(length({a}), length({b})) >= 7 and 1.0::double - abs(length({a}) - length({b}))::double / greatest(length({a}), length({b})) >= 0.85 then 1.0::double - levenshtein({a}, {b})::double / greatest(length({a}), length({b})) >= 0.85 else false end"""
+
+
+@query(f"""with n as (select *, {_LETTERS} as l from {{sided_names}}),
+m as (select f.card_id, f.pos as fp, b.pos as bp, f.text as ft, b.text as bt, f.l as fl, b.l as bl, f.confidence as fc, b.confidence as bc, f.score as fs, b.score as bs from n f join n b using (card_id) where f.side = 'front' and b.side = 'back' and {_SAME.format(a="f.l", b="b.l")}),
+h as (select *, bool_or(fp = 0 and bp = 0) over w as h00, bool_or(fp = 0 and bp = 1) over w as h01, bool_or(fp = 1 and bp = 0) over w as h10 from m window w as (partition by card_id)),
+t as (select * from h where case when fp = 0 and bp = 0 then true when fp = 0 then not h00 when bp = 0 then not h00 else h00 or not (h01 or h10) end),
+d as (select *, fc >= bc as surer from t),
+x as (select *, case when surer then length(bl) > length(fl) and contains(bl, fl) and bc >= 0.6 else length(fl) > length(bl) and contains(fl, bl) and fc >= 0.6 end as fuller from d)
+select card_id, case when surer <> fuller then ft else bt end as text, least(0.95::double, greatest(fc, bc) + 0.1::double) as confidence, greatest(fs, bs) + 0.2::double as score, true as agreed, case when surer <> fuller then 'front' else 'back' end as side from x
+union all select card_id, text, confidence, score, false, side from n where not exists (select 1 from t where t.card_id = n.card_id and case when n.side = 'front' then t.fp else t.bp end = n.pos)""")
 def combine_names(get):
-    n = get("conversations").select(F.col("conv_id").alias("card_id"), F.when(F.col("role") == "user", "front").otherwise("back").alias("side"), F.col("turn").alias("pos"), "text", (F.length("text") % 100 / 100.0).cast("double").alias("confidence")).withColumn("score", F.col("confidence"))
-    return merging.combine_names(n)
+    return merging.combine_names(get("sided_names"))
 
 
 def _card_lines(get):
@@ -346,15 +380,31 @@ def _card_lines(get):
 _BELOW = ("text", "h", "confidence", "weakest", "x0", "y0", "x1", "y1")
 
 
-@query(f"""with l as (select doc_id, cast(word_id as integer) as line_id, case when word_id % 2 = 0 then upper(split_part(p_name, ' ', 1)) else split_part(p_name, ' ', 2) end as text, greatest(conf, 0.5) as confidence, conf as weakest, h, x0, row_id * 20.0::double as y0, x1, row_id * 20.0::double + h as y1 from {{words}} w join part on p_partkey = part_id),
-n as (select *, {", ".join(f"lead({c}) over (partition by doc_id order by y0, line_id) as n_{c}" for c in _BELOW)} from l)
-select doc_id, line_id, text || ' ' || n_text as text, least(confidence, n_confidence) as confidence, least(weakest, n_weakest) as weakest, greatest(h, n_h) as height, least(x0, n_x0) as x0, y0, greatest(x1, n_x1) as x1, n_y1 as y1 from n
-where length(text) >= 4 and length(n_text) >= 4 and abs(h - n_h) < greatest(h, n_h) * 0.45 and n_y0 - y1 < greatest(h, n_h) * 0.9 and abs(x0 - n_x0) < greatest(h, n_h) * 2.5""")
+_STACKED = f"""with l as (select doc_id, cast(word_id as integer) as line_id, case when word_id % 2 = 0 then upper(split_part(p_name, ' ', 1)) else split_part(p_name, ' ', 2) end as text, greatest(conf, 0.5) as confidence, conf as weakest, h, x0, row_id * 20.0::double as y0, x1, row_id * 20.0::double + h as y1 from {{words}} w join part on p_partkey = part_id),
+n as (select *, {", ".join(f"lead({c}) over (partition by doc_id order by y0, line_id) as n_{c}" for c in _BELOW)} from l),
+s as (select doc_id, line_id, text || ' ' || n_text as text, least(confidence, n_confidence) as confidence, least(weakest, n_weakest) as weakest, greatest(h, n_h) as height, least(x0, n_x0) as x0, y0, greatest(x1, n_x1) as x1, n_y1 as y1 from n
+where length(text) >= 4 and length(n_text) >= 4 and abs(h - n_h) < greatest(h, n_h) * 0.45 and n_y0 - y1 < greatest(h, n_h) * 0.9 and abs(x0 - n_x0) < greatest(h, n_h) * 2.5)"""
+
+
+@query(f"{_STACKED} select * from s")
 def names_stacked(get):
     return layout.stacked(_card_lines(get), "doc_id")
 
 
-@query()
+#: Colours and things: words of one case without marks, none of them vocabulary.
+_LIKELY = "case when length(replace(text, ' ', '')) < 4 then 0.0 else least(1.0::double, case when text = upper(text) then 0.7::double else 0.3::double end + case when contains(text, ' ') then 0.3::double else 0.0::double end) end"
+_SIGNS = {
+    "size": "greatest(0.0::double, least(1.0::double, height / 5.0::double))",
+    "lettering": "greatest(0.0::double, least(1.0::double, (confidence * 0.7::double + weakest * 0.3::double - 0.4::double) / 0.4::double))",
+    "likeness": _LIKELY,
+    "home": "case when ((y0 + y1) / 200.0::double > 0.03 and (y0 + y1) / 200.0::double < 0.2) or ((y0 + y1) / 200.0::double > 0.7 and (y0 + y1) / 200.0::double < 0.95) then 1.0::double else 0.0::double end",
+    "joined": "joined",
+}
+
+
+@query(f"""{_STACKED}, pool as (select doc_id, line_id, text, confidence, weakest, h as height, y0, y1, 0.0::double as joined from l union all select doc_id, line_id, text, confidence, weakest, height, y0, y1, 1.0::double from s),
+r as (select *, {" + ".join(f"({x}) * {layout.NAME_SIGNS[c]}::double" for c, x in _SIGNS.items())} as score from pool where {_LIKELY} > 0 and confidence >= 0.35 and height >= 1.2),
+k as (select *, cast(row_number() over (partition by doc_id order by score desc, joined, line_id) as int) as place from r) select doc_id, line_id, text, score, place from k where place <= 4""")
 def names_ranked(get):
     return layout.rank_names(_card_lines(get), "doc_id", 100.0).where("place <= 4").select("doc_id", "line_id", "text", "score", "place")
 

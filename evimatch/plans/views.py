@@ -6,6 +6,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evimatch.functions import vocabulary as v
+
+
+def _one_of(words: list[str]) -> str:
+    """A word of a list by the capture's number."""
+    return f"split_part('{'|'.join(words)}', '|', cast(cid % {len(words)} + 1 as int))"
+
+
+_BACK = ["concat(upper(maker), ' CHROME')", "concat('© ', cast(year as string), ' ', maker)", "concat('# ', cast(num as string))", "concat('Official ', league, ' Product, ', cast(num as string), '/', cast(den as string))", "concat(product, ' ', upper(finish))", "concat(maker, ' ', cast(year + 1 as string), ' No. ', cast(den as string), 'b')"]
+
 VIEWS = {
     "ref_cards": """select cast(p_partkey as bigint) as id, p_name as name, p_brand as set_name, p_type as series, cast(1950 + p_size as int) as year,
         cast(10 * (1 + p_partkey % 34) as int) as hp, cast(row_number() over (partition by p_brand order by p_partkey) as int) as num,
@@ -34,6 +44,13 @@ VIEWS = {
         case when cid % 3 = 1 then 'Topps' end as g_manufacturer, case when cid % 3 = 2 then 'Prizm' end as g_product, case when cid % 7 < 2 then '1999' end as g_year, case when cid % 6 < 2 then cast(num as string) end as g_number,
         case when cid % 12 = 0 then 'lone number' end as g_rule, case when cid % 8 = 0 then 'NBA' when cid % 8 = 1 then 'WWE' end as g_league, case when cid % 9 = 1 then concat(cast(num as string), '/', cast(den as string)) end as g_serial,
         case when cid % 10 = 0 then 'refractor' end as g_finish from {captures}""",
+    "back_lines": f"""with c as (select *, {_one_of(v.MANUFACTURERS)} as maker, {_one_of(v.PRODUCTS)} as product, {_one_of(list(v.LEAGUES))} as league, {_one_of(v.FINISHES)} as finish from {{captures}}) """
+    + " union all ".join(f"select cid, {i} as line_id, {said} as text, cast(3 + (cid + 3 * {i}) % 7 as double) / cast(10 as double) as confidence from c" for i, said in enumerate(_BACK)),
+    "sided_names": """with c as (select cid as card_id, cid, name, true_name, cast(3 + cid % 7 as double) / cast(10 as double) as sure from {captures})
+        select card_id, 'front' as side, 0 as pos, name as text, sure as confidence, sure / cast(2 as double) as score from c
+        union all select card_id, 'front', 1, case when cid % 5 = 0 then upper(true_name) else concat(split_part(true_name, ' ', 2), ' other') end, cast(0.65 as double), cast(0.4 as double) from c where cid % 4 < 2
+        union all select card_id, 'back', 0, case when cid % 3 = 1 then 'nobody here' else true_name end, cast(0.7 as double), cast(0.3 as double) from c where cid % 11 > 0
+        union all select card_id, 'back', 1, case when cid % 2 = 0 then concat(true_name, ' Jr.') else split_part(true_name, ' ', 1) end, cast(0.6 as double), cast(0.2 as double) from c where cid % 4 > 0""",
     "corrected": """select c_custkey as card_id, case when c_custkey % 4 = 0 then 'Mine' end as mine, c_name as name, case when c_custkey % 6 = 0 then 'name,variant' when c_custkey % 6 = 1 then 'year' else '' end as flags,
         case when c_custkey % 5 = 0 then 'NEEDS_REVIEW' when c_custkey % 17 = 0 then 'FAILED' else 'IDENTIFIED' end as state, case when c_custkey % 3 = 0 then upper(c_name) end as c_name_known, cast(c_custkey % 101 as double) / cast(100 as double) as sure from {customer}""",
 }
