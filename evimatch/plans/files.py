@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evimatch.functions import vocabulary as v
 from evimatch.plans.records import _SQL_EBAY, _filled
 from evimatch.plans.registry import query
-from evimatch.sources import csvio
+from evimatch.session import shared_folder
+from evimatch.sources import csvio, snapshots
 
 #: A customer's orders as a file: above them a header and, in two files of three, a line or two of other things.  Cells hold quotes, line
 #: ends, other delimiters and carriage returns; a third of the rows has a cell less.
@@ -88,3 +91,19 @@ def header_mapping(get):
     found = csvio.mappings(told)
     pairs = F.array_sort(F.transform(F.map_entries("mapping"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
     return found.select("template", F.array_join(pairs, "|").alias("mapping"), F.size("unmapped").cast("bigint").alias("n_unmapped"), F.array_join("unknown", "|").alias("unknown"))
+
+
+#: Two snapshots of the catalogue before the day asked for and one after it; the second brings some sets only, with cards renamed and missing.
+_RENEWED, _AS_OF = "set_name < 'Brand#3'", "2024-02-15"
+
+
+@query(f"""select id, case when {_RENEWED} then name || ' II' else name end as name, set_name, num, den, hp, case when {_RENEWED} then year + 1 else year end as year
+from {{ref_cards}} where not ({_RENEWED} and id % 2 = 1)""")
+def catalogue_as_of(get):
+    cards = get("ref_cards").select("id", "name", "set_name", "num", "den", "hp", "year")
+    spark = cards.sparkSession
+    path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4()}"
+    renewed = cards.where(_RENEWED).where("id % 2 = 0").withColumns({"name": F.concat("name", F.lit(" II")), "year": F.col("year") + 1})
+    for day, what in (("2024-01-01", cards), ("2024-02-01", renewed), ("2024-03-01", cards.withColumn("name", F.lit("later")))):
+        snapshots.write_snapshot(what, path, day)
+    return snapshots.cards_as_of(spark, path, _AS_OF)
