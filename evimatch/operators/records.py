@@ -35,13 +35,13 @@ def status(cards: DataFrame) -> DataFrame:
     return cards.agg(F.count("*").alias("n_all"), F.count_if(review).alias("n_review"), F.count_if(~review & ~failed).alias("n_ready"), F.count_if(failed).alias("n_failed"))
 
 
-def search_page(cards: DataFrame, needle: str, fields: list[str], sort: str, id_col: str, size: int = 100, descending: bool = False) -> DataFrame:
-    """Rows with the needle in any field, sorted as text (null as '') with the id to break ties; one page."""
+def search_page(cards: DataFrame, needle: str, fields: list[str], sort: str, id_col: str, size: int = 100, descending: bool = False, as_text: bool = True) -> DataFrame:
+    """Rows with the needle in any field, sorted as text (null as '') or by value, with the id to break ties; one page."""
     q = needle.lower()
     hit = F.lit(False)
     for f in fields:
         hit = hit | F.coalesce(F.lower(F.col(f).cast("string")).contains(q), F.lit(False))
-    key = F.coalesce(F.col(sort).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(sort).cast("string"), F.lit("")) if as_text else F.col(sort)
     return cards.where(hit).orderBy(key.desc() if descending else key.asc(), id_col).limit(size)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evimatch.functions import market, values
 from evimatch.functions.vocabulary import FIELDS_OF_CARD, USER_FIELDS
+from evimatch.operators import records
 
 
 def correct(cards: DataFrame, field: str, value: Column, where: Column | None = None) -> DataFrame:
@@ -73,6 +74,16 @@ def in_state(cards: DataFrame, which: str) -> DataFrame:
     return cards.where(keep[which])
 
 
+def visible(cards: DataFrame, which: str, needle: str, fields: list[str], identity: Column, **page) -> DataFrame:
+    """What a list of cards shows: those of in_state(), or 'duplicates', cards that share their identity with another; then search_page()."""
+    if which == "duplicates":
+        twice = records.duplicates(cards, identity)
+        kept = cards.join(twice, identity == twice["key"], "left_semi")
+    else:
+        kept = in_state(cards, which)
+    return records.search_page(kept, needle.strip(), fields, **page)
+
+
 def prune(selection: DataFrame, visible: DataFrame, key: str) -> DataFrame:
     """The selected keys that are still shown."""
     return selection.select(key).distinct().join(visible.select(key), key, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evimatch.functions import market, values
 from evimatch.functions import vocabulary as v
-from evimatch.operators import images, jobs, layout, merging, records
+from evimatch.operators import images, jobs, layout, merging, records, review
 from evimatch.plans.registry import fold_sql, query
 from evimatch.sources import csvio
 
@@ -61,6 +61,19 @@ def cards_search_sort_page(get):
     return records.search_page(get("cards"), "17", ["name", "set_name", "variant"], "set_name", "card_id").select("card_id", "name", "set_name")
 
 
+_HAS = lambda q: "(" + " or ".join(f"contains(lower({c}), '{q}')" for c in ("name", "set_name", "variant")) + ")"
+
+
+@query(f"""select 'ready' as shown, card_id from (select card_id from {{cards}} where state not in ('NEEDS_REVIEW', 'FAILED') and {_HAS("brand#1")} order by coalesce(name, ''), card_id limit 100)
+union all select 'review', card_id from (select card_id from {{cards}} where state = 'NEEDS_REVIEW' and {_HAS("mach")} order by coalesce(set_name, '') desc, card_id limit 100)
+union all select 'duplicates', card_id from (select card_id from (select *, count(*) over (partition by {_KEY}) as n from {_CARDS}) where n > 1 and {_HAS("1")} order by confidence desc, card_id limit 100)""")
+def cards_visible(get):
+    asked = {"ready": ("Brand#1", {"sort": "name"}), "review": ("mach", {"sort": "set_name", "descending": True}), "duplicates": (" 1 ", {"sort": "confidence", "descending": True, "as_text": False})}
+    shown = lambda which, needle, page: review.visible(_cards(get), which, needle, ["name", "set_name", "variant"], _key(), id_col="card_id", **page).select(F.lit(which).alias("shown"), "card_id")
+    ready, rest, twice = (shown(which, *how) for which, how in asked.items())
+    return ready.unionByName(rest).unionByName(twice)
+
+
 @query("select card_id from {cards} where card_id between 20 and 120")
 def selection_range(get):
     return records.range_ids(get("cards"), "card_id", "card_id", 120, 20)
@@ -412,4 +425,4 @@ def names_ranked(get):
 @query()
 def letters_spaced(get):
     w = get("words")
-    return layout.space_by_gaps(w.select("doc_id", F.substring("text", 1, 2).alias("text"), "x0", "x1", F.lit(30.0).alias("line_height")))
+    return layout.space_by_gaps(w.select("doc_id", "text", "x0", "x1", F.lit(30.0).alias("line_height")))

@@ -78,3 +78,16 @@ def test_the_better_reading(spark):
     rows = [(1, 0, "JORDANELLIS", 0.7), (1, 1, "JORDAN ELLIS", 0.75), (1, 2, "x7", 0.99), (2, 0, "BRAY WYATT", 0.9), (2, 1, "WYATT", 0.99)]
     got = {r.card: r.text for r in merging.better_reading(spark.createDataFrame(rows, "card long, pos int, text string, confidence double"), "card").collect()}
     assert got == {1: "JORDAN ELLIS", 2: "BRAY WYATT"}
+
+
+def test_capitals_are_spaced_by_their_gaps(spark):
+    said = [(1, "LUKADONCIC"), (2, "Lukadoncic"), (3, "LUKADONCIG"), (4, "ROOKIE"), (5, "  Two   words "), (6, None)]
+    letters = []
+    for i, text in said[:4]:
+        x = 0.0
+        for k, c in enumerate("LUKADONCIC" if i < 4 else text):
+            letters.append((i, c, x, x + 10.0, 20.0))
+            x += 40.0 if k == 3 and i < 4 else 11.0
+    lines = spark.createDataFrame([(i, s, 0.8) for i, s in said], "doc_id long, text string, confidence double")
+    got = layout.as_reading(lines, spark.createDataFrame(letters, "doc_id long, text string, x0 double, x1 double, line_height double"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "LUKA DONCIC", 2: "Lukadoncic", 3: "LUKADONCIG", 5: "Two words"}
