@@ -7,6 +7,7 @@ Arrow batches against a fixed threshold.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,33 +72,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -40, 40)))
 
 
-def _sparse(rows: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """Each row's n-grams as (bucket, count) by kind, four bytes each: the driver holds those of all training rows."""
-    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in rows]
-    for words in wg.pieces(pa.array(rows, pa.string())):
-        kinds = list(_features(words))
-        for bucket, text in kinds:
-            cut = np.searchsorted(text, np.arange(words.n_texts + 1))
-            for d in range(words.n_texts):
-                ids, n = np.unique(bucket[cut[d] : cut[d + 1]], return_counts=True)
-                out[words.row + d].append((ids.astype(np.uint32), n.astype(np.uint32)))
-    return out
+class _Grams:
+    """Each training row's n-grams as (bucket, count) by kind, four bytes each, in a file: the driver holds those of one row at a time."""
+
+    def __init__(self) -> None:
+        self.file, self.end = tempfile.TemporaryFile(), 0
+        self.at: list[tuple[int, list[int]]] = []  # of each row: where it begins, and the n-grams of each kind
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def add(self, text: str) -> None:
+        begin, sizes = self.end, []
+        for words in wg.pieces(pa.array([text], pa.string())):
+            for bucket, _ in _features(words):
+                for x in np.unique(bucket, return_counts=True):
+                    self.end += self.file.write(x.astype(np.uint32).tobytes())
+                sizes.append((self.end - begin) // 8 - sum(sizes))
+        self.at.append((begin, sizes))
+
+    def shares(self, i: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Row i's n-grams as (bucket, share of its kind) by kind."""
+        begin, sizes = self.at[i]
+        self.file.seek(begin)
+        own = np.frombuffer(self.file.read(8 * sum(sizes)), dtype=np.uint32)
+        out, lo = [], 0
+        for n in sizes:
+            ids, counts = own[lo : lo + n], own[lo + n : lo + 2 * n]
+            out.append((ids.astype(np.int64), counts / max(1, counts.sum())))
+            lo += 2 * n
+        return out
 
 
-def fit(rows: list[str], good: np.ndarray, *, epochs: int = 12, rate: float = 8.0, seed: int = 1) -> Model:
+def fit(rows: _Grams, good: np.ndarray, *, epochs: int = 12, rate: float = 8.0, seed: int = 1) -> Model:
     """Logistic regression by AdaGrad on four fifths of the rows; Platt calibration on the last fifth."""
     kinds = len(WORD_SIZES) + len(CHAR_SIZES)
     w, seen = np.zeros((kinds, DIM)), np.full((kinds, DIM), 1e-2)
     bias, seen_bias = 0.0, 1e-2
-    x = _sparse(rows)
-    shares = lambda i: [(ids.astype(np.int64), n / max(1, n.sum())) for ids, n in x[i]]
     held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held)
     balance = np.where(good > 0, 0.5 / max(1e-9, good[train].mean()), 0.5 / max(1e-9, 1 - good[train].mean())) if len(train) else np.ones(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(train):
-            own = shares(i)
+            own = rows.shares(i)
             s = bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(own))
             g = (1 / (1 + np.exp(-np.clip(s, -40, 40))) - good[i]) * balance[i]
             for k, (ids, share) in enumerate(own):
@@ -107,7 +125,7 @@ def fit(rows: list[str], good: np.ndarray, *, epochs: int = 12, rate: float = 8.
             seen_bias += g * g
             bias -= 0.05 * rate * g / np.sqrt(seen_bias) * 0.2
     model = Model(w.astype(np.float32), float(bias))
-    score = np.array([bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(shares(i))) for i in range(len(rows))])
+    score = np.array([bias + sum(w[k, ids] @ share for k, (ids, share) in enumerate(rows.shares(i))) for i in range(len(rows))])
     at = np.flatnonzero(held) if held.sum() >= 20 else np.arange(len(rows))
     a, b = 1.0, 0.0
     for _ in range(300):  # two parameters, convex
@@ -135,12 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     own = texts(docs, id_col, text_col).where("text is not null")
     once = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))  # chosen holds at most ``most`` rows
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = sorted(once.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "good", "text").collect(), key=lambda r: r.doc_id)
-    order = np.random.default_rng(7).permutation(len(rows))
-    good = np.array([float(rows[i].good > 0) for i in order])
+    rows, marks = _Grams(), []
+    for r in once.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "good", "text").toLocalIterator():
+        rows.add(r.text)
+        marks.append((r.doc_id, float(r.good > 0)))
+    ids, good = np.array([i for i, _ in marks], dtype=np.int64), np.array([x for _, x in marks])
+    order = np.argsort(ids)[np.random.default_rng(7).permutation(len(ids))]
     if len(set(good)) < 2:
         return None
-    return fit([rows[i].text for i in order], good)
+    rows.at = [rows.at[i] for i in order]
+    return fit(rows, good[order])
 
 
 def _dup_lines(text: str) -> int:
