@@ -20,6 +20,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,19 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str):
+    """The tokenizer, which a Python worker keeps for its next tasks, and whether the short way holds for it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    normalizer, split = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    first = split.get("pretokenizers", [split])[0]
+    return tokenizer, normalizer == _NORMALIZER and first.get("pattern", {}).get("Regex") == _PATTERN
+
+
 class Encoder:
     """Encodes whole texts word by word, remembering words and the parts the tokenizer splits them into.
 
@@ -77,22 +91,22 @@ class Encoder:
     """
 
     def __init__(self, path: str, kind: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.model, self.to_chars = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer, self.short = _loaded(path)
+        to_chars = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.model, self.to_chars = self.tokenizer.model, {i: to_chars(chr(i))[0][0] for i in range(0xDF, 0x100)}
         self.kind = {"uint16": "H", "uint32": "I"}[kind]
         self.words, self.parts = _Memory(self._word, MEMORY_WORDS), _Memory(self._part, MEMORY_WORDS // 2)
-        said = json.loads(self.tokenizer.to_str())
-        self.short = said["normalizer"] == _NORMALIZER and said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _PATTERN
 
     def _part(self, part: str) -> bytes:
-        chars = part if part.isascii() else self.to_chars.pre_tokenize_str(part)[0][0]
+        chars = part if part.isascii() else part.translate(self.to_chars)
         return array(self.kind, [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if self.short and word.isalpha():  # ASCII letters alone; in lower case they are remembered once
+            text = word.decode()
+            return self._part(text) if text.islower() and text not in self.parts else self.parts[text.lower()]
         text = word.decode()
         if self.short and _PLAIN.fullmatch(text) and "<|" not in text:
             text = text.lower()

@@ -3,7 +3,9 @@
 import random
 import tracemalloc
 
-from evimatch.llm import quality
+import numpy as np
+
+from evimatch.llm import quality, tokens
 
 
 def test_training_holds_one_row_on_the_driver(spark):
@@ -20,3 +22,18 @@ def test_training_holds_one_row_on_the_driver(spark):
     finally:
         tracemalloc.stop()
     assert model is not None and peak < 80e6, peak
+
+
+def test_tasks_of_a_worker_share_the_tokenizer():
+    """Loading it took a twentieth of a task's CPU seconds; the remembered words go with the task."""
+    one, other = (tokens.Encoder(tokens.vocabulary(), kind) for kind in ("uint16", "uint32"))
+    assert one.tokenizer is other.tokenizer and one.words is not other.words and one.short
+
+
+def test_accented_and_cased_words_equal_the_library():
+    rng, e = random.Random(8), tokens.Encoder(tokens.vocabulary(), "uint32")
+    signs = "".join(chr(i) for i in range(0x41, 0x100) if chr(i).isalpha()) + "n'.," * 6
+    for _ in range(3000):
+        w = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 9)))
+        s = " ".join((w, w.lower(), w.upper(), w.lower(), "Plain", "plain", "PLAIN"))
+        assert np.frombuffer(e.encode([s.encode()])[0], dtype="uint32").tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
