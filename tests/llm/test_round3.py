@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 
 from evimatch.llm import quality, tokens
+from evimatch.operators import merging
 
 
 def test_training_holds_one_row_on_the_driver(spark):
@@ -37,3 +38,12 @@ def test_accented_and_cased_words_equal_the_library():
         w = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 9)))
         s = " ".join((w, w.lower(), w.upper(), w.lower(), "Plain", "plain", "PLAIN"))
         assert np.frombuffer(e.encode([s.encode()])[0], dtype="uint32").tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
+
+
+def test_names_are_compared_in_whole(spark):
+    """What test_combine_names_compares_whole_texts asks, of the operator: its query reads other tables now."""
+    start = "The same long beginning of "
+    names = [(1, "front", start + "one story about rivers"), (1, "back", start + "another tale, with quite different words"), (2, "front", start + "a third story"), (2, "back", start + "a third  story!")]
+    rows = [(card, side, 0, text, 0.8, 0.5) for card, side, text in names]
+    got = merging.combine_names(spark.createDataFrame(rows, "card_id long, side string, pos int, text string, confidence double, score double")).collect()
+    assert {(r.card_id, r.agreed) for r in got} == {(1, False), (2, True)} and {r.text for r in got if r.card_id == 1} == {names[0][2], names[1][2]}
