@@ -21,31 +21,24 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evimatch.llm.tables import Scratch
 from evimatch.llm.tokens import vocabulary
+from evimatch.llm.wordids import LETTERS, MARKS, Learnt, Lines, Words, byte_chars, flat
 
 #: Pairs of a broadcast block; pairs a task counts before it hands them on; tokens of one side in a block of bits.
 PAIRS, HELD, TOKENS = 2_000_000, 500_000, 1 << 18
-#: Parts of texts whose ids a worker remembers.
-MEMORY = 200_000
-
-
-def _byte_chars() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level entries: printable ones for themselves, the others from 256 on in order."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-#: The pre-tokenizer for which plain words may go straight to the model, and the character its vocabulary has for a space.
-_BYTE_LEVEL, _SPACE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "Ġ"
+#: Texts that do not part at each space: white space of any kind before one, or one at the front.
+_UNEVEN = "(^|[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]) "
+#: Fixed value: the pre-tokenizer for which letters and marks may go straight to the model.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 class Tokenizers:
@@ -53,7 +46,9 @@ class Tokenizers:
 
     A space behind a character that is no white space begins a new part for both: the first's pattern never matches across it, and no
     piece of the second holds its space sign anywhere but at the front (looked up in the vocabulary; else texts are one part).  So a
-    text's ids are its parts' ids in order, and parts are remembered.  Tests compare with encoding whole texts.
+    text's ids are its parts' ids in order.  The first's pattern parts letters from marks behind them too, and no piece of the second
+    holds both (looked up as well), so a plain part has the ids of its two runs.  Runs and other parts are remembered.  Tests compare
+    with encoding whole texts.
     """
 
     def __init__(self, a_path: str, b_path: str) -> None:
@@ -64,7 +59,7 @@ class Tokenizers:
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
-        byte = _byte_chars()
+        byte = byte_chars()
         self.a_bytes = [bytes(byte[c] for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
@@ -73,13 +68,11 @@ class Tokenizers:
         # two bytes an id do where the vocabulary allows
         self.kinds = tuple("H" if len(x) <= 1 << 16 else "I" for x in (self.a_bytes, self.b_bytes))
         told = json.loads(self.a.to_str())
-        self.plain = told["normalizer"] is None and told["pre_tokenizer"] == _BYTE_LEVEL and not any(t["content"].isalpha() for t in told["added_tokens"])
-        self.forget()
-
-    def forget(self) -> None:
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        said = [p for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))]
+        alone = all(set(p).isdisjoint(LETTERS) or set(p).isdisjoint(MARKS) for p in said)
+        self.plain = self.parted and alone and told["normalizer"] is None and told["pre_tokenizer"] == _BYTE_LEVEL and all(t["special"] for t in told["added_tokens"])
+        self.lines = Lines(self.a) if self.plain else None
+        self.words = Words(tuple({"H": "<u2", "I": "<u4"}[k] for k in self.kinds), self._part_ids, self._run_ids if self.plain else None)
 
     _CUT, _RUN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
@@ -91,47 +84,60 @@ class Tokenizers:
             return [x[1:] for x in self._CUT.split(" " + text)]
         return text.split(" ")
 
-    #: A word of ASCII letters with common marks behind it: the first's pattern parts it there, and its letters stand for themselves.
-    _WORD = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+    def _odd(self, strings: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
+        """Strings whose bytes the ids of either side do not spell; nothing if there is none."""
+        said, spelled = [x.encode() for x in strings], [(spell, ids.tolist(), n.tolist()) for spell, (ids, n) in zip((self.a_bytes, self.b_bytes), sides, strict=True)]
+        whole = b"".join(said)
+        if all(b"".join(map(spell.__getitem__, ids)) == whole for spell, ids, _ in spelled):
+            return None
+        odd = np.zeros(len(said), dtype=bool)
+        for spell, ids, sizes in spelled:
+            at = iter(ids)
+            odd |= np.array([b"".join([spell[t] for t in islice(at, n)]) != x for x, n in zip(said, sizes, strict=True)], dtype=bool)
+        return odd
+
+    def _part_ids(self, parts: list[str]) -> Learnt:
+        """Parts by the whole tokenizers, each with the space before it."""
+        said = [" " + x for x in parts]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(said, add_special_tokens=False)]
+        b_ids = [b if x else self.end for x, b in zip(parts, self.b.encode(parts, num_threads=1), strict=True)]
+        sides = [flat(a_ids), flat(b_ids)]
+        return sides, self._odd(said, sides)
+
+    def _run_ids(self, runs: list[str]) -> Learnt:
+        """Letters with the space before them, marks without one: the second would add it, so for it they go behind a letter."""
+        said = [" " + x if x[0] in LETTERS else x for x in runs]
+        front = len(self.b.encode("a"))
+        b_ids = self.b.encode([x[1:] if x[0] == " " else "a" + x for x in said], num_threads=1)
+        sides = [self.lines.ids(said), flat([ids if x[0] == " " else ids[front:] for x, ids in zip(said, b_ids, strict=True)])]
+        return sides, self._odd(said, sides)
 
     def _a_ids(self, parts: list[str]) -> list[list[int]]:
-        """Plain words go straight to the model, all others through the whole tokenizer."""
-        tokenize, out, rest = self.a.model.tokenize, [None] * len(parts), []
-        for i, x in enumerate(parts):
-            word = self._WORD.fullmatch(x) if self.plain else None
-            if word:
-                out[i] = [t.id for t in tokenize(_SPACE + word[1])]
-                if word[2]:
-                    out[i] += [t.id for t in tokenize(word[2])]
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.a.encode_batch_fast([" " + parts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    def _learn(self, lack: set[str]) -> None:
-        new = list(lack)
-        a_ids, b_ids = self._a_ids(new), [b if x else self.end for x, b in zip(new, self.b.encode(new, num_threads=1), strict=True)]
-        for known, kind, ids in ((self.known_a, self.kinds[0], a_ids), (self.known_b, self.kinds[1], b_ids)):
-            known.update(zip(new, [array(kind, x).tobytes() for x in ids], strict=True))
-        said = b"".join([b" " + x.encode() for x in new])
-        spelled = lambda side, ids: b"".join(map(side.__getitem__, chain.from_iterable(ids)))
-        if not said == spelled(self.a_bytes, a_ids) == spelled(self.b_bytes, b_ids):
-            self.odd.update(x for x, a, b in zip(new, a_ids, b_ids, strict=True) if not (" " + x).encode() == spelled(self.a_bytes, [a]) == spelled(self.b_bytes, [b]))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """The first's ids of parts, as texts get them."""
+        ((ids, at), _), _ = self.words.ids(pa.array(parts, pa.string()))
+        return [x.tolist() for x in np.split(ids, at[1:-1])]
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[tuple[bytes, bytes]]:
         """Both id sequences as integers of kinds; two empty ones where bytes do not add up."""
-        for lo in range(0, len(texts), 64):
-            split = [self.parts(x) if x else [] for x in texts[lo : lo + 64]]
-            lack = set().union(*split) - self.known_a.keys()
-            if len(self.known_a) + len(lack) > MEMORY:
-                self.forget()
-                lack = set().union(*split)
-            if lack:
-                self._learn(lack)
-            for text, parts in zip(texts[lo : lo + 64], split, strict=True):
-                a, b = b"".join(map(self.known_a.__getitem__, parts)), b"".join(map(self.known_b.__getitem__, parts))
-                yield (a, b) if self.odd.isdisjoint(parts) or self._adds_up(text, a, b) else (b"", b"")
+        held = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        there = pc.fill_null(pc.binary_length(held), 0).to_numpy() > 0
+        uneven = pc.match_substring_regex(held, _UNEVEN).fill_null(False).to_numpy(zero_copy_only=False) if self.parted else np.ones(len(held), dtype=bool)
+        found = [(b"", b"")] * len(held)
+        for rows, split in ((np.flatnonzero(there & ~uneven), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(there & uneven), self._split)):
+            own = held.take(pa.array(rows))
+            parts = split(own)
+            sides, odd = self.words.ids(parts.flatten())
+            of = np.asarray(parts.offsets)
+            odd = np.diff(np.concatenate(([0], np.cumsum(odd)))[of]) > 0
+            (a, a_at), (b, b_at) = [(ids, at[of].tolist()) for ids, at in sides]
+            for i, r in enumerate(rows.tolist()):
+                ids = a[a_at[i] : a_at[i + 1]].tobytes(), b[b_at[i] : b_at[i + 1]].tobytes()
+                if not odd[i] or self._adds_up(own[i].as_py(), *ids):
+                    found[r] = ids
+        yield from found
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        return pa.array([self.parts(x) for x in texts.to_pylist()], pa.list_(pa.string()))
 
     def _adds_up(self, text: str, a: bytes, b: bytes) -> bool:
         spelled = [b"".join(map(side.__getitem__, array(kind, ids))) for side, kind, ids in zip((self.a_bytes, self.b_bytes), self.kinds, (a, b), strict=True)]
@@ -157,7 +163,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_tokenizers(a, b).encode(batch.column(2).to_pylist()))
+            found = list(_tokenizers(a, b).encode(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], names=["row", "doc_id", "a", "b"])
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
