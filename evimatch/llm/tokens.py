@@ -18,12 +18,13 @@ import os
 import re
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
@@ -31,11 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimatch.llm.tables import Scratch, partitions
+from evimatch.llm.wordids import Learnt, Lines, Words, flat
 
 SEQUENCE, BATCH = 1024, 256
 END_ID = 1
-#: Distinct words, and half as many parts of words, whose ids a worker remembers: some 90 MB.
-MEMORY_WORDS = 300_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -45,29 +45,6 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Memory(dict):
-    """A dictionary that works out what it lacks, and starts anew between texts when it has grown too large."""
-
-    def __init__(self, work_out, most: int) -> None:
-        super().__init__()
-        self.work_out, self.most = work_out, most
-
-    def __missing__(self, key):
-        found = self[key] = self.work_out(key)
-        return found
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-
-
-#: Words that the short way takes: visible ASCII and the accented letters of Latin-1, none of which normalisation changes but for
-#: case.  All others go through the whole tokenizer.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: Fixed value: the split pattern of the public tokenizer file, written for those characters in lower case.
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-
-
 @lru_cache(maxsize=1)
 def _loaded(path: str):
     """The tokenizer, which a Python worker keeps for its next tasks, and whether the short way holds for it."""
@@ -82,47 +59,38 @@ def _loaded(path: str):
 
 
 class Encoder:
-    """Encodes whole texts word by word, remembering words and the parts the tokenizer splits them into.
+    """Encodes whole texts by their distinct words, remembering what the tokenizer gave.
 
     No token or rule of this kind of tokenizer (white space dropped, parts split by a pattern, BPE inside a part) reaches over
-    ASCII white space, so a text's ids are its words' ids in order.  Most words are lower-cased, split by the tokenizer file's own
-    pattern, and each new part goes through the library's BPE model; words with any other character, or with what may be a special token, go
-    through the whole tokenizer.  Tests compare both ways with encoding whole texts.
+    ASCII white space, so a text's ids are its words' ids in order.  The pattern parts letters from marks behind them too, so most words
+    are two runs in lower case, which go to the library's BPE model when they are new; other words, such as those with digits or
+    apostrophes, go through the whole tokenizer.  Tests compare both ways with encoding whole texts.
     """
 
     def __init__(self, path: str, kind: str) -> None:
-        from tokenizers import pre_tokenizers
-
         self.tokenizer, self.short = _loaded(path)
-        to_chars = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.model, self.to_chars = self.tokenizer.model, {i: to_chars(chr(i))[0][0] for i in range(0xDF, 0x100)}
-        self.kind = {"uint16": "H", "uint32": "I"}[kind]
-        self.words, self.parts = _Memory(self._word, MEMORY_WORDS), _Memory(self._part, MEMORY_WORDS // 2)
-
-    def _part(self, part: str) -> bytes:
-        chars = part if part.isascii() else part.translate(self.to_chars)
-        return array(self.kind, [t.id for t in self.model.tokenize(chars)]).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        if self.short and word.isalpha():  # ASCII letters alone; in lower case they are remembered once
-            text = word.decode()
-            return self._part(text) if text.islower() and text not in self.parts else self.parts[text.lower()]
-        text = word.decode()
-        if self.short and _PLAIN.fullmatch(text) and "<|" not in text:
-            text = text.lower()
-            if text.isalpha():
-                return self.parts[text]
-            return b"".join([self.parts[x] for x in _SPLIT.findall(text)])
-        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian bytes, without the end id."""
-        out = []
-        for text in texts:
-            self.words.trim()
-            self.parts.trim()
-            out.append(b"".join(map(self.words.__getitem__, text.split())))
-        return out
+        self.words = Words((kind,), self._word_ids, self._run_ids(Lines(self.tokenizer)) if self.short else None, lower=True)
+
+    def _word_ids(self, words: list[str]) -> Learnt:
+        return [flat([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])], None
+
+    @staticmethod
+    def _run_ids(lines: Lines) -> Callable[[list[str]], Learnt]:
+        return lambda runs: ([lines.ids(runs)], None)
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian bytes, without the end id; a null text has none."""
+        held = pa.array([x.decode() for x in texts], pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        words = pc.ascii_split_whitespace(held.fill_null(""))
+        ((ids, at),), _ = self.words.ids(words.flatten())
+        at = at[np.asarray(words.offsets)].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in pairwise(at)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, kind: str) -> Encoder:
+    """A Python worker keeps it, with what it remembers, for its next tasks."""
+    return Encoder(path, kind)
 
 
 #: The parts of the public tokenizer file for which the short way holds; with others every word goes the long way.
@@ -185,15 +153,13 @@ def _write(folder: str, path: str, kind: str, end_id: int, sequence: int, batch:
             if not b.num_rows:
                 continue
             if writer is None:
-                encoder, writer = Encoder(path, kind), _Writer(name, kind, sequence, batch)
+                encoder, writer = _encoder(path, kind), _Writer(name, kind, sequence, batch)
             first, n = [], []
-            for lo in range(0, b.num_rows, 16):
-                rows = [(x.as_py() or "").encode() for x in b.column(1).slice(lo, 16)]
-                for ids in encoder.encode(rows):
-                    writer.add(ids + end)
-                    first.append(at)
-                    n.append(len(ids) // len(end) + 1)
-                    at += n[-1]
+            for ids in encoder.encode(b.column(1)):
+                writer.add(ids + end)
+                first.append(at)
+                n.append(len(ids) // len(end) + 1)
+                at += n[-1]
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.full(rows, part, dtype=np.int64)), pa.array([name] * rows, pa.string()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "part", "file", "at", "n_tokens"]

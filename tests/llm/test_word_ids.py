@@ -1,11 +1,12 @@
 """Token ids of many words at once: what the tokenizers are asked for, and awkward words against whole texts."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
 
-from evimatch.llm import alignment, wordids
+from evimatch.llm import alignment, tokens, wordids
 
 LETTERS = "abcxyzABCÀÉÖØÞßàéöøþÿ"
 
@@ -57,3 +58,33 @@ def test_alignment_forgets_between_batches(both, monkeypatch):
         for text, ids in zip(texts[lo : lo + 50], both.encode(texts[lo : lo + 50]), strict=True):
             _same(both, text, ids)
     assert list(both.encode(["", "a", ""]))[::2] == [(b"", b"")] * 2 and list(both.encode([])) == []
+
+
+def test_token_files_take_distinct_words_together():
+    """No Python function runs for each distinct word: that took most of a task's CPU seconds."""
+    e, rng, calls = tokens.Encoder(tokens.vocabulary(), "uint16"), random.Random(3), 0
+    words = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(4, 10))) + rng.choice(("", ",", ".", "%%%")) for _ in range(4000)]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = e.encode([" ".join(words).encode()])
+    finally:
+        sys.setprofile(None)
+    assert np.frombuffer(found[0], "uint16").tolist() == e.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert calls < 1000, calls
+
+
+def test_token_encoder_forgets_between_batches(monkeypatch):
+    for name, n in (("MOST", 20), ("LEARN", 7), ("LAID", 5)):
+        monkeypatch.setattr(wordids, name, n)
+    e, rng = tokens.Encoder(tokens.vocabulary(), "uint16"), random.Random(4)
+    signs = LETTERS + "'.,-09 \n\t_<|>\x0b\x1c\x85" + "日µª́"
+    for _ in range(12):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(50)]
+        for text, ids in zip(texts, e.encode([x.encode() for x in texts]), strict=True):
+            assert np.frombuffer(ids, "uint16").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert e.encode([]) == []
