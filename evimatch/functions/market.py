@@ -91,6 +91,11 @@ def price(text: Column, mark: str = ".") -> Column:
     return F.when(~s.rlike(r"^\d+([.,]\d{1,2})?$"), None).when(cents == "", whole).otherwise(F.concat(whole, F.lit(mark), F.rpad(cents, 2, "0")))
 
 
+def amount(number: Column) -> Column:
+    """A number as price() takes it: plain digits, two of them after the point, so neither an exponent nor the sign of -0.0 is in the way."""
+    return F.when(number >= 0, number.try_cast("decimal(38,2)").cast("string"))
+
+
 def title(template: str, values: dict[str, Column], limit: int = 80) -> Column:
     """Fill a title template; a token without a value goes with what is glued to it; cut at a word, if one is near."""
     parts: list[Column] = []

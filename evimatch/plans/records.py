@@ -205,7 +205,7 @@ def _filled(get):
     template = csvio.starter()
     mapping = {"category": "Category ID", "title": "Title", "price": "Start price", "quantity": "Quantity"}
     c = _ebay(get).join(get("customer").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal"), "id")
-    vals = {"category": market.category_id(F.col("kind")), "title": F.col("c_name"), "price": market.price(F.col("c_acctbal").cast("string")), "quantity": F.lit(1)}
+    vals = {"category": market.category_id(F.col("kind")), "title": F.col("c_name"), "price": market.price(market.amount(F.col("c_acctbal"))), "quantity": F.lit(1)}
     return csvio.template_rows(c, template, mapping, vals, ["id"]), template
 
 
