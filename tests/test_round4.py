@@ -32,3 +32,8 @@ def balances(spark, tmp_path_factory):
 def test_template_issues_of_any_balance(spark, balances):
     got = _same_as_sql(spark, balances, "template_issues", "customer")
     assert sum("Start price" in r for r in got) == 2
+
+
+def test_template_summary_of_any_balance(spark, balances):
+    got = _same_as_sql(spark, balances, "template_summary", "customer")
+    assert "['warning', 'Start price', 2]" in got
