@@ -90,24 +90,97 @@ def next_job(job: Column, event: Column, most: int = MAX_ATTEMPTS) -> Column:
 def with_queue(log: DataFrame, controls: DataFrame) -> DataFrame:
     """A job log (queue, job_id, ts, event_id, action, retryable) with what was said to each job's queue (queue, ts, event_id, action).
 
-    A control reaches the jobs that its queue has been told of at any time; jobs meet controls by queue.
+    A control reaches the jobs that its queue has been told of at any time; jobs meet controls by queue.  That is jobs times controls, as a
+    stream of single jobs needs them; reduce_queues() gives the same states without it.
     """
     jobs_of = log.select("queue", "job_id").distinct()
     said = jobs_of.join(controls.select("queue", "ts", "event_id", "action"), "queue")
     return log.select("queue", "job_id", "ts", "event_id", "action", "retryable").unionByName(said.withColumn("retryable", F.lit(None).cast("boolean")))
 
 
+def _when() -> list[Column]:
+    """What events are ordered by; those without a time come last."""
+    return [F.col("ts").isNull().alias("undated"), F.col("ts"), F.col("event_id")]
+
+
 def reduce_log(log: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
     """job_id, state, attempts, paused, cancelled, passed of a log (job_id, ts, event_id, action, retryable) in any order.
 
     Events count in the order of ts and event_id, a repeated event_id once.  A job's events, a handful for each attempt, are folded in
     the aggregation that brings them together.
     """
-    event = F.struct("ts", "event_id", "action", "retryable")
+    event = F.struct(*_when(), "action", "retryable")
     whole = log.dropDuplicates(["job_id", "event_id"]).groupBy("job_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
     return whole.select("job_id", F.aggregate("events", new_job(), lambda j, e: next_job(j, e, most).cast(JOB)).alias("j")).select("job_id", "j.*")
 
 
+#: Seconds of a block of a queue's time in reduce_queues, and the block of events without a time.
+QUEUE_BLOCK, UNDATED = 3600, 2**62
+#: What a queue was told up to a moment: cancels, retries of all that failed, how many of these came before the last cancel, and its state.
+_TOLD = ("cancels", "retries", "undone", "paused", "cancelled")
+
+
+def _heard(log: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with _TOLD as of each event, and _TOLD as of the end of each queue.
+
+    Both are counted within blocks of a queue's time and carried from block to block, so a queue's events are never brought together.
+    """
+    columns = ["queue", "job_id", "ts", "event_id", "action", "retryable"]
+    own = log.select(*columns, F.lit(False).alias("control"))
+    said = controls.where("queue is not null").dropDuplicates(["queue", "event_id"])
+    block = F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (QUEUE_BLOCK * 1_000_000)), F.lit(UNDATED))
+    every = own.unionByName(said.select("queue", "ts", "event_id", "action", F.lit(True).alias("control")), allowMissingColumns=True).withColumn("block", block)
+
+    order = Window.partitionBy("queue", "block").orderBy(F.asc_nulls_last("ts"), "event_id", "control").rowsBetween(Window.unboundedPreceding, 0)
+    is_ = lambda *actions: F.col("control") & F.col("action").isin(*actions)
+    placed = every.withColumns({
+        "cancels": F.sum(is_("cancel").cast("long")).over(order), "retries": F.sum(is_("retry failed").cast("long")).over(order),
+        "paused": F.last(F.when(is_("pause"), True).when(is_("run", "resume"), False), True).over(order), "cancelled": F.last(F.when(is_("cancel"), True).when(is_("run"), False), True).over(order),
+    }).withColumn("undone", F.max(F.when(is_("cancel"), F.col("retries"))).over(order))
+    at = F.struct(*_when(), "control")
+    blocks = placed.groupBy("queue", "block").agg(*[F.max(c).alias(c) for c in ("cancels", "retries", "undone")], *[F.max_by(c, at).alias(c) for c in ("paused", "cancelled")])
+
+    earlier = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    nought = {"cancels": F.lit(0), "retries": F.lit(0), "undone": F.lit(0), "paused": F.lit(False), "cancelled": F.lit(False)}
+    carried = blocks.withColumn("undone", F.col("undone") + F.coalesce(F.sum("retries").over(earlier), F.lit(0)))
+    so_far = {"cancels": F.sum("cancels"), "retries": F.sum("retries"), "undone": F.max("undone"), "paused": F.last("paused", True), "cancelled": F.last("cancelled", True)}
+    begun = carried.select("queue", "block", *[F.coalesce(f.over(earlier), nought[c]).alias(f"b_{c}") for c, f in so_far.items()])
+    latest = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("block"))) if c in ("paused", "cancelled") else f for c, f in so_far.items()}
+    end = carried.groupBy("queue").agg(*[F.coalesce(f, nought[c]).alias(c) for c, f in latest.items()])
+
+    both = placed.where("not control").join(begun, ["queue", "block"], "left")
+    before = lambda c: F.coalesce(F.col(f"b_{c}"), nought[c])
+    told = {"cancels": F.col("cancels") + before("cancels"), "retries": F.col("retries") + before("retries"), "undone": F.greatest(before("undone"), F.col("undone") + before("retries")), "paused": F.coalesce("paused", before("paused")), "cancelled": F.coalesce("cancelled", before("cancelled"))}
+    return both.select(*columns, *[c.alias(k) for k, c in told.items()]), end
+
+
+def reduce_queues(log: DataFrame, controls: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
+    """reduce_log() of a log (queue, job_id, ts, event_id, action, retryable) under what was said to the queues (queue, ts, event_id, action).
+
+    A job is of one queue.  Controls do not meet jobs: an event knows how many cancels and retries its queue had been told of before it.
+    Between two events of a job a cancel ends it if it was queued; a retry takes it back if it had failed, and a cancel then ends it if it
+    came after the first of these retries, that is if the last cancel has seen more retries than the job's event before.
+    """
+    heard, end = _heard(log, controls)
+    event = F.struct(*_when(), "action", "retryable", *_TOLD)
+    once = heard.repartition("queue", "job_id").dropDuplicates(["queue", "job_id", "event_id"])
+    whole = once.groupBy("queue", "job_id").agg(F.array_sort(F.collect_list(event)).alias("events")).join(end.select("queue", F.struct(*_TOLD).alias("end")), "queue", "left")
+
+    def hear(a: Column, told: Column) -> Column:
+        """The job of a after what its queue was told up to told."""
+        j = a["job"]
+        retried = (j["state"] == "FAILED") & (told["retries"] > a["retries"])
+        ended = (retried & (told["undone"] > a["retries"])) | ((j["state"] == "QUEUED") & (told["cancels"] > a["cancels"]))
+        state = F.when(ended, "CANCELLED").when(retried, "QUEUED").otherwise(j["state"])
+        return F.struct(state.alias("state"), F.when(retried, 0).otherwise(j["attempts"]).alias("attempts"), told["paused"].alias("paused"), told["cancelled"].alias("cancelled"), j["passed"].alias("passed")).cast(JOB)
+
+    kind = f"struct<job:{JOB},cancels:bigint,retries:bigint>"
+    start = F.struct(new_job().alias("job"), F.lit(0).alias("cancels"), F.lit(0).alias("retries")).cast(kind)
+    step = lambda a, e: F.struct(let(hear(a, e), lambda j: next_job(j, e, most)).alias("job"), e["cancels"].alias("cancels"), e["retries"].alias("retries")).cast(kind)
+    last = let(F.aggregate("events", start, step), lambda a: F.when(F.col("end").isNull(), a["job"]).otherwise(hear(a, F.col("end"))))
+    return whole.select("job_id", last.alias("j")).select("job_id", "j.*")
+
+
 def backoff_bounds(attempt: Column, base: int = 400, cap: int = 8000) -> tuple[Column, Column]:
     """Least and most milliseconds before the next attempt."""
     top = F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1))

@@ -408,7 +408,7 @@ f as (select job_id, 0::bigint as k, null::varchar as state, 0 as attempts, fals
     from f join n on n.job_id = f.job_id and n.k = f.k + 1)
 select job_id, state, attempts, paused, cancelled, passed from (select *, row_number() over (partition by job_id order by k desc) as r from f) where r = 1""")
 def job_states(get):
-    return jobs.reduce_log(jobs.with_queue(*_job_events(get)))
+    return jobs.reduce_queues(*_job_events(get))
 
 
 @query("select event_id, least(8000.0::double, 400.0::double * pow(2.0::double, event_id % 9)) / 2 as least_ms, least(8000.0::double, 400.0::double * pow(2.0::double, event_id % 9)) as most_ms from events")

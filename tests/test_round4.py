@@ -1,8 +1,12 @@
 """What the review of round 4 found."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from evimatch.operators import jobs
 from evimatch.plans import catalogue
 
 
@@ -37,3 +41,52 @@ def test_template_issues_of_any_balance(spark, balances):
 def test_template_summary_of_any_balance(spark, balances):
     got = _same_as_sql(spark, balances, "template_summary", "customer")
     assert "['warning', 'Start price', 2]" in got
+
+
+def _shuffled(df) -> int:
+    """Rows that a query's run wrote to shuffles."""
+
+    def walk(node) -> int:
+        kind, kids = node.getClass().getSimpleName(), node.children()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [kids.apply(i) for i in range(kids.size())]
+        rows = node.metrics().get("shuffleRecordsWritten")
+        return (rows.get().value() if rows.isDefined() else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def _log(seed: int, n_jobs: int, n_events: int, n_controls: int, seconds: int):
+    """A log and controls of three queues, some told twice, some at one time, some without a time."""
+    rng = random.Random(seed)
+    when = lambda: rng.randrange(seconds) if rng.random() > 0.02 else None
+    log = [(j % 3, j, 0, j, "added", None) for j in range(n_jobs)]
+    for i in range(n_events):
+        j = rng.randrange(n_jobs)
+        log.append((j % 3, j, when(), n_jobs + i, rng.choice(["started", "started", "started", "done", "failed", "failed", "retry", "added"]), rng.choice([True, True, False, None])))
+    controls = [(rng.randrange(4), when(), 10_000_000 + i, rng.choice(["pause", "resume", "resume", "cancel", "run", "run", "retry failed", "retry failed"])) for i in range(n_controls)]
+    return log + log[::7], controls + controls[::5]
+
+
+def _frames(spark, log, controls):
+    dated = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_700_000_000))
+    return dated(spark.createDataFrame(log, "queue int, job_id long, ts long, event_id long, action string, retryable boolean")), dated(spark.createDataFrame(controls, "queue int, ts long, event_id long, action string"))
+
+
+@pytest.mark.parametrize(("seed", "seconds"), [(1, 60), (2, 50_000), (3, 400_000)])
+def test_queues_told_of_once_as_if_each_job_was(spark, seed, seconds):
+    log, controls = _frames(spark, *_log(seed, 60, 900, 240, seconds))
+    want = sorted(map(tuple, jobs.reduce_log(jobs.with_queue(log, controls)).collect()))
+    assert len({w[1] for w in want}) > 3
+    assert sorted(map(tuple, jobs.reduce_queues(log, controls).collect())) == want
+    none = controls.limit(0)
+    assert sorted(map(tuple, jobs.reduce_queues(log, none).collect())) == sorted(map(tuple, jobs.reduce_log(log).collect()))
+
+
+def test_job_states_do_not_grow_with_jobs_times_controls(spark, tmp_path):
+    """800 jobs of ten queues and 4000 controls: 320000 pairs."""
+    kinds = ["signup", "view", "purchase", "error", "click"]
+    rows = [(i, 1_700_000_000 + i * 37 % 90_000, i * 7919 // 5 % 800, kinds[i % 5] if i < 8000 else "click") for i in range(12000)]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string").withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    df = catalogue.QUERIES["job_states"](spark, str(tmp_path))
+    assert len(df.collect()) == 800
+    assert _shuffled(df) < 60_000
