@@ -8,6 +8,7 @@ from evimatch.functions import market, values
 from evimatch.functions import vocabulary as v
 from evimatch.operators import images, jobs, layout, merging, records, review
 from evimatch.plans.registry import fold_sql, query
+from evimatch.plans.views import back_lines
 from evimatch.sources import csvio
 
 _KEY = "concat_ws('|', " + ", ".join(fold_sql(c) for c in ("set_name", "number", "name2", "variant")) + ")"
@@ -357,7 +358,7 @@ select cid, u.x.kind as kind, u.x.value as value, text as raw, confidence from e
 
 @query(_evidence_sql())
 def evidence_read(get):
-    return layout.read_evidence(get("back_lines"), "cid")
+    return layout.read_evidence(back_lines(get("captures")), "cid")
 
 
 @query()

@@ -90,3 +90,32 @@ def test_job_states_do_not_grow_with_jobs_times_controls(spark, tmp_path):
     df = catalogue.QUERIES["job_states"](spark, str(tmp_path))
     assert len(df.collect()) == 800
     assert _shuffled(df) < 60_000
+
+
+def test_evidence_reads_captures_once_and_every_name(spark, tmp_path):
+    """Each name between the marks that may part it, against its pattern in Python; the query's own plan reads orders once."""
+    import re
+
+    from evimatch.functions import vocabulary as v
+    from evimatch.operators import layout
+
+    names = [("manufacturer", x) for x in v.MANUFACTURERS] + [("product", x) for x in v.PRODUCTS] + [("league", x) for x in v.LEAGUES] + [("finish", x) for x in v.FINISHES]
+    lines = [f.format(x.replace(" ", sep), x.replace("-", sep)) for _, x in names for sep in " -" for f in ("{0}", "© {1}, ltd", "x{0} y", "Été {1}. {1}", "a b c d e f g {0}", "©{1}\t –  {1}!")]
+    rows = [(i, 0, x, 0.8) for i, x in enumerate(lines)]
+    got = {(r.card, r.kind): r.value for r in layout.read_evidence(spark.createDataFrame(rows, "card int, line_id int, text string, confidence double"), "card").collect()}
+    ends = {"manufacturer": ("(^|[ ©])", "($|[ ,.])"), "product": ("(^|[ ©])", "($|[ ,.])"), "league": ("(^| )", "( |$)"), "finish": ("(^| )", "( |$)")}
+    plain = lambda x: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9&'.\- ©#/]+", " ", x.lower().replace("é", "e"))).strip()
+    want = {}
+    for i, x in enumerate(lines):
+        p = plain(x)
+        brandish = len([w for w in p.split(" ") if w]) <= 6 or "©" in p
+        for kind, name in names:
+            said = re.sub("[- ]", "[- ]", name.lower()) if kind == "manufacturer" else re.escape(name.lower())
+            if (brandish or kind in ("league", "finish")) and re.search(ends[kind][0] + said + ends[kind][1], p):
+                want.setdefault((i, kind), name)
+    assert {k: x for k, x in got.items() if k[1] in ends} == want
+    tables = {"orders": "1L as o_orderkey, 1L as o_custkey, 'P' as o_orderstatus, '5-LOW' as o_orderpriority", "part": "1L as p_partkey, 'big red' as p_name, 'Brand#1' as p_brand, 'ECONOMY' as p_type, 7 as p_size"}
+    for name, row in tables.items():
+        spark.sql(f"select {row}").write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = catalogue.QUERIES["evidence_read"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1
