@@ -8,7 +8,7 @@ from evimatch.functions import market, values
 from evimatch.functions import vocabulary as v
 from evimatch.operators import images, jobs, layout, merging, records, review
 from evimatch.plans.registry import fold_sql, query
-from evimatch.plans.views import back_lines
+from evimatch.plans.views import back_lines, words
 from evimatch.sources import csvio
 
 _KEY = "concat_ws('|', " + ", ".join(fold_sql(c) for c in ("set_name", "number", "name2", "variant")) + ")"
@@ -327,7 +327,7 @@ def accuracy_report(get):
 
 @query()
 def words_to_lines(get):
-    w = get("words")
+    w = words(get("lineitem"))
     return layout.words_to_lines(w.select("doc_id", "word_id", "text", "conf", "x0", "x1", (F.col("row_id") * 20.0).alias("y0"), (F.col("row_id") * 20.0 + F.col("h")).alias("y1")))
 
 

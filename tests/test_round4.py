@@ -119,3 +119,19 @@ def test_evidence_reads_captures_once_and_every_name(spark, tmp_path):
         spark.sql(f"select {row}").write.parquet(f"{tmp_path}/{name}.parquet")
     plan = catalogue.QUERIES["evidence_read"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [o_orderkey") == 1
+
+
+def test_words_alone_are_not_dealt_again(spark):
+    """Pages of words apart from one another, on one page in ten two readings of one word: only these words meet."""
+    from evimatch.operators import layout
+
+    rows = [(d, w, f"Word{w}", 0.9, 300.0 * w, 0.0, 300.0 * w + 90, 20.0) for d in range(1000) for w in range(10)]
+    rows += [(d, 10, "Wrd3", 0.5, 905.0, 1.0, 985.0, 19.0) for d in range(0, 1000, 10)]
+    words = spark.createDataFrame(rows, "doc_id int, word_id int, text string, conf double, x0 double, y0 double, x1 double, y1 double")
+    lines = layout.words_to_lines(words)
+    got = lines.collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((d, f"Word{w}") for d in range(1000) for w in range(10))
+    assert _shuffled(lines) < 4 * len(rows)
+    assert _shuffled(layout.same_place(words, "doc_id")) == 0  # not run yet
+    pairs = layout.same_place(words, "doc_id")
+    assert len(pairs.collect()) == 100 and _shuffled(pairs) < 2 * len(rows)
