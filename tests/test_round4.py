@@ -135,3 +135,18 @@ def test_words_alone_are_not_dealt_again(spark):
     assert _shuffled(layout.same_place(words, "doc_id")) == 0  # not run yet
     pairs = layout.same_place(words, "doc_id")
     assert len(pairs.collect()) == 100 and _shuffled(pairs) < 2 * len(rows)
+
+
+def test_name_words_by_one_pattern(spark):
+    """Signals fold a text once, and one pattern says what four said of a word."""
+    from evimatch.functions import text as t
+    from evimatch.operators import assembly
+
+    words = [(w,) for w in "ex Gx v Vmax Mr. dr. Jr mew Muk Ho-oh basic Basic Pokémon POKÉMON hp Abc abcd Ab.d -abc É Éabc a’bc O'Neil ex. prime stars basicx niveau x1y2 ab12".split()] + [("ex\n",), ("",), ("abcd ",)]
+    w = F.col("w")
+    four = w.rlike(t._WORD) & ~w.rlike(t._LABEL) & ((F.length(w) >= 4) | w.rlike(t._SUFFIX) | w.rlike(t._TITLE) | w.rlike(t._SHORT))
+    told = spark.createDataFrame(words, "w string").where((four != w.rlike(t._TOKEN)) | ((w.rlike(t._SUFFIX) | w.rlike(t._TITLE)) != w.rlike(t._ADDED)))
+    assert told.collect() == []
+    strips = spark.createDataFrame([(1, "a")], "card_id int, text string")
+    plan = assembly.signals(strips, spark.createDataFrame([(9,)], "total int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2  # of the text folded, and of digits repaired
